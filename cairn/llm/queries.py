@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import mixing, pieces, tokens
+from cairn.llm import mixing, pieces, tokens, vectors
 from cairn.session import materialise, table
 
 
@@ -24,6 +24,23 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_oversized(_bodies(spark, sf_dir), "text", ["memory_id"]).distinct()
 
 
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.usable(table(spark, sf_dir, "stored_vector"), table(spark, sf_dir, "model_revision"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of chunks of one revision whose cosine is at least 0.95; every row asks, in the lists within the margin."""
+    near = vectors.neighbours(spark, _chunks(spark, sf_dir), probes=vectors.NEAR_PROBES, margin=vectors.NEAR_MARGIN, least=0.95)
+    pair = near.select(F.least("chunk_id", "other_id").alias("chunk_id_a"), F.greatest("chunk_id", "other_id").alias("chunk_id_b"))
+    return pair.distinct()
+
+
+def p3_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 most similar chunks of each chunk whose id (its hexadecimal end) is divisible by 20, against all rows."""
+    number = F.conv(F.regexp_extract("chunk_id", "([0-9a-f]{1,15})$", 1), 16, 10).try_cast("bigint")
+    return vectors.neighbours(spark, _chunks(spark, sf_dir), probes=vectors.WIDE_PROBES, queries=F.coalesce(number % 20 == 0, F.lit(False)))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and token ids of every document."""
     return tokens.encode_corpus(spark, table(spark, sf_dir, "documents"))
@@ -47,7 +64,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixing.mix(docs, targets), docs, targets)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p8_ids, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_top10, p8_ids, p9_mix, p9_shares)}
 
 ORACLES = {
     "p2_found": "SELECT DISTINCT id AS memory_id FROM memory_record WHERE octet_length(encode(body.text)) > 2048",
