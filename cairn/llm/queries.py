@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import mixing, pieces, tokens, vectors
+from cairn.llm import mixing, pieces, sentences, tokens, vectors
 from cairn.session import materialise, table
 
 
@@ -64,7 +64,17 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixing.mix(docs, targets), docs, targets)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_top10, p8_ids, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and start of every sentence unit."""
+    return sentences.split(spark, table(spark, sf_dir, "documents"), with_text=False)
+
+
+def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence unit with its place and text."""
+    return sentences.split(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_top10, p8_ids, p9_mix, p9_shares, p10_found, p10_sentences)}
 
 ORACLES = {
     "p2_found": "SELECT DISTINCT id AS memory_id FROM memory_record WHERE octet_length(encode(body.text)) > 2048",
