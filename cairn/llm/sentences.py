@@ -48,6 +48,7 @@ _LOG = re.compile(r"\s*\[?\d{4}[-/.]\d{2}[-/.]\d{2}(?:[T ]|\b)")
 _HEAD = re.compile(r"\s*(?:(?:[-*•–—>#]+|\(?(?:\d{1,4}(?:\.\d{1,3})*|[A-Za-z])[.)]|\[[^\]\n]{1,24}\])\s+)*(?:[\w.-]{1,24}:\s)?")
 _TOKEN = re.compile(r"[^\s(\[{\"“„«‘「『（:,;]+$")
 _NEXT = re.compile(r"\S+")
+_GLUED = re.compile(r"^.*[^\W\d_]{2}[.!?][)\"'”’»]*(?=[A-Z])")
 _STEP = re.compile(r"[A-Z]\.(?:\W|$)")
 _IDENTIFIER = re.compile(r"^[a-z][\w-]*[_./:=@\d(][\w./:=@(\"-]*")
 
@@ -66,7 +67,7 @@ def _before(line: str, at: int) -> tuple[str, str]:
     if at and line[at - 1].isspace():
         return "gap", ""
     m = _TOKEN.search(line, max(0, at - 24), at)
-    token = m[0] if m else ""
+    token = _GLUED.sub("", m[0]) if m else ""
     low = token.lower().rstrip(".")
     if not token:
         return "none", ""
@@ -265,7 +266,8 @@ _STRIP = re.compile(r"[^\w\s฀-๿]")
 def starts(text: str | None, layout: str | None, weights: Weights) -> list[int]:
     """The starts of a text's units in Unicode characters; null and blank texts have none."""
     out: list[int] = []
-    for a, b in spans(text or "", layout):
+    text = text or ""
+    for a, b in spans(text, layout):
         line = text[a:b].translate(_FLAT)
         first = len(line) - len(line.lstrip())
         if first == len(line):
