@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import mixing, pieces, sentences, tokens, vectors
+from cairn.llm import mixing, pieces, privacy, sentences, tokens, vectors
 from cairn.session import materialise, table
 
 
@@ -41,6 +41,18 @@ def p3_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.neighbours(spark, _chunks(spark, sf_dir), probes=vectors.WIDE_PROBES, queries=F.coalesce(number % 20 == 0, F.lit(False)))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """memory_id, kind and start of each piece of personal data, once per id."""
+    found = privacy.spans(spark, _bodies(spark, sf_dir), table(spark, sf_dir, "name_list"))
+    each = found.select("memory_id", F.explode("spans").alias("s"))
+    return each.select("memory_id", F.col("s.kind").alias("kind"), F.col("s.start").cast("bigint").alias("char_start")).distinct()
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text with placeholders in place of personal data, each repeated row once."""
+    return privacy.redact(privacy.spans(spark, _bodies(spark, sf_dir), table(spark, sf_dir, "name_list"), with_text=True)).distinct()
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and token ids of every document."""
     return tokens.encode_corpus(spark, table(spark, sf_dir, "documents"))
@@ -74,7 +86,7 @@ def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_top10, p8_ids, p9_mix, p9_shares, p10_found, p10_sentences)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_top10, p5_found, p5_redacted, p8_ids, p9_mix, p9_shares, p10_found, p10_sentences)}
 
 ORACLES = {
     "p2_found": "SELECT DISTINCT id AS memory_id FROM memory_record WHERE octet_length(encode(body.text)) > 2048",
