@@ -24,13 +24,14 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_oversized(_bodies(spark, sf_dir), "text", ["memory_id"]).distinct()
 
 
-def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.usable(table(spark, sf_dir, "stored_vector"), table(spark, sf_dir, "model_revision"))
+def _near(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    given = table(spark, sf_dir, "stored_vector")
+    return vectors.neighbours(spark, vectors.usable(given, table(spark, sf_dir, "model_revision")), given=given, **options)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks of one revision whose cosine is at least 0.95; every row asks, in the lists within the margin."""
-    near = vectors.neighbours(spark, _chunks(spark, sf_dir), probes=vectors.NEAR_PROBES, margin=vectors.NEAR_MARGIN, least=0.95)
+    near = _near(spark, sf_dir, probes=vectors.NEAR_PROBES, margin=vectors.NEAR_MARGIN, least=0.95)
     pair = near.select(F.least("chunk_id", "other_id").alias("chunk_id_a"), F.greatest("chunk_id", "other_id").alias("chunk_id_b"))
     return pair.distinct()
 
@@ -38,7 +39,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 most similar chunks of each chunk whose id (its hexadecimal end) is divisible by 20, against all rows."""
     number = F.conv(F.regexp_extract("chunk_id", "([0-9a-f]{1,15})$", 1), 16, 10).try_cast("bigint")
-    return vectors.neighbours(spark, _chunks(spark, sf_dir), probes=vectors.WIDE_PROBES, queries=F.coalesce(number % 20 == 0, F.lit(False)))
+    return _near(spark, sf_dir, probes=vectors.WIDE_PROBES, share_of_lists=vectors.WIDE_SHARE, queries=F.coalesce(number % 20 == 0, F.lit(False)))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

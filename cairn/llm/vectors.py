@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.session import materialise
@@ -21,7 +21,7 @@ from cairn.session import materialise
 #: Codebooks after the first, codewords in each of them, and partial sums kept while coding.
 BOOKS, WORDS, BEAM = 4, 256, 4
 #: At most about so many vectors of a revision are fitted to, picked by the hash of their id.
-SAMPLE = 32_768
+SAMPLE = 16_384
 #: Most lists of a revision; below that their number is the square root of the revision's vectors.
 MOST_LISTS = 4096
 #: A list is worked on in parts of at most so many vectors, and a part's queries in blocks.
@@ -30,9 +30,9 @@ PART, BLOCK = 8192, 512
 KEPT = 8
 ITERATIONS = 8
 #: For partners of a cosine of 0.95 or more: lists probed besides a row's own, and how far their score may be below the best.
-NEAR_PROBES, NEAR_MARGIN = 7, 0.06
-#: For the nearest neighbours however far: lists probed.
-WIDE_PROBES = 48
+NEAR_PROBES, NEAR_MARGIN = 2, 0.03
+#: For the nearest neighbours however far: lists probed, at least so many and at least this share of a revision's lists.
+WIDE_PROBES, WIDE_SHARE = 48, 0.25
 
 
 def usable(vectors: DataFrame, models: DataFrame) -> DataFrame:
@@ -57,7 +57,11 @@ def _by_revision(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.nd
     ends = ends - ends[0]
     for revision in np.unique(revisions):
         at = np.flatnonzero(revisions == revision)
-        width = ends[at[0] + 1] - ends[at[0]]
+        sizes = ends[at + 1] - ends[at]
+        width = int(np.median(sizes))  # rows to be coded have one width; a raw sample keeps its usual one
+        at = at[sizes == width]
+        if not width:
+            continue
         x = flat[ends[at][:, None] + np.arange(width)]
         norms = np.linalg.norm(x, axis=1)
         fine = np.isfinite(norms) & (norms > 0) & np.isfinite(x).all(axis=1)
@@ -124,22 +128,26 @@ CODED = "model_revision INT, chunk_id STRING, list INT, codes BINARY, norm FLOAT
 _FOUND = "model_revision INT, chunk_id STRING, other_id STRING, cosine DOUBLE"
 
 
-def code(spark: SparkSession, rows: DataFrame, probes: int, margin: float | None, sample: int = SAMPLE) -> tuple[DataFrame, dict[int, list[np.ndarray]]]:
+def code(spark: SparkSession, rows: DataFrame, given: DataFrame, probes: int, margin: float | None, share_of_lists: float = 0.0, sample: int = SAMPLE) -> tuple[DataFrame, dict[int, list[np.ndarray]]]:
     """The coded vectors (CODED) and the codebooks by revision.
 
-    ``probes``: the further lists in which a row's neighbours are sought, at most so many, and if
-    ``margin`` is given only those whose score is within it of the best. Codebooks are fitted to at most
+    Sizes and sample are taken from ``given``, the rows before repeats and unusable ones are left out, so
+    that these are sought once.
+
+    ``probes``: the further lists in which a row's neighbours are sought, at most so many or
+    that share of all lists, and if ``margin`` is given only those whose score is within it of the best. Codebooks are fitted to at most
     about ``sample`` vectors of a revision; every vector is coded.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy("model_revision").count().collect()}  # one row a model revision
+    counts = {r[0]: r[1] for r in given.groupBy("model_revision").count().collect()}  # one row a model revision
     share = F.lit(1.0)
     for revision, n in counts.items():
         share = F.when(F.col("model_revision") == revision, min(1.0, sample / n)).otherwise(share)
-    picked = rows.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 30)) < share * (1 << 30)).toArrow()
+    picked = given.where(F.col("vector").isNotNull() & (F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 30)) < share * (1 << 30))).toArrow()
     held: dict[int, list[np.ndarray]] = {}
     for batch in picked.to_batches():
         for revision, _, x in _by_revision(batch):
-            held.setdefault(revision, []).append(x)
+            if x.shape[1] == held.setdefault(revision, [x])[0].shape[1] and held[revision][0] is not x:
+                held[revision].append(x)
     books = {r: fit(np.concatenate(x), min(MOST_LISTS, max(8, int(np.sqrt(counts[r]))))) for r, x in held.items()}
     shared = spark.sparkContext.broadcast(books)  # (MOST_LISTS + BOOKS * WORDS) words a revision at most
 
@@ -152,7 +160,7 @@ def code(spark: SparkSession, rows: DataFrame, probes: int, margin: float | None
                         continue
                     codes, norms = encode(x, own)
                     score = x @ own[0].T - 0.5 * (own[0] ** 2).sum(1)
-                    many = min(probes + 1, score.shape[1])
+                    many = min(max(probes, int(share_of_lists * score.shape[1])) + 1, score.shape[1])
                     near = np.argpartition(-score, many - 1, axis=1)[:, :many] if many < score.shape[1] else np.tile(np.arange(many), (len(x), 1))
                     values = np.take_along_axis(score, near, 1)
                     order = np.argsort(-values, axis=1)
@@ -166,7 +174,7 @@ def code(spark: SparkSession, rows: DataFrame, probes: int, margin: float | None
     return materialise(spark, rows.mapInArrow(coded, CODED), "coded"), books
 
 
-def neighbours(spark: SparkSession, rows: DataFrame, k: int = 10, probes: int = 64, margin: float | None = None, least: float = -2.0, queries: "F.Column | None" = None) -> DataFrame:
+def neighbours(spark: SparkSession, rows: DataFrame, k: int = 10, probes: int = WIDE_PROBES, share_of_lists: float = 0.0, margin: float | None = None, least: float = -2.0, queries: Column | None = None, given: DataFrame | None = None) -> DataFrame:
     """(model_revision, chunk_id, other_id, cosine): for each query row its k most similar other rows of its revision.
 
     rows: (chunk_id, model_revision, vector), unique by chunk_id, of one width a revision. ``queries`` picks
@@ -175,7 +183,7 @@ def neighbours(spark: SparkSession, rows: DataFrame, k: int = 10, probes: int =
     into parts, which each query that probes it meets, so no task grows with the largest list. A revision
     with one usable row has no neighbours.
     """
-    coded, books = code(spark, rows, probes, margin)
+    coded, books = code(spark, rows, given or rows, probes, margin, share_of_lists)
     sizes = coded.groupBy("model_revision", "list").count().collect()  # at most MOST_LISTS rows a revision
     parts = {(r[0], r[1]): -(-r[2] // PART) for r in sizes}
     split = [(*key, n) for key, n in parts.items() if n > 1]
