@@ -35,15 +35,15 @@ def plan(docs: DataFrame, targets: DataFrame) -> DataFrame:
     The budget is the share of the tokens of all docs, those without a target included. A source without
     documents has no epochs and no rest.
     """
-    total = docs.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
+    total = docs.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     have = docs.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("tokens").alias("available"))
     each = targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").cast("bigint").alias("max_repeats"))
-    each = each.join(F.broadcast(total)).join(have, "source", "left").fillna(0, ["available"])  # total is one row
-    each = each.withColumn("budget", F.col("target_share") * F.col("total"))
+    each = each.join(have, "source", "left").fillna(0, ["available"])
+    each = each.withColumn("budget", F.col("target_share") * F.lit(total))
     whole = F.when(F.col("available") > 0, F.least("max_repeats", F.floor(F.col("budget") / F.col("available")))).otherwise(0)
     each = each.withColumn("epochs", whole.cast("bigint"))
     rest = F.when((F.col("epochs") < F.col("max_repeats")) & (F.col("available") > 0), F.col("budget") - F.col("epochs") * F.col("available")).otherwise(0.0)
-    return each.withColumn("rest", rest).drop("total")
+    return each.withColumn("rest", rest)
 
 
 def mix(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def shares(mixed: DataFrame, docs: DataFrame, targets: DataFrame) -> DataFrame:
     ``reached_share`` is of the tokens of all docs, like the target; 0 tokens at all give null.
     """
     used = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used"))
-    total = docs.agg(F.sum("tokens").alias("total"))
-    each = plan(docs, targets).join(used, "source", "left").fillna(0, ["used"]).join(F.broadcast(total))
-    share = F.when(F.col("total") > 0, F.col("used") / F.col("total"))
+    total = docs.agg(F.sum("tokens")).first()[0]
+    each = plan(docs, targets).join(used, "source", "left").fillna(0, ["used"])
+    share = F.col("used") / F.lit(total) if total else F.lit(None).cast("double")
     return each.select("source", "target_share", "max_repeats", "available", F.round("budget", 3).alias("budget"), "used", F.round(share, 6).alias("reached_share"))
