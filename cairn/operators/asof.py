@@ -36,18 +36,17 @@ def as_known(events: DataFrame, log: DataFrame, keys: list[str], at_us: str, per
 
     Null keys equal null keys. Repeated events are kept as often as they come; ties between changes of
     one state are one state. An event without a time has no state. Empty inputs give empty or null
-    results. Event columns may not be named period, known_us, state or seq.
+    results. Event columns keep their names; one named ``state`` is replaced.
     """
-    carried = [c for c in events.columns if c not in keys]
-    period = F.floor(F.col(at_us) / F.lit(period_us)).cast("bigint")
-    event_type = events.schema
-    asked = events.withColumn("period", period)
-    empty = [F.lit(None).cast(event_type[c].dataType).alias(c) for c in carried]
-    base = snapshots(log, keys, asked.where(F.col(at_us).isNotNull())).where(F.col("state").isNotNull())
+    whole = F.struct(*events.columns).alias("_event")
+    period = F.floor(F.col(at_us) / F.lit(period_us)).cast("bigint").alias("period")
+    asked = events.select(*keys, period, F.col(at_us).alias("_t"), whole)
+    no_event = F.lit(None).cast(asked.schema["_event"].dataType).alias("_event")
     no_state = F.lit(None).cast(log.schema["state"].dataType).alias("state")
-    rows = log.select(*keys, "period", F.col("known_us").alias("t"), F.lit(0).alias("seq"), "state", *empty)
-    rows = rows.unionByName(base.select(*keys, "period", (F.col("period") * period_us).alias("t"), F.lit(0).alias("seq"), "state", *empty))
-    rows = rows.unionByName(asked.select(*keys, "period", F.col(at_us).alias("t"), F.lit(1).alias("seq"), no_state, *carried))
-    replay = W.partitionBy(*keys, "period").orderBy("t", "seq").rowsBetween(W.unboundedPreceding, 0)
-    found = rows.withColumn("state", F.when(F.col("t").isNotNull(), F.max("state").over(replay))).where("seq = 1")
-    return found.select(*events.columns, "state")
+    base = snapshots(log, keys, asked.where(F.col("_t").isNotNull())).where(F.col("state").isNotNull())
+    rows = log.select(*keys, "period", F.col("known_us").alias("_t"), F.lit(0).alias("_seq"), "state", no_event)
+    rows = rows.unionByName(base.select(*keys, "period", (F.col("period") * period_us).alias("_t"), F.lit(0).alias("_seq"), "state", no_event))
+    rows = rows.unionByName(asked.select(*keys, "period", "_t", F.lit(1).alias("_seq"), no_state, "_event"))
+    replay = W.partitionBy(*keys, "period").orderBy("_t", "_seq").rowsBetween(W.unboundedPreceding, 0)
+    found = rows.withColumn("state", F.when(F.col("_t").isNotNull(), F.max("state").over(replay))).where("_seq = 1")
+    return found.select(*[F.col(f"_event.{c}").alias(c) for c in events.columns if c != "state"], "state")
