@@ -85,7 +85,8 @@ def chunked(df: DataFrame, key: str, text: str) -> DataFrame:
             for k, t in zip(batch[key], batch[text]):
                 spans = chunk_spans(t) if isinstance(t, str) else []
                 rows += [(k, i, a, b, len(spans) > MOST) for i, (a, b) in enumerate(spans)]
-            yield pd.DataFrame(rows, columns=[key, "ordinal", "byte_start", "byte_end", "too_many"])
+            if rows:
+                yield pd.DataFrame(rows, columns=[key, "ordinal", "byte_start", "byte_end", "too_many"])
 
     return df.select(key, text).mapInPandas(cut, f"{key} {key_type}, ordinal INT, byte_start INT, byte_end INT, too_many BOOLEAN")
 
