@@ -59,7 +59,7 @@ def pieces(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:
     cores = F.regexp_extract_all(raw, F.lit(core_pattern(limit - overlap)), F.lit(0))
     # The pairs (core before, core) come from the array and itself moved by one.
     moved = F.concat(F.array(F.lit("")), F.slice(cores, 1, F.greatest(F.size(cores) - 1, F.lit(0))))
-    held = lambda before: F.regexp_extract(F.right(before, F.lit(overlap + 1)), overlap_pattern(overlap), 0)
+    held = lambda before: F.lit("") if not overlap else F.regexp_extract(F.right(before, F.lit(overlap + 1)), overlap_pattern(overlap), 0)
     both = F.zip_with(moved, cores, lambda before, core: F.struct(back(F.concat(held(before), core)).alias("text"), F.length(held(before)).alias("overlap_bytes")))
     one = F.array(F.struct(text.alias("text"), F.lit(0).alias("overlap_bytes")))
     return F.when(F.octet_length(text) <= limit, one).otherwise(both)

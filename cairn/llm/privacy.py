@@ -215,7 +215,8 @@ def _learn(batches: Iterator[pd.DataFrame], listed: list[tuple[str, str]]) -> It
                         if comma and part != "given" or votes[1] == "u" and part != "family" or votes[0] == "u" and part != "given":
                             continue
                         seen[w.lower(), part] += 1
-        yield pd.DataFrame([(w, p, n) for (w, p), n in seen.items()], columns=["word", "part", "n"])
+        if seen:
+            yield pd.DataFrame([(w, p, n) for (w, p), n in seen.items()], columns=["word", "part", "n"])
 
 
 def learned_names(texts: DataFrame, listed: list[tuple[str, str]]) -> list[tuple[str, str]]:
@@ -274,7 +275,8 @@ def spans(spark: SparkSession, texts: DataFrame, names: DataFrame, with_text: bo
         for batch in batches:
             found = [[{"kind": k, "start": s, "end": e, "votes": v} for k, s, e, v in (propose(t, own) if isinstance(t, str) else [])] for t in batch["text"]]
             keep = [bool(f) for f in found] if not with_text else [True] * len(found)
-            yield batch[keep].assign(proposals=[f for f, k in zip(found, keep) if k])[[c for c in ("memory_id", "text") if c == "memory_id" or with_text] + ["proposals"]]
+            if any(keep):
+                yield batch[keep].assign(proposals=[f for f, k in zip(found, keep) if k])[[c for c in ("memory_id", "text") if c == "memory_id" or with_text] + ["proposals"]]
 
     one = "proposals ARRAY<STRUCT<kind: STRING, start: INT, end: INT, votes: STRING>>"
     id_type = texts.schema["memory_id"].dataType.simpleString()
@@ -287,7 +289,8 @@ def spans(spark: SparkSession, texts: DataFrame, names: DataFrame, with_text: bo
 
     def decided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.drop(columns="proposals").assign(spans=[_choose(p, likely.value) for p in batch["proposals"]])
+            if len(batch):
+                yield batch.drop(columns="proposals").assign(spans=[_choose(p, likely.value) for p in batch["proposals"]])
 
     schema = f"memory_id {id_type}, " + "text STRING, " * with_text + "spans ARRAY<STRUCT<kind: STRING, start: INT, end: INT>>"
     return held.mapInPandas(decided, schema)

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 #: At most about so many texts are fitted to, and at most so many characters of each of them.
 SAMPLE_TEXTS, SAMPLE_CHARS = 1500, 4000
-EPOCHS = 4
+#: Rounds over the sample at most; a round without a mistake is the last.
+EPOCHS = 15
 
 # Abbreviations, lower case, without their last stop.
 #: A name follows.
@@ -42,8 +43,8 @@ _CLOSERS = frozenset("\"'”’»›)]」』】〕）｣")
 _OPENERS = frozenset("\"'“‘«‹„‚(（[「『【〔｢¿¡")
 _ON = frozenset(",;:，、；：—–-/%،؛")
 _PARTICLES = frozenset("とはがをにでのもへや")
-_BREAK = re.compile(r"\r\n|[\n\r\x85  ]")
-_BLANK_LINE = re.compile(r"(?:\r\n|[\n\r\x85  ])[^\S\n\r\x85  ]*(?:(?:\r\n|[\n\r\x85  ])[^\S\n\r\x85  ]*)+")
+_BREAK = re.compile(r"\r\n|[\n\r\x85\u2028\u2029]")
+_BLANK_LINE = re.compile(r"(?>\r\n|[\n\r\x85\u2028\u2029])[^\S\n\r\x85\u2028\u2029]*(?:(?>\r\n|[\n\r\x85\u2028\u2029])[^\S\n\r\x85\u2028\u2029]*)+")
 _LOG = re.compile(r"\s*\[?\d{4}[-/.]\d{2}[-/.]\d{2}(?:[T ]|\b)")
 _HEAD = re.compile(r"\s*(?:(?:[-*•–—>#]+|\(?(?:\d{1,4}(?:\.\d{1,3})*|[A-Za-z])[.)]|\[[^\]\n]{1,24}\])\s+)*(?:[\w.-]{1,24}:\s)?")
 _TOKEN = re.compile(r"[^\s(\[{\"“„«‘「『（:,;]+$")
@@ -104,7 +105,7 @@ def _after(line: str, at: int) -> tuple[str, str]:
     if c in _ON:
         return "on", token
     if c.islower():
-        return ("identifier" if _IDENTIFIER.match(token) and not re.fullmatch(r"[a-z]+[.:]?", token) else "lower"), token
+        return ("identifier" if _IDENTIFIER.match(token) and not re.match(r"[a-z]+(?:[.:]?$|[.!?][A-Z])", token) else "lower"), token
     if c.isupper() or c.istitle():
         return "upper", token
     return "letter" if c.isalpha() else "other", token
@@ -247,18 +248,22 @@ def fit(texts: list[tuple[str, str | None]]) -> Weights:
                 chains.append((line, found))
     weights, sums, step = defaultdict(float), defaultdict(float), 0
     for _ in range(EPOCHS):
+        wrong = 0
         for line, found in chains:
             step += 1
             for (_, _, features, gold), tag in zip(found, decode(line, found, weights)):
                 if gold != tag:
+                    wrong += 1
                     by = 1.0 if gold else -1.0
                     for f in features:
                         weights[f] += by
                         sums[f] += by * step
+        if not wrong:
+            return dict(weights)
     return {f: w - sums[f] / (step + 1) for f, w in weights.items()}
 
 
-_FLAT = {ord(c): " " for c in "\n\r\x85  "}
+_FLAT = {ord(c): " " for c in "\n\r\x85\u2028\u2029"}
 _THAI = re.compile("[ก-๎]")
 _STRIP = re.compile(r"[^\w\s฀-๿]")
 
@@ -311,6 +316,7 @@ def split(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", with_tex
                 if with_text:
                     ordinal += range(len(found))
                     texts += [text[a:b].rstrip() for a, b in zip(found, [*found[1:], len(text or "")])]
-            yield pd.DataFrame({"doc_id": ids, "char_start": at} | ({"ordinal": ordinal, "sentence": texts} if with_text else {}))
+            if ids:
+                yield pd.DataFrame({"doc_id": ids, "char_start": at} | ({"ordinal": ordinal, "sentence": texts} if with_text else {}))
 
     return docs.select(F.col(doc_id).alias("doc_id"), "text", "layout").mapInPandas(cut, schema)
