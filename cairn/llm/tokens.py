@@ -1,8 +1,9 @@
 """Token ids of a whole corpus: each distinct word is encoded once, over the whole cluster.
 
 Texts are cut into pre-tokens by the tokenizer's pattern, inside the JVM. The distinct pre-tokens are
-encoded once, their ids are joined back to the positions, and each text is put together again. Frequent
-words are met by a broadcast of at most a thousand rows, all others by a shuffled join.
+encoded once, their ids are joined back to the positions, and each text is put together again. A table of
+words that is small by measure is broadcast; of a larger one frequent words are met by a broadcast of at
+most a thousand rows, and all others by a shuffled join.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from cairn.session import materialise
 #: The folder of the tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Bytes up to which the table of distinct words is broadcast whole; its size is measured first.
+BROADCAST_BYTES = 32 << 20
 #: Fixed value: the pre-token pattern of this vocabulary. (?U) lets \\s mean white space of Unicode in Java as well.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -52,6 +55,12 @@ def vocabulary(spark: SparkSession, tokens: DataFrame, path: str) -> DataFrame:
     return materialise(spark, counted.select("word", "n", encode("word").alias("ids")), "vocabulary")
 
 
+def held_bytes(vocab: DataFrame) -> int:
+    """About the bytes that a broadcast of the words and their ids takes."""
+    each = F.octet_length("word") + 4 * F.size("ids") + 64
+    return vocab.agg(F.coalesce(F.sum(each.cast("bigint")), F.lit(0))).first()[0]
+
+
 def hot_words(vocab: DataFrame) -> list[str]:
     """The most frequent words, at most MAX_HOT_KEYS."""
     return [r[0] for r in vocab.where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n"), "word").limit(MAX_HOT_KEYS).select("word").collect()]
@@ -65,9 +74,12 @@ def encode_corpus(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id",
     columns are ignored. A document's ids come together in one task, as they are one value.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    tokens = words(docs, "doc_id", "text")
-    vocab = vocabulary(spark, tokens, path)
-    joined = lookup(tokens, vocab.select("word", "ids"), "word", hot=hot_words(vocab))
+    vocab = vocabulary(spark, words(docs, "doc_id", "text"), path)
+    if held_bytes(vocab) <= BROADCAST_BYTES:
+        # Texts are placed by id once; words and ids then stay where they are until they are together again.
+        joined = words(docs.repartition("doc_id"), "doc_id", "text").join(F.broadcast(vocab.select("word", "ids")), "word")
+    else:
+        joined = lookup(words(docs, "doc_id", "text"), vocab.select("word", "ids"), "word", hot=hot_words(vocab))
     whole = joined.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("pos", "ids")).alias("parts"))
     whole = whole.select("doc_id", F.flatten(F.transform(F.array_sort("parts"), lambda p: p["ids"])).alias("ids"))
     empty = docs.where(F.col("text").isNull() | (F.col("text") == "")).select("doc_id", F.array().cast("array<int>").alias("ids")).distinct()

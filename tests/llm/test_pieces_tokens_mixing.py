@@ -70,8 +70,10 @@ def test_ids_and_decoding(spark):
     assert counts == {i: len(true(t)) for i, t in enumerate(SAMPLE) if t}
 
 
-def test_ids_of_documents_with_hot_words(spark, data, monkeypatch):
+@pytest.mark.parametrize("most", [0, 32 << 20])
+def test_ids_of_documents(spark, data, monkeypatch, most):
     monkeypatch.setattr(tokens, "HOT_ROWS", 5)
+    monkeypatch.setattr(tokens, "BROADCAST_BYTES", most)
     docs = spark.read.parquet(f"{data}/documents.parquet")
     true = reference()
     got = {r["doc_id"]: list(r["ids"]) for r in tokens.encode_corpus(spark, docs).collect()}
