@@ -26,6 +26,8 @@ SAMPLE = 16_384
 MOST_LISTS = 4096
 #: A list is worked on in parts of at most so many vectors, and a part's queries in blocks.
 PART, BLOCK = 8192, 512
+#: Queries of a list come in turns of about so many, so that a crowded list is several tasks.
+TURN = 32_768
 #: Candidates a query keeps in a part of a list for the exact rerank, for each neighbour wanted.
 KEPT = 8
 ITERATIONS = 8
@@ -174,30 +176,42 @@ def code(spark: SparkSession, rows: DataFrame, given: DataFrame, probes: int, ma
     return materialise(spark, rows.mapInArrow(coded, CODED), "coded"), books
 
 
+def _held(counts: dict[tuple[int, int], int]) -> Column:
+    """The number that counts holds for a row's (model_revision, in), 1 where it holds none."""
+    if not counts:
+        return F.lit(1)
+    pairs = [F.lit(x) for (revision, word), n in counts.items() for x in (f"{revision}/{word}", n)]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.concat_ws("/", "model_revision", "in")), F.lit(1))
+
+
 def neighbours(spark: SparkSession, rows: DataFrame, k: int = 10, probes: int = WIDE_PROBES, share_of_lists: float = 0.0, margin: float | None = None, least: float = -2.0, queries: Column | None = None, given: DataFrame | None = None) -> DataFrame:
     """(model_revision, chunk_id, other_id, cosine): for each query row its k most similar other rows of its revision.
 
     rows: (chunk_id, model_revision, vector), unique by chunk_id, of one width a revision. ``queries`` picks
     the query rows, else all are. Only cosines of at least ``least`` count. Null vectors, non-finite
     values and zero vectors are left out. Ties go by other_id. A list with many members is split
-    into parts, which each query that probes it meets, so no task grows with the largest list. A revision
+    into parts and its queries into turns, each a task
+    of its own, so no task grows with the largest list. A revision
     with one usable row has no neighbours.
     """
     coded, books = code(spark, rows, given or rows, probes, margin, share_of_lists)
-    sizes = coded.groupBy("model_revision", "list").count().collect()  # at most MOST_LISTS rows a revision
-    parts = {(r[0], r[1]): -(-r[2] // PART) for r in sizes}
-    split = [(*key, n) for key, n in parts.items() if n > 1]
     asks = F.lit(True) if queries is None else queries
+    # at most MOST_LISTS rows a revision
+    sizes = {(r[0], r[1]): r[2] for r in coded.groupBy("model_revision", "list").count().collect()}
+    asked = coded.where(asks).select("model_revision", F.explode(F.concat("probes", F.array("list"))).alias("in")).groupBy("model_revision", "in").count().collect()
+    parts = {key: -(-n // PART) for key, n in sizes.items() if n > PART}
+    turns = {(r[0], r[1]): -(-r[2] // TURN) for r in asked if r[2] > TURN}
     member = coded.select("model_revision", F.col("list").alias("in"), "chunk_id", "codes", "norm", "vector", F.lit(True).alias("member"), asks.alias("asks"))
-    ask = coded.where(asks).select("model_revision", F.explode("probes").alias("in"), "chunk_id", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"), "vector", F.lit(False).alias("member"), F.lit(True).alias("asks"))
-    if split:  # bounded: at most all rows / PART
-        n = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for r, l, p in split for x in (f"{r}/{l}", p)]), F.concat_ws("/", "model_revision", "in")), F.lit(1))
-        own = F.pmod(F.xxhash64("chunk_id"), n).cast("int")
-        others = member.where(asks & (n > 1)).withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).where(F.col("part") != own)
-        others = others.withColumns({"codes": F.lit(None).cast("binary"), "norm": F.lit(None).cast("float"), "member": F.lit(False)})
-        union = member.withColumn("part", own).unionByName(others).unionByName(ask.withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))))
+    no_code = {"codes": F.lit(None).cast("binary"), "norm": F.lit(None).cast("float"), "member": F.lit(False), "asks": F.lit(True)}
+    ask = coded.where(asks).select("model_revision", F.explode("probes").alias("in"), "chunk_id", "vector").withColumns(no_code)
+    if parts or turns:  # large lists: members in parts, queries in turns, and every turn meets every part
+        n, turn_n = _held(parts), _held(turns)
+        own, own_turn = F.pmod(F.xxhash64("chunk_id"), n).cast("int"), F.pmod(F.xxhash64(F.lit(1), "chunk_id"), turn_n).cast("int")
+        others = member.where(asks & (n > 1)).withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).where(F.col("part") != own).withColumn("turn", own_turn).withColumns(no_code)
+        base = member.withColumn("part", own).withColumn("turn", F.explode(F.sequence(F.lit(0), turn_n - 1))).withColumn("asks", F.col("asks") & (F.col("turn") == own_turn))
+        union = base.unionByName(others).unionByName(ask.withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("turn", own_turn))
     else:
-        union = member.unionByName(ask).withColumn("part", F.lit(0))
+        union = member.unionByName(ask).withColumns({"part": F.lit(0), "turn": F.lit(0)})
     shared = spark.sparkContext.broadcast(books)
 
     def search(group: pa.Table) -> pa.Table:
@@ -235,7 +249,7 @@ def neighbours(spark: SparkSession, rows: DataFrame, k: int = 10, probes: int =
         one = [np.concatenate(f) if found else np.asarray([]) for f in (zip(*found) if found else [(), (), ()])]
         return pa.table({"model_revision": pa.array([revision] * len(one[0]), pa.int32()), "chunk_id": pa.array(list(one[0]), pa.string()), "other_id": pa.array(list(one[1]), pa.string()), "cosine": pa.array(one[2], pa.float64())})
 
-    scored = union.groupBy("model_revision", "in", "part").applyInArrow(search, _FOUND)
+    scored = union.groupBy("model_revision", "in", "part", "turn").applyInArrow(search, _FOUND)
     top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "other_id"))), 1, k)
     each = scored.groupBy("model_revision", "chunk_id").agg(top.alias("top")).select("model_revision", "chunk_id", F.explode("top").alias("t"))
     return each.select("model_revision", "chunk_id", F.col("t.other_id").alias("other_id"), (-F.col("t.c")).alias("cosine"))

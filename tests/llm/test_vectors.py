@@ -36,14 +36,16 @@ def test_recall_of_nearest(spark, rows):
         assert abs(c - s[0, int(o[1:])]) < 1e-5
 
 
-@pytest.mark.parametrize("part", [8192, 64])
-def test_pairs_above_a_cosine(spark, rows, monkeypatch, part):
+@pytest.mark.parametrize("part, turn", [(8192, 32768), (64, 32768), (64, 50), (8192, 50)])
+def test_pairs_above_a_cosine(spark, rows, monkeypatch, part, turn):
     monkeypatch.setattr(vectors, "PART", part)
+    monkeypatch.setattr(vectors, "TURN", turn)
     df, x = rows
     s, _ = truth(x, 10)
     true = {(f"c{i:04}", f"c{j:04}") for i, j in zip(*np.nonzero(s >= 0.97)) if i < j}
     near = vectors.neighbours(spark, df, probes=2, margin=0.03, least=0.97).collect()
     got = {tuple(sorted((r["chunk_id"], r["other_id"]))) for r in near}
+    assert len({(r["chunk_id"], r["other_id"]) for r in near}) == len(near)
     assert got <= true and len(got) >= 0.97 * len(true) and all(r["cosine"] >= 0.97 for r in near)
 
 
