@@ -33,7 +33,7 @@ _EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za
 _NUMBER = re.compile(
     r"(?<![A-Za-z0-9_/.-])(?:"
     r"(?P<card>[A-Z]{3}-\d{6}-[A-Z](?![A-Za-z0-9]))|(?P<insurance>[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?![a-z0-9]))|(?P<passport>[A-Z]{2} ?\d{7}(?!\d))"
-    r"|(?P<world>\+\d{1,3}[ .-]?(?:\(0?\d{0,4}\)[ .-]?)?\d{1,5}(?:[ .-]?\d{1,5}){1,5}(?!\d))|(?P<dialled>00\d{2}[ .-]\d{1,5}(?:[ .-]\d{2,5}){1,4}(?!\d))"
+    r"|(?P<world>\+\d{1,3}[ .-]?(?:\(0?\d{0,4}\)[ .-]?)?\d{1,5}(?:(?:[ .-](?!0\d{4}))?\d{1,5}){1,5}(?!\d))|(?P<dialled>00\d{2}[ .-]\d{1,5}(?:[ .-]\d{2,5}){1,4}(?!\d))"
     r"|(?P<american>(?:1[ .-])?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d))|(?P<pairs>0\d(?:[ .]\d{2}){4}(?!\d))|(?P<area>\(0\d{2,4}\) ?\d{3,6}(?:[ -]\d{2,4})?(?!\d))|(?P<national>0\d{2,4} \d{3,6}(?: \d{3,4})?(?!\d)|0\d{9,10}(?!\d))"
     r"|(?P<social>\d{3}-\d{2}-\d{4}(?![\d-]))|(?P<spaced>\d{3} \d{2} \d{4}(?!\d))|(?P<tax>\d{2} \d{3} \d{3} \d{3}(?!\d))|(?P<bare>\d{9,11}(?!\d))"
     r"|(?P<other>\d{4}-\d{1,3}-\d{4}|\d{2}-\d{2,3}-\d{2}|\d{4}\.\d{2}\.\d{2,3}|\d \d{3} \d{3})(?!\d))"
@@ -164,7 +164,7 @@ def propose(text: str, names: Names) -> list[Span]:
         papers, calls, others = (("y" if p.search(before) else "-") for p in (_PAPERS, _CALLS, _OTHERS))
         digits = sum(c.isdigit() for c in m[0])
         if form in _IDENTITY or (form in ("bare", "other") and papers == "y"):
-            strong = "y" if form in ("card", "insurance", "social") else "l" if papers == "y" else "n"
+            strong = "s" if form in ("card", "insurance", "social") else "l" if papers == "y" else "n"
             out.append(("identity_number", start, end, f"{strong}{papers}{'n' if others == 'y' else '-'}{'-' if form != 'other' else 'n'}"))
         else:
             fits = "y" if form not in ("bare", "other") and 9 <= digits <= 15 else "n"
@@ -228,14 +228,14 @@ def learned_names(texts: DataFrame, listed: list[tuple[str, str]]) -> list[tuple
     return [(r["word"], "given" if r["given"] > r["family"] else "family") for r in fine.collect() if r["word"] not in known]
 
 
-_VALUES = "yn-lucif"
+_VALUES = "yn-lucis"
 
 
 def _estimate(patterns: list[tuple[str, int]]) -> dict[str, float]:
     """How likely each pattern of votes is a true span: expectation maximisation over labelers taken as independent, then a logistic classifier of the votes."""
     votes, n = [p for p, _ in patterns], np.array([c for _, c in patterns], float)
     width = max(map(len, votes))
-    start = np.array([sum({"y": 1.0, "l": 0.8, "i": 0.6, "u": -1.8, "c": -1.8, "n": -3.0, "-": 0.0}[v] for v in p) for p in votes])
+    start = np.array([sum({"y": 1.0, "s": 2.0, "l": 0.8, "i": 0.6, "u": -1.8, "c": -1.8, "n": -3.0, "-": 0.0}[v] for v in p) for p in votes])
     likely = 1 / (1 + np.exp(-(start - 0.4) * 2))
     one_hot = np.array([[v == x for i, v in enumerate(p) for x in _VALUES] for p in votes], float)
     guess = likely
