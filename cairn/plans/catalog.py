@@ -1,8 +1,8 @@
 """All core queries and their oracle SQL."""
 
-from cairn.plans import claims, core_problems, records, retrieval, streams
+from cairn.plans import claims, core_problems, records, retrieval, streams, upkeep
 
-MODULES = (core_problems, records, claims, retrieval, streams)
+MODULES = (core_problems, records, claims, retrieval, streams, upkeep)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
