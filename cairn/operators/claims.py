@@ -40,7 +40,7 @@ def validated(claims: DataFrame, registry: DataFrame) -> DataFrame:
     claims: predicate (namespace, name, version), subject_kind, value_type, stance, slot_key; registry: one
     row for each predicate version, a small table, with its subject kind, value type and whether it is slotted.
     """
-    known = F.broadcast(registry.select("predicate_namespace", "predicate_name", F.col("version").alias("_v"), F.col("kind").alias("_kind"), F.col("value").alias("_value"), F.col("slotted").alias("_slotted")))
+    known = registry.select("predicate_namespace", "predicate_name", F.col("version").alias("_v"), F.col("kind").alias("_kind"), F.col("value").alias("_value"), F.col("slotted").alias("_slotted"))
     out = claims.join(known, ["predicate_namespace", "predicate_name"], "left")
     problem = F.when(F.col("_v").isNull(), "unknown_predicate").when(F.col("predicate_version") != F.col("_v"), "wrong_version").when(F.col("subject_kind") != F.col("_kind"), "wrong_subject")
     problem = problem.when(F.col("value_type").isNull(), "no_value").when(F.col("value_type") != F.col("_value"), "wrong_value").when(F.col("slot_key").isNotNull() & ~F.col("_slotted"), "slot_not_allowed").when(~F.col("stance").isin(*STANCES), "unknown_stance")
@@ -88,3 +88,26 @@ def project(claims: DataFrame, supersedes: DataFrame, retracted: DataFrame, quer
     out = slots.join(final, "slot", "left")
     state = F.when(~F.col("any_cover"), "absent").when(~F.col("any_active"), "retracted").when(F.col("values") > 1, "conflicted").otherwise("value")
     return out.select(*SLOT, state.alias("state"), F.when(state == "value", F.col("value")).alias("value"), F.coalesce("claims", F.array().cast("array<string>")).alias("claims"))
+
+
+def evidence_problem(evidence: Column, sources_missing: Column, seeded: Column, floor: int) -> Column:
+    """The first check that a proposal's evidence (kind, level, score) fails, or null.
+
+    In order: no evidence, a source that is not available, a seed that claims to be a user's statement, a
+    score below the floor, a user's statement below a user's level.
+    """
+    said = lambda e: e["kind"] == "user_statement"
+    problem = F.when(F.coalesce(F.size(evidence), F.lit(0)) <= 0, "no_evidence").when(sources_missing, "source_unavailable")
+    problem = problem.when(seeded & F.exists(evidence, said), "seed_as_user").when(F.exists(evidence, lambda e: F.coalesce(e["score"] < floor, F.lit(False))), "below_floor")
+    return problem.when(F.exists(evidence, lambda e: said(e) & (rank(e["level"]) < LEVELS.index("user_asserted"))), "below_user_level")
+
+
+def evolution_problems(registry: DataFrame) -> DataFrame:
+    """(namespace, version, lost_kinds, lost_values): what a version of a registry drops of the one before it.
+
+    registry: namespace, version, kinds ARRAY, values ARRAY; a successor may only grow. First versions and
+    those after a gap are not compared. It is small: one row a version of a namespace.
+    """
+    before = registry.select("namespace", (F.col("version") + 1).alias("version"), F.col("kinds").alias("_k"), F.col("values").alias("_v"))
+    both = registry.join(before, ["namespace", "version"])
+    return both.select("namespace", "version", F.array_sort(F.array_except("_k", "kinds")).alias("lost_kinds"), F.array_sort(F.array_except("_v", "values")).alias("lost_values"))
