@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators import asof, feed, hierarchy, instants
-from cairn.session import table
+from cairn.session import materialise, table
 
 CLAIM_KEYS = ["scope_id", "subject_key", "predicate_name", "slot_key"]
 
@@ -18,7 +18,7 @@ def _as_known_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = held.select(*CLAIM_KEYS, "tx_seq", "recorded_at", "valid_time", F.col("provenance.source.system").alias("system"))
     held = instants.normalise(spark, held, "valid_time", "system", systems, abbreviations, "valid_us")
     known = F.when(F.col("valid_us").isNotNull() & F.col("recorded_at").isNotNull(), F.greatest("valid_us", F.unix_micros("recorded_at")))
-    log = asof.change_log(held, CLAIM_KEYS, known, F.struct("valid_us", "tx_seq"))
+    log = materialise(spark, asof.change_log(held, CLAIM_KEYS, known, F.struct("valid_us", "tx_seq")), "changes")
     requests = table(spark, sf_dir, "recall_request").dropna(subset=[*named, "asked_at"])
     requests = requests.select("recall_id", *CLAIM_KEYS, F.unix_micros("asked_at").alias("asked_us")).distinct()
     return asof.as_known(requests, log, CLAIM_KEYS, "asked_us")

@@ -12,7 +12,7 @@ from cairn.functions import vectors as V
 from cairn.operators import retrieval as R
 from cairn.plans.records import E, M, memories
 from cairn.plans.registry import Catalog
-from cairn.session import table
+from cairn.session import materialise, table
 
 C = Catalog()
 TERMS = ["claims", "vectors", "evidence", "receipts"]
@@ -73,7 +73,7 @@ def vector_a10_best_chunk(spark, d):
 
 def _postings(spark, d):
     words = table(spark, d, "documents").select("doc_id", F.explode(X.words(F.col("text"))).alias("word"))
-    return words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    return materialise(spark, words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n")), "postings")
 
 
 _P = "w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS word FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY 1, 2), l AS (SELECT doc_id, sum(n) AS len FROM p GROUP BY 1), s AS (SELECT count(*) AS docs, avg(len) AS mean FROM l), f AS (SELECT word, count(*) AS df FROM p GROUP BY 1)"
@@ -111,7 +111,7 @@ def text_x11_budget(spark, d):
 def text_x15_evaluation(spark, d):
     """Quality of the BM25 ranking if documents of one source were the relevant ones."""
     scores = R.bm25(_postings(spark, d), TERMS)
-    ranked = scores.select(F.lit(1).alias("query"), "doc_id", F.row_number().over(W.orderBy(F.desc("score"), "doc_id")).alias("rank")) if scores else None
+    ranked = scores.select(F.lit(1).alias("query"), "doc_id", F.row_number().over(W.orderBy(F.desc("score"), "doc_id")).alias("rank"))
     truth = table(spark, d, "documents").where("source = 'glossary' AND text IS NOT NULL").select(F.lit(1).alias("query"), "doc_id")
     return R.evaluated(ranked, truth)
 

@@ -62,3 +62,9 @@ def materialise(spark: SparkSession, df: DataFrame, label: str, partition_by: li
 def micros(column) -> "F.Column":
     """Microseconds since 1970 of a timestamp column."""
     return F.unix_micros(column)
+
+
+def spread(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
+    """df over as many partitions as there are cores, if a few files gave it fewer; for steps that compute much a byte."""
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
