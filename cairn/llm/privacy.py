@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.session import materialise
+from cairn.session import materialise, spread
 
 KINDS = ("email", "phone", "identity_number", "street_address", "person_name")
 #: A word is learned as a name if it stands beside a known one at least so often, and in at least this share of its places.
@@ -280,7 +280,7 @@ def spans(spark: SparkSession, texts: DataFrame, names: DataFrame, with_text: bo
 
     one = "proposals ARRAY<STRUCT<kind: STRING, start: INT, end: INT, votes: STRING>>"
     id_type = texts.schema["memory_id"].dataType.simpleString()
-    held = materialise(spark, texts.select("memory_id", "text").mapInPandas(proposed, f"memory_id {id_type}, " + "text STRING, " * with_text + one), "proposals")
+    held = materialise(spark, spread(spark, texts.select("memory_id", "text"), "memory_id").mapInPandas(proposed, f"memory_id {id_type}, " + "text STRING, " * with_text + one), "proposals")
     each = held.select(F.explode("proposals").alias("p")).groupBy("p.kind", "p.votes").count()
     by_kind: dict[str, list[tuple[str, int]]] = {}
     for kind, votes, n in each.collect():  # bounded by the patterns of a few votes

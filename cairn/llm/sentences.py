@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.session import spread
+
 #: At most about so many texts are fitted to, and at most so many characters of each of them.
 SAMPLE_TEXTS, SAMPLE_CHARS = 1500, 4000
 #: Rounds over the sample at most; a round without a mistake is the last.
@@ -302,7 +304,7 @@ def split(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", with_tex
 
     docs has text and layout (flow, lines or wrapped; null or unknown means flow). Null, empty and blank
     texts have no units. Repeated rows give repeated units. Units end before the white space between them.
-    Other columns are ignored; nothing is shuffled.
+    Other columns are ignored; nothing is shuffled unless files are fewer than cores.
     """
     weights = spark.sparkContext.broadcast(model(docs))  # a few thousand features at most
     id_type = docs.schema[doc_id].dataType.simpleString()
@@ -322,4 +324,4 @@ def split(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", with_tex
             if ids:
                 yield pd.DataFrame({"doc_id": ids, "char_start": at} | ({"ordinal": ordinal, "sentence": texts} if with_text else {}))
 
-    return docs.select(F.col(doc_id).alias("doc_id"), "text", "layout").mapInPandas(cut, schema)
+    return spread(spark, docs.select(F.col(doc_id).alias("doc_id"), "text", "layout"), "doc_id").mapInPandas(cut, schema)
