@@ -107,7 +107,7 @@ def text_x11_budget(spark, d):
     return R.packed(m, ["scope_id"], "place", F.ceil(F.octet_length("text") / 3.0), 4000).select("scope_id", "id", "size", "total", F.col("rank").cast("bigint").alias("rank"))
 
 
-@C.query(f"WITH {_P}, a AS ({_BM25}), r AS (SELECT 1 AS query, doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM a), t AS (SELECT 1 AS query, doc_id FROM documents WHERE source = 'glossary' AND text IS NOT NULL), h AS (SELECT r.* FROM r JOIN t USING (doc_id)), n AS (SELECT count(DISTINCT doc_id) AS n FROM t) SELECT round(sum((rank <= 5)::INT) / any_value(n), 6) AS recall_5, round(sum((rank <= 10)::INT) / any_value(n), 6) AS recall_10, round(sum((rank <= 20)::INT) / any_value(n), 6) AS recall_20, round(sum((rank <= 5)::INT) / 5, 6) AS precision_5, round(1.0 / min(rank), 6) AS mrr, round(sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1.0) ELSE 0 END) / (SELECT sum(1 / log2(i + 1.0)) FROM range(1, least((SELECT n FROM n), 10) + 1) x(i)), 6) AS ndcg_10 FROM h, n")
+@C.query(f"WITH {_P}, a AS ({_BM25}), r AS (SELECT 1 AS query, doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM a), t AS (SELECT 1 AS query, doc_id FROM documents WHERE source = 'glossary' AND text IS NOT NULL), h AS (SELECT r.* FROM r JOIN t USING (doc_id)), n AS (SELECT count(DISTINCT doc_id) AS n FROM t) SELECT coalesce(round(sum((rank <= 5)::INT) / any_value(n), 6), 0) AS recall_5, coalesce(round(sum((rank <= 10)::INT) / any_value(n), 6), 0) AS recall_10, coalesce(round(sum((rank <= 20)::INT) / any_value(n), 6), 0) AS recall_20, coalesce(round(sum((rank <= 5)::INT) / 5, 6), 0) AS precision_5, coalesce(round(1.0 / min(rank), 6), 0) AS mrr, round(sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1.0) ELSE 0 END) / (SELECT sum(1 / log2(i + 1.0)) FROM range(1, least((SELECT n FROM n), 10) + 1) x(i)), 6) AS ndcg_10 FROM n LEFT JOIN h ON TRUE")
 def text_x15_evaluation(spark, d):
     """Quality of the BM25 ranking if documents of one source were the relevant ones."""
     scores = R.bm25(_postings(spark, d), TERMS)
