@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 # Characters that normalisation drops, and white space that it trims.
 DROPPED = "\u00ad\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2066\u2067\u2068\u2069\ufeff"
 BLANKS = "\t\u000b\u000c\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Scripts written without blanks between words; the sound marks of kana belong to no script.
+_SCRIPTS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\u30fc\uff70]"
+DENSE = rf"[{_SCRIPTS}&&[\p{{L}}\p{{M}}]]"
 #: Days after which importance has halved.
 HALF_LIFE_DAYS = 30
 
@@ -31,14 +34,17 @@ def _composed(column: pd.Series) -> pd.Series:
     return column.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+def _visible(text: Column) -> Column:
+    kept = F.regexp_replace(text, f"[{DROPPED}]", "")
+    return F.when(F.octet_length(kept) == F.length(kept), kept).otherwise(_composed(kept))
+
+
 def normal_form(text: Column) -> Column:
     """Drops invisible characters, composes (NFC), and trims the end of every line and of the text. Null stays null.
 
     Composition has no built-in; texts of ASCII alone skip it.
     """
-    kept = F.regexp_replace(text, f"[{DROPPED}]", "")
-    composed = F.when(F.octet_length(kept) == F.length(kept), kept).otherwise(_composed(kept))
-    return F.regexp_replace(F.regexp_replace(composed, f"[{BLANKS}]+\\n", "\n"), f"[{BLANKS}\\n]+\\z", "")
+    return F.regexp_replace(F.regexp_replace(_visible(text), f"[{BLANKS}]+\\n", "\n"), f"[{BLANKS}\\n]+\\z", "")
 
 
 def fingerprint(scope: Column, kind: Column, text: Column) -> Column:
@@ -71,5 +77,19 @@ def sentence_list(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Lower-case runs of letters and digits of ASCII, for lexical retrieval."""
+    """Lower-case runs of letters and digits of ASCII, as the oracle SQL of the queries that use it says; ``all_words`` covers every script."""
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+
+
+def all_words(text: Column) -> Column:
+    """Lower-case words of every script, for lexical retrieval: composed runs of letters, digits and their marks.
+
+    Runs of a script without blanks between words give their overlapping pairs of characters, and a run of one gives that one.
+    """
+    plain = rf"[\p{{L}}\p{{N}}&&[^{DENSE}]][\p{{L}}\p{{M}}\p{{N}}&&[^{DENSE}]]*"
+    low = F.lower(_visible(text))
+    runs = lambda p: F.regexp_extract_all(low, F.lit(p), F.lit(0))
+    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
+    dense = lambda r: r.rlike(f"^{DENSE}") & (F.length(r) > 1)
+    mixed = F.flatten(F.transform(runs(f"{DENSE}+|{plain}"), lambda r: F.when(dense(r), pairs(r)).otherwise(F.array(r))))
+    return F.when(text.rlike(_SCRIPTS), mixed).otherwise(runs(r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]*"))

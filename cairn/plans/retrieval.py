@@ -71,11 +71,29 @@ def vector_a10_best_chunk(spark, d):
     return s.groupBy("memory_id").agg(F.max(F.struct(F.round("x", 6).alias("score"), "chunk_id")).alias("b")).select("memory_id", "b.chunk_id", "b.score")
 
 
-def _postings(spark, d):
-    words = table(spark, d, "documents").select("doc_id", F.explode(X.words(F.col("text"))).alias("word"))
+def _postings(spark, d, split=X.words):
+    words = table(spark, d, "documents").select("doc_id", F.explode(split(F.col("text"))).alias("word"))
     return materialise(spark, words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n")), "postings")
 
 
+def _recent(spark, d):
+    return table(spark, d, "documents").where("captured_at IS NOT NULL").select("doc_id", F.unix_seconds("captured_at").alias("score"))
+
+
+def _evaluation(spark, d, split):
+    scores = R.bm25(_postings(spark, d, split), TERMS)
+    ranked = scores.select(F.lit(1).alias("query"), "doc_id", F.row_number().over(W.orderBy(F.desc("score"), "doc_id")).alias("rank"))
+    truth = table(spark, d, "documents").where("source = 'glossary' AND text IS NOT NULL").select(F.lit(1).alias("query"), "doc_id")
+    return R.evaluated(ranked, truth)
+
+
+def _static_embedding(spark, d, split):
+    w = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(split(F.col("text"))).alias("token"))
+    t = w.select("token").distinct().select("token", F.array(*[(c % m + 1).cast("double") for c, m in ((F.ascii("token"), 7), (F.length("token"), 5), (F.ascii(F.right("token", F.lit(1))), 11))]).alias("vector"))
+    v = chunks.static_embedding(w, t)
+    return v.select(F.col("id").alias("doc_id"), *[F.round(F.col("vector")[i], 5).alias(n) for i, n in enumerate("xyz")])
+
+
 _P = "w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS word FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY 1, 2), l AS (SELECT doc_id, sum(n) AS len FROM p GROUP BY 1), s AS (SELECT count(*) AS docs, avg(len) AS mean FROM l), f AS (SELECT word, count(*) AS df FROM p GROUP BY 1)"
 _T = ", ".join(f"'{t}'" for t in TERMS)
 _BM25 = f"SELECT p.doc_id, round(sum(ln(1 + (s.docs - f.df + 0.5) / (f.df + 0.5)) * p.n * 2.2 / (p.n + 1.2 * (0.25 + 0.75 * l.len / s.mean))), 6) AS score FROM p JOIN l USING (doc_id) JOIN f USING (word), s WHERE p.word IN ({_T}) GROUP BY 1"
@@ -96,8 +114,7 @@ def text_x8_bm25(spark, d):
 @C.query(f"WITH {_P}, a AS ({_BM25}), ra AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank_lexical FROM (SELECT * FROM a ORDER BY score DESC, doc_id LIMIT 100)), b AS (SELECT doc_id, epoch(captured_at)::BIGINT AS score FROM documents WHERE captured_at IS NOT NULL), rb AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank_recent FROM (SELECT * FROM b ORDER BY score DESC, doc_id LIMIT 100)) SELECT coalesce(ra.doc_id, rb.doc_id) AS doc_id, rank_lexical, rank_recent, round(coalesce(1.0 / (60 + rank_lexical), 0) + coalesce(1.0 / (60 + rank_recent), 0), 8) AS score FROM ra FULL JOIN rb ON ra.doc_id = rb.doc_id")
 def text_x9_x10_fusion(spark, d):
     """Lexical and recency channels fused by reciprocal ranks, with the ranks kept as a trace."""
-    recent = table(spark, d, "documents").where("captured_at IS NOT NULL").select("doc_id", F.unix_seconds("captured_at").alias("score"))
-    return R.fused({"lexical": R.bm25(_postings(spark, d), TERMS), "recent": recent})
+    return R.fused({"lexical": R.bm25(_postings(spark, d), TERMS), "recent": _recent(spark, d)})
 
 
 @C.query(f"WITH {M}, r AS (SELECT scope_id, id, created, ceil(octet_length(encode(text)) / 3.0)::BIGINT AS size FROM m WHERE status = 'active' AND text IS NOT NULL), t AS (SELECT *, (sum(size) OVER (PARTITION BY scope_id ORDER BY created DESC, id ROWS UNBOUNDED PRECEDING))::BIGINT AS total, row_number() OVER (PARTITION BY scope_id ORDER BY created DESC, id) AS rank FROM r) SELECT scope_id, id, size, total, rank FROM t WHERE total <= 4000 OR rank = 1")
@@ -110,10 +127,7 @@ def text_x11_budget(spark, d):
 @C.query(f"WITH {_P}, a AS ({_BM25}), r AS (SELECT 1 AS query, doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM a), t AS (SELECT 1 AS query, doc_id FROM documents WHERE source = 'glossary' AND text IS NOT NULL), h AS (SELECT r.* FROM r JOIN t USING (doc_id)), n AS (SELECT count(DISTINCT doc_id) AS n FROM t) SELECT coalesce(round(sum((rank <= 5)::INT) / any_value(n), 6), 0) AS recall_5, coalesce(round(sum((rank <= 10)::INT) / any_value(n), 6), 0) AS recall_10, coalesce(round(sum((rank <= 20)::INT) / any_value(n), 6), 0) AS recall_20, coalesce(round(sum((rank <= 5)::INT) / 5, 6), 0) AS precision_5, coalesce(round(1.0 / min(rank), 6), 0) AS mrr, round(sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1.0) ELSE 0 END) / (SELECT sum(1 / log2(i + 1.0)) FROM range(1, least((SELECT n FROM n), 10) + 1) x(i)), 6) AS ndcg_10 FROM n LEFT JOIN h ON TRUE")
 def text_x15_evaluation(spark, d):
     """Quality of the BM25 ranking if documents of one source were the relevant ones."""
-    scores = R.bm25(_postings(spark, d), TERMS)
-    ranked = scores.select(F.lit(1).alias("query"), "doc_id", F.row_number().over(W.orderBy(F.desc("score"), "doc_id")).alias("rank"))
-    truth = table(spark, d, "documents").where("source = 'glossary' AND text IS NOT NULL").select(F.lit(1).alias("query"), "doc_id")
-    return R.evaluated(ranked, truth)
+    return _evaluation(spark, d, X.words)
 
 
 @C.query("WITH n AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS c FROM events WHERE value IS NOT NULL) SELECT event_type, min(value) FILTER (r >= ceil(c * 0.50)) AS p50, min(value) FILTER (r >= ceil(c * 0.95)) AS p95, min(value) FILTER (r >= ceil(c * 0.99)) AS p99 FROM n GROUP BY 1")
@@ -152,10 +166,37 @@ def text_x3_pieces(spark, d):
 @C.query("WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS word FROM documents WHERE text IS NOT NULL), t AS (SELECT word, [(ord(word) % 7 + 1)::DOUBLE, (length(word) % 5 + 1)::DOUBLE, (ord(right(word, 1)) % 11 + 1)::DOUBLE] AS v FROM (SELECT DISTINCT word FROM w)), m AS (SELECT doc_id, avg(v[1]) AS a, avg(v[2]) AS b, avg(v[3]) AS c FROM w JOIN t USING (word) GROUP BY 1) SELECT doc_id, round(a / sqrt(a*a + b*b + c*c), 5) AS x, round(b / sqrt(a*a + b*b + c*c), 5) AS y, round(c / sqrt(a*a + b*b + c*c), 5) AS z FROM m")
 def text_x4_static_embedding(spark, d):
     """Mean-pooled word vectors of every document, from a table of three numbers a word."""
-    w = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(X.words(F.col("text"))).alias("token"))
-    t = w.select("token").distinct().select("token", F.array(*[(c % m + 1).cast("double") for c, m in ((F.ascii("token"), 7), (F.length("token"), 5), (F.ascii(F.right("token", F.lit(1))), 11))]).alias("vector"))
-    v = chunks.static_embedding(w, t)
-    return v.select(F.col("id").alias("doc_id"), *[F.round(F.col("vector")[i], 5).alias(n) for i, n in enumerate("xyz")])
+    return _static_embedding(spark, d, X.words)
+
+
+@C.query()
+def text_x8_all_postings(spark, d):
+    """Words of every script with their occurrences and documents."""
+    return _postings(spark, d, X.all_words).groupBy("word").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("documents"))
+
+
+@C.query()
+def text_x8_all_bm25(spark, d):
+    """BM25 scores as in text_x8_bm25, with the lengths and counts of words of every script."""
+    return R.bm25(_postings(spark, d, X.all_words), TERMS)
+
+
+@C.query()
+def text_x9_x10_all_fusion(spark, d):
+    """The fusion of text_x9_x10_fusion with words of every script."""
+    return R.fused({"lexical": R.bm25(_postings(spark, d, X.all_words), TERMS), "recent": _recent(spark, d)})
+
+
+@C.query()
+def text_x15_all_evaluation(spark, d):
+    """The evaluation of text_x15_evaluation with words of every script."""
+    return _evaluation(spark, d, X.all_words)
+
+
+@C.query()
+def text_x4_all_static_embedding(spark, d):
+    """Mean-pooled word vectors as in text_x4_static_embedding, over words of every script."""
+    return _static_embedding(spark, d, X.all_words)
 
 
 @C.query("SELECT d.doc_id, n.name, n.name_kind, instr(lower(d.text), lower(n.name)) AS position FROM (SELECT doc_id, text FROM documents WHERE text IS NOT NULL) d JOIN (SELECT DISTINCT name, name_kind FROM name_list) n ON contains(lower(d.text), lower(n.name))")
