@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from cairn.session import spread
 
-#: At most about so many texts are fitted to, and at most so many characters of each of them.
-SAMPLE_TEXTS, SAMPLE_CHARS = 1500, 4000
+#: At most about so many texts are fitted to, each of them whole.
+SAMPLE_TEXTS = 1500
 #: Rounds over the sample at most; a round without a mistake is the last.
 EPOCHS = 15
 #: The prior of the rules' tag in decoding, against weights of several units each.
@@ -295,7 +295,7 @@ def model(docs: DataFrame) -> Weights:
     n = docs.count()
     share = min(1.0, SAMPLE_TEXTS / max(1, n))
     picked = docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)))
-    rows = picked.select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "layout").orderBy(F.xxhash64("text"), "layout").limit(SAMPLE_TEXTS).collect()
+    rows = picked.select("text", "layout").orderBy(F.xxhash64("text"), "layout").limit(SAMPLE_TEXTS).collect()
     return fit([(r[0], r[1]) for r in rows])
 
 

@@ -69,3 +69,9 @@ def test_split(spark):
         got.setdefault(r["doc_id"], []).append((r["char_start"], r["sentence"]))
     assert got[1] == [(0, "One."), (5, "Two.")] and got[5] == [(0, "No layout."), (11, "Here")] and set(got) == {1, 5, 6} and len(got[6]) == 50_000
     assert sentences.split(spark, docs.where("false")).count() == 0
+
+
+def test_whole_texts_are_fitted_to(spark):
+    text = "No mark here\n" * 400 + "Wait... and go! Then stop.\n" * 3
+    held = sentences.model(spark.createDataFrame([(text, "flow")], "text STRING, layout STRING"))
+    assert len(text) > 5000 and any(f.startswith("dots|") for f in held)
