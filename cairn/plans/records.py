@@ -10,6 +10,7 @@ from cairn.functions import text as X
 from cairn.operators import hierarchy, records
 from cairn.plans.registry import Catalog
 from cairn.session import table
+from cairn.sources import readers
 
 C = Catalog()
 NOW = 1767225600  # the instant at which time-dependent queries look at the records
@@ -108,11 +109,21 @@ def source_k4_idempotent(spark, d):
     return m.groupBy("source", "external_id").agg(F.min(F.struct("created", "id"))["id"].alias("id"), F.count(F.lit(1)).alias("captures"))
 
 
+def _turns(spark, d):
+    t = table(spark, d, "documents").where("layout = 'lines' AND text IS NOT NULL").select("doc_id", F.posexplode(F.split(F.replace(F.col("text"), F.lit("\r"), F.lit("")), "\n")).alias("p", "line"))
+    return t.select("doc_id", (F.col("p") + 1).cast("bigint").alias("turn"), "line").where("length(trim(line)) > 0")
+
+
 @C.query("WITH t AS (SELECT doc_id, unnest(string_split(replace(text, chr(13), ''), chr(10))) AS line, generate_subscripts(string_split(replace(text, chr(13), ''), chr(10)), 1) AS turn FROM documents WHERE layout = 'lines' AND text IS NOT NULL) SELECT doc_id, turn, line FROM t WHERE turn BETWEEN 2 AND 4 AND length(trim(line, ' ')) > 0")
 def source_k6_turns(spark, d):
     """Turns 2 to 4 of every conversation-like document (one line a turn, from 1); gaps stay gaps."""
-    t = table(spark, d, "documents").where("layout = 'lines' AND text IS NOT NULL").select("doc_id", F.posexplode(F.split(F.replace(F.col("text"), F.lit("\r"), F.lit("")), "\n")).alias("p", "line"))
-    return t.select("doc_id", (F.col("p") + 1).cast("bigint").alias("turn"), "line").where("turn BETWEEN 2 AND 4 AND length(trim(line)) > 0")
+    return readers.turns_between(_turns(spark, d), 2, 4)
+
+
+@C.query("WITH t AS (SELECT doc_id, unnest(string_split(replace(text, chr(13), ''), chr(10))) AS line, generate_subscripts(string_split(replace(text, chr(13), ''), chr(10)), 1) AS turn FROM documents WHERE layout = 'lines' AND text IS NOT NULL) SELECT doc_id, turn, line FROM t WHERE length(trim(line, ' ')) > 0")
+def source_k6_all_turns(spark, d):
+    """All turns of every conversation-like document (one line a turn, from 1); gaps stay gaps."""
+    return readers.turns_between(_turns(spark, d))
 
 
 @C.query(f"WITH {M} SELECT scope_id, status, kind, count(*) AS n FROM m GROUP BY 1, 2, 3")

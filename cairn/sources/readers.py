@@ -38,9 +38,12 @@ def read_archive(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def conversation_turns(turns: DataFrame, conversation: str, first: int | None = None, last: int | None = None) -> DataFrame:
     """The turns of a conversation in order, from first to last inclusive; gaps stay gaps."""
+    return turns_between(turns.where(F.col("conv_id") == conversation), first, last).orderBy("turn")
+
+
+def turns_between(turns: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
+    """The turns of all conversations from first to last inclusive, all of them without a bound; gaps stay gaps."""
     if first is not None and last is not None and first > last:
         raise ValueError("the first turn comes after the last")
-    found = turns.where(F.col("conv_id") == conversation)
-    if first is not None:
-        found = found.where(F.col("turn") >= first)
-    return (found.where(F.col("turn") <= last) if last is not None else found).orderBy("turn")
+    found = turns if first is None else turns.where(F.col("turn") >= first)
+    return found if last is None else found.where(F.col("turn") <= last)

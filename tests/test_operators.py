@@ -2,6 +2,7 @@ import pytest
 
 from cairn.functions import chunks
 from cairn.operators import claims, retrieval
+from cairn.plans import catalog
 from cairn.sources import cursor, readers
 
 SLOT = ("s", "ns", "k", "subj", "pns", "p", 1)
@@ -99,6 +100,16 @@ def test_captures_and_turns(spark):
         readers.conversation_turns(turns, "x", 3, 2)
 
 
+def test_turns_of_all_conversations(spark, data):
+    turns = spark.createDataFrame([("x", 1), ("x", 3), ("y", 2), ("y", 5)], "conv_id STRING, turn INT")
+    assert sorted(map(tuple, readers.turns_between(turns, 2, 3).collect())) == [("x", 3), ("y", 2)]
+    assert readers.turns_between(turns).count() == 4
+    with pytest.raises(ValueError):
+        readers.turns_between(turns, 3, 2)
+    every, few = (catalog.QUERIES[f"source_k6_{n}"](spark, data) for n in ("all_turns", "turns"))
+    assert every.where("turn BETWEEN 2 AND 4").exceptAll(few).count() == 0 and every.count() > few.count()
+
+
 def test_evidence_and_evolution(spark):
     rows = spark.sql("""SELECT 1 AS id, array() AS e, false AS m, false AS s UNION ALL SELECT 2, array(named_struct('kind', 'seed', 'level', 'extracted', 'score', 1)), true, true
         UNION ALL SELECT 3, array(named_struct('kind', 'user_statement', 'level', 'user_asserted', 'score', NULL)), false, true UNION ALL SELECT 4, array(named_struct('kind', 'model_score', 'level', 'inferred', 'score', 10)), false, false
