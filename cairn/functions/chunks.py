@@ -91,12 +91,17 @@ def chunked(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, text).mapInPandas(cut, f"{key} {key_type}, ordinal INT, byte_start INT, byte_end INT, too_many BOOLEAN")
 
 
-def word_pieces(text: str, vocabulary: dict[str, int], unknown: str = "[UNK]") -> list[str]:
-    """Greedy longest pieces of lower-cased, accent-stripped words and single marks; words beyond 100 characters are unknown."""
+def flat_words(text: str) -> list[str]:
+    """Lower-cased, accent-stripped words and single marks, as word pieces cut them."""
     flat = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn")
     spaced = "".join(f" {c} " if unicodedata.category(c)[0] in "PS" or "一" <= c <= "鿿" else " " if c.isspace() else c if unicodedata.category(c)[0] != "C" else "" for c in flat)
+    return spaced.split()
+
+
+def word_pieces(text: str, vocabulary: dict[str, int], unknown: str = "[UNK]") -> list[str]:
+    """Greedy longest pieces of lower-cased, accent-stripped words and single marks; words beyond 100 characters are unknown."""
     out = []
-    for word in spaced.split():
+    for word in flat_words(text):
         pieces, at = [], 0
         while at < len(word) <= 100:
             for end in range(len(word), at, -1):

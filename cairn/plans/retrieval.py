@@ -149,11 +149,28 @@ def text_x2_chunks(spark, d):
     return chunks.chunked(memories(spark, d), "id", "text")
 
 
+#: Most frequent words that are pieces as a whole; characters are pieces without a bound but that of Unicode.
+PIECE_WORDS = 2000
+
+
+def _piece_vocabulary(spark, d):
+    """Ids of pieces: the PIECE_WORDS most frequent words, then each character of the corpus, alone and inside a word."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def flat(texts):
+        return texts.map(chunks.flat_words, na_action="ignore")
+
+    words = table(spark, d, "documents").where("text IS NOT NULL").select(F.explode(flat("text")).alias("word"))
+    counts = materialise(spark, words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "flat_words")
+    top = [r[0] for r in counts.where(F.col("word").rlike(r"[\p{L}\p{N}]")).orderBy(F.desc("n"), "word").limit(PIECE_WORDS).collect()]
+    characters = sorted(r[0] for r in counts.select(F.explode(F.split("word", "")).alias("c")).where("c <> ''").distinct().collect())
+    return {p: i for i, p in enumerate(dict.fromkeys([*top, *characters, *(f"##{c}" for c in characters)]))}
+
+
 @C.query()
 def text_x3_pieces(spark, d):
     """Word pieces of every document by a vocabulary of the corpus' most frequent words and all its characters."""
-    top = [r[0] for r in _postings(spark, d).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(2000).collect()]
-    vocabulary = {p: i for i, p in enumerate(dict.fromkeys([*top, *"abcdefghijklmnopqrstuvwxyz0123456789", *(f"##{c}" for c in "abcdefghijklmnopqrstuvwxyz0123456789")]))}
+    vocabulary = _piece_vocabulary(spark, d)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def split(texts):

@@ -88,3 +88,11 @@ def test_words_of_any_script_are_found(spark):
     docs = spark.createDataFrame([(1, "Er prüft es"), (2, "證據在此"), (3, "แมว")], "doc_id INT, text STRING")
     postings = docs.select("doc_id", F.explode(X.all_words(docs["text"])).alias("word")).groupBy("doc_id", "word").count().withColumnRenamed("count", "n")
     assert {r[0] for r in retrieval.bm25(postings, ["prüft", "證據", "แม"]).collect()} == {1, 2, 3}
+
+
+def test_pieces_know_all_characters(spark, tmp_path):
+    """Only a word beyond 100 characters is unknown, in whatever script the texts are."""
+    texts = ["Prüft wiedzą, ok!", "證據在此。데이터", "गवाही दी", "قال ไทย 𝔞", "x" * 101, None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id INT, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["pieces"], r["unknown"]) for r in catalog.QUERIES["text_x3_pieces"](spark, str(tmp_path)).collect()}
+    assert [got[i][1] for i in (0, 1, 2, 3, 4, 6)] == [0, 0, 0, 0, 1, 0] and got[4] == (1, 1) and got[6] == (0, 0)
