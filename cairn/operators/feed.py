@@ -2,7 +2,8 @@
 
 Changes are appended as runs: files by key bucket, sorted by key and sequence. A read merges all runs:
 the entry with the greatest sequence of a key wins, and a key whose last entry is a removal
-(a tombstone) is absent. Compaction writes the merge of all runs as one run.
+(a tombstone) is absent. Compaction writes the merge of all runs as one run; an append that makes the
+runs MOST_RUNS does it, so a read merges fewer.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from cairn.session import fresh_path, remove_path
 
 BUCKET = "_bucket"
+#: Runs at which an append compacts them. The claim feed, a run a source, reaches it with its last one.
+MOST_RUNS = 3
 
 
 @dataclass
@@ -39,9 +42,12 @@ class ChangeTable:
         return cls(spark, fresh_path(spark, label), keys, order, **options)
 
     def append(self, entries: DataFrame) -> "ChangeTable":
-        """Adds entries as one run, first reduced to the last entry of each key."""
+        """Adds entries as one run, first reduced to the last entry of each key, and compacts MOST_RUNS runs.
+
+        Tombstones stay. Compaction removes the runs that it merged, so read again after an append.
+        """
         self._write(self._last(entries))
-        return self
+        return self.compact() if len(self.runs) >= MOST_RUNS else self
 
     def merged(self) -> DataFrame:
         """The last entry of each key over all runs, tombstones included."""

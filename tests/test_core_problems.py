@@ -52,6 +52,19 @@ def test_feed_in_any_order(spark, seed):
     assert {(r["k"], r["v"]) for r in table.compact(keep_tombstones=False).read().collect()} == {e for e in expected if e[0] != "a"} | {("z", "new")}
 
 
+def test_appends_compact(spark):
+    table = feed.ChangeTable.create(spark, ["k"], ["seq"])
+    for at in range(7):
+        table.append(spark.createDataFrame([("a", at, at == 3, f"v{at}"), (f"b{at}", at, False, "w"), ("b0", 9 - at, at == 0, "u")], "k STRING, seq INT, removed BOOLEAN, v STRING"))
+        assert len(table.runs) < feed.MOST_RUNS
+    assert {(r["k"], r["v"]) for r in table.read().collect()} == {("a", "v6"), *((f"b{i}", "w") for i in range(1, 7))}
+
+
+def test_claim_feed_is_compacted(spark, data):
+    parts = [spark.read.parquet(f"{data}/{t}.parquet") for t in ("claim_history", "claim_relation", "claim_retraction")]
+    assert len(feed.claim_feed(spark, *parts).runs) == 1
+
+
 def test_claim_feed_of_empty_tables(spark, data):
     h, r, x = (spark.read.parquet(f"{data}/{t}.parquet").where("false") for t in ("claim_history", "claim_relation", "claim_retraction"))
     assert feed.current_claims(feed.claim_feed(spark, h, r, x)).count() == 0
