@@ -228,9 +228,10 @@ def entity_x12_v12_gazetteer(spark, d):
 
 @C.query(r"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[mail]', 'g'), '\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b', '[card]', 'g')) AS scrubbed FROM documents WHERE text IS NOT NULL")
 def text_v17_scrub(spark, d):
-    """Query texts scrubbed of mail addresses and card numbers."""
+    """Query texts scrubbed of mail addresses and card numbers; texts with a credential are dropped."""
     t = F.regexp_replace("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[mail]")
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha2(F.regexp_replace(t, r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", "[card]"), 256).alias("scrubbed"))
+    docs = table(spark, d, "documents").where(F.col("text").isNotNull() & X.detected(F.col("text")).isNull())
+    return docs.select("doc_id", F.sha2(F.regexp_replace(t, r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", "[card]"), 256).alias("scrubbed"))
 
 
 @C.query(f"WITH {M} SELECT source, count(*) AS memories, sum(octet_length(encode(text)))::BIGINT AS bytes, sum(ceil(octet_length(encode(text)) / 3.0))::BIGINT AS tokens FROM m WHERE status = 'active' AND text IS NOT NULL GROUP BY 1")

@@ -88,8 +88,9 @@ def filter_x20_stale(spark, d):
 
 @C.query(f"WITH {H} SELECT claim_id, tx_seq, CASE " + " ".join(f"WHEN regexp_matches(claim, '{p}') THEN '{n}'" for n, p in X.DETECTORS.items()) + f" END AS detector FROM h WHERE claim IS NOT NULL")
 def gate_c2_secrets(spark, d):
-    """The first detector that finds a credential in each claim."""
-    return history(spark, d).where("claim IS NOT NULL").select("claim_id", "tx_seq", X.detected(F.col("claim")).alias("detector"))
+    """The first detector that finds a credential in each claim, its slot or its subject key."""
+    found = F.coalesce(*[X.detected(F.col(c)) for c in ("claim", "slot_key", "subject_key")])
+    return history(spark, d).where("claim IS NOT NULL").select("claim_id", "tx_seq", found.alias("detector"))
 
 
 @C.query(f"WITH {H}, s AS (SELECT scope_id, subject_key, predicate_name, slot_key, count(DISTINCT sourcing) AS sides, bool_or(sourcing = 'user') AS has_user, bool_or(sourcing = 'seed') AS has_seed FROM h GROUP BY ALL) SELECT scope_id, subject_key, predicate_name, slot_key, CASE WHEN has_user THEN 'user' WHEN has_seed THEN 'seed' ELSE 'supplier' END AS sourcing, sides > 1 AS review FROM s")

@@ -1,7 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.functions import chunks
-from cairn.operators import claims, retrieval
+from cairn.operators import claims, records, retrieval
 from cairn.plans import catalog
 from cairn.sources import cursor, readers
 
@@ -100,6 +101,16 @@ def test_captures_and_turns(spark):
         readers.conversation_turns(turns, "x", 3, 2)
 
 
+def test_credentials_beside_the_text(spark, data, tmp_path):
+    rows = spark.sql("SELECT 1 AS id, 'fine' AS text, 'password=hunter2hunter2' AS title, 'authenticated' AS origin, 's' AS source, array(named_struct('media_type', 'image/png')) AS media UNION ALL SELECT 2, 'fine', NULL, 'authenticated', 's', array()")
+    assert {r["id"]: r["code"] for r in records.verdicts(rows, []).collect()} == {1: "secret", 2: None}
+    spark.createDataFrame([(1, "token: abcdefghij"), (2, "plain")], "doc_id INT, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r["doc_id"] for r in catalog.QUERIES["text_v17_scrub"](spark, str(tmp_path)).collect()] == [2]
+    spark.read.parquet(f"{data}/claim_history.parquet").limit(20).withColumn("slot_key", F.lit("secret=abcdefghij")).write.parquet(f"{tmp_path}/claim_history.parquet")
+    found = catalog.QUERIES["gate_c2_secrets"](spark, str(tmp_path)).collect()
+    assert found and {r["detector"] for r in found} == {"assignment"}
+
+
 def test_turns_of_all_conversations(spark, data):
     turns = spark.createDataFrame([("x", 1), ("x", 3), ("y", 2), ("y", 5)], "conv_id STRING, turn INT")
     assert sorted(map(tuple, readers.turns_between(turns, 2, 3).collect())) == [("x", 3), ("y", 2)]
