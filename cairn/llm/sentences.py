@@ -1,13 +1,16 @@
 """Sentence units in many languages and scripts, by a linear-chain model over characters.
 
 Each character is tagged as the last of a unit or as inside one. Only characters that can close a unit
-(a closing mark with its quotes and brackets, or a blank between letters of a script without closing
+(a closing mark with its quotes and brackets, or a blank beside a letter of a script without closing
 marks) may carry the first tag; all others are inside with certainty, so the best path over all
-characters is found on the candidates alone. A state also says whether the unit under way holds a letter
-or digit yet: without one it can't end. The weights of the candidates' features are fitted by a
-structured perceptron on a bounded sample, tagged by ordered rules; for scripts without closing marks
-the sample's text is first stripped of punctuation. Decoding adds a small prior for the rules' tag, which
-decides only where the weights hardly do, as in contexts that the sample does not hold.
+characters is found on the candidates alone. A state holds the tag of the candidate before, whether the
+unit under way began with an opening quote, and whether it holds a letter or digit yet: without one it
+can't end. The weights of features (forms and words on both sides, pairs of them, and transitions) are
+fitted by a structured perceptron on a bounded sample of weakly labelled text, and they alone decide.
+
+No labelled sentences exist, so labels come from three sources: line ends that are joined up again for
+the fit (true ends by the layout), ordered rules at the marks within lines, and, for scripts without
+closing marks, text stripped of its punctuation, whose blanks and joined lines give both tags.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +28,13 @@ from cairn.session import spread
 #: At most about so many texts are fitted to, each of them whole.
 SAMPLE_TEXTS = 1500
 #: Rounds over the sample at most; a round without a mistake is the last.
-EPOCHS = 15
-#: The prior of the rules' tag in decoding, against weights of several units each.
-PRIOR = 2.0
+EPOCHS = 12
+#: In the fit a wrong tag scores so much more, so that the weights keep that distance.
+MARGIN = 2.0
+#: Candidates at most so many characters apart are linked: the tag of one bears on the next.
+NEAR = 6
+#: Tokens whose classes and weights a task remembers; beyond that it starts anew.
+REMEMBERED = 200_000
 
 # Abbreviations, lower case, without their last stop.
 #: A name follows.
@@ -42,8 +49,14 @@ OPEN = frozenset("etc usw itd itp inc ltd co corp jr sr al hrs hr min sek proc a
 STEPS = frozenset("z b d h u p o i a".split())
 MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember jänner stycznia lutego marca kwietnia maja czerwca lipca sierpnia września października listopada grudnia".split())
 
-_MARK = re.compile(r"\.{2,}|…+|[.!?。！？｡．؟۔।॥‼⁇⁈⁉]+|(?<=[ก-๎]) +(?=[ก-๎])")
-_SURE = frozenset("!?！？؟‼⁇⁈⁉")
+#: Scripts whose blanks end units, and closing marks of the others: Latin, CJK, Arabic, Devanagari, Khmer, Burmese, Ethiopic, Armenian, Tibetan.
+_BARE = "ก-๎ກ-ໝ"
+_SIGN = r"\.{2,}|…+|[.!?。！？｡．؟۔।॥‼⁇⁈⁉។៕။።፧፨։།༎]+"
+_MARK = re.compile(rf"{_SIGN}|(?<=[{_BARE}]) +(?=\S)|(?<=\S) +(?=[{_BARE}])")
+_CLOSED = re.compile(rf"(?:{_SIGN})[\"'”’»›)\]」』】〕）｣]*$")
+_SURE = frozenset("!?！？؟‼⁇⁈⁉፧")
+#: The sort of a single mark; of several it follows from the first.
+_SORTS = {".": "stop", "…": "dots"} | {c: "sure" for c in _SURE} | {c: "script" for c in "。｡．۔।॥។៕።༎།։"}
 _CLOSERS = frozenset("\"'”’»›)]」』】〕）｣")
 _OPENERS = frozenset("\"'“‘«‹„‚(（[「『【〔｢¿¡")
 _ON = frozenset(",;:，、；：—–-/%،؛")
@@ -68,23 +81,18 @@ def spans(text: str, layout: str | None) -> Iterator[tuple[int, int]]:
     yield at, len(text)
 
 
-def _before(line: str, at: int) -> tuple[str, str]:
-    """The kind of token before a mark, and the token."""
-    if at and line[at - 1].isspace():
-        return "gap", ""
-    m = _TOKEN.search(line, max(0, at - 24), at)
-    token = _GLUED.sub("", m[0]) if m else ""
-    low = token.lower().rstrip(".")
+def _before(token: str, ahead: str) -> tuple[str, str]:
+    """The kind of a token before a mark, and the token in lower case. ``ahead``: a digit that stands before a token of one letter."""
     if not token:
         return "none", ""
+    low = token.lower().rstrip(".")
     if low in TITLES and not token.isupper():
         return "title" if len(token) > 1 or not token.isascii() else "initial", low
     if len(token) == 1 and token.isalpha() and token.isascii():
         if token.isupper():
             return "initial", low
-        counted = re.search(r"\d[\s ]*$", line[max(0, at - 8) : at - 1])
-        return ("unit" if counted else "step" if low in STEPS else "counted" if low in COUNTED else "word"), low
-    if re.fullmatch(r"(?:[A-Za-z]\.)+[A-Za-z]", token):
+        return ("unit" if ahead else "step" if low in STEPS else "counted" if low in COUNTED else "word"), low
+    if _DOTTED.fullmatch(token):
         return ("open" if low in OPEN else "inner" if low in INNER else "acronym"), low
     if low in OPEN:
         return "open", low
@@ -93,97 +101,164 @@ def _before(line: str, at: int) -> tuple[str, str]:
     if low in COUNTED:
         return "counted", low
     if token[-1].isdigit():
-        return ("ordinal" if re.fullmatch(r"\d{1,2}", token) else "number"), low
+        return ("ordinal" if len(token) <= 2 and token.isdigit() else "number"), low
     return "word", low
 
 
-def _after(line: str, at: int) -> tuple[str, str]:
-    """The kind of what follows, and its token."""
-    if at >= len(line):
+def _after(token: str) -> tuple[str, str]:
+    """The kind of what follows, by its token, and the token without marks in lower case."""
+    if not token:
         return "end", ""
-    c = line[at]
-    token = _NEXT.match(line, at, at + 40)[0]
+    c, low = token[0], token.lower().strip(".,;:!?")[:12]
     if c.isdigit():
-        return "digit", token
+        return "digit", "0"
     if c in _OPENERS:
-        return "opener", token
+        return "opener", c
     if c in _ON:
-        return "on", token
+        return "on", c
     if c.islower():
-        return ("identifier" if _IDENTIFIER.match(token) and not re.match(r"[a-z]+(?:[.:]?$|[.!?][A-Z])", token) else "lower"), token
+        return ("identifier" if _IDENTIFIER.match(token) and not _PLAIN.match(token) else "lower"), low
     if c.isupper() or c.istitle():
-        return "upper", token
-    return "letter" if c.isalpha() else "other", token
-
-
-Candidate = tuple[int, int, tuple[str, ...], bool]
-
-
-def candidates(line: str) -> list[Candidate]:
-    """(end of the unit, start of the next, features, tag by rule) of each character that may close a unit."""
-    found: list[Candidate] = []
-    head = _HEAD.match(line).end()
-    straight = german = opened = round_ = seen = 0
-    begun = head
-    for m in _MARK.finditer(line):
-        at, end, mark = m.start(), m.end(), m[0]
-        if at < seen:
-            continue
-        straight += line.count('"', seen, at)
-        german += line.count("„", seen, at) - line.count("“", seen, at) * (german > 0)
-        seen = at
-        if mark[0] == " ":
-            found.append((at, end, ("blank", "both " + line[at - 1] + line[end], "left " + line[max(0, at - 2) : at], "right " + line[end : end + 2]), True))
-            begun = end
-            continue
-        closed = ""
-        while end < len(line):
-            c = line[end]
-            if c in "   " and line[end + 1 : end + 2] == "»":
-                closed, end = closed + "»", end + 2
+        return "upper", low
+    return ("letter" if c.isalpha() else "other"), c
+
+
+#: (end of the unit, start of the next, class, class if the unit began with an opener, tokens on both sides, near the one before, a letter or digit since then)
+Candidate = tuple[int, int, tuple, tuple, tuple[str, str, str], bool, bool]
+
+
+def _side(c: str) -> str:
+    return "bare" if _THAI.match(c) else "digit" if c.isdigit() else "letter" if c.isalpha() else "other"
+
+
+class Reader:
+    """Finds candidates in lines; what follows from a token alone is remembered, as tokens repeat."""
+
+    def __init__(self) -> None:
+        self.prev: dict[str, tuple[str, str]] = {}
+        self.next: dict[str, tuple[str, str]] = {}
+
+    def _prev(self, line: str, at: int) -> tuple[str, str]:
+        before = line[max(0, at - 24) : at]
+        if not before:
+            return "none", ""
+        if before[-1].isspace():
+            return "gap", ""
+        token = before.rsplit(None, 1)[-1]
+        if not token.isalnum():
+            token = _TOKEN.search(token)
+            token = _GLUED.sub("", token[0]) if token else ""
+        ahead = before[:-1].rstrip()[-1:] if len(token) == 1 else ""
+        held = token + ahead if ahead.isdigit() else token
+        if (known := self.prev.get(held)) is None:
+            if len(self.prev) > REMEMBERED:
+                self.prev.clear()
+            known = self.prev[held] = _before(token, held[1:] if len(token) == 1 else "")
+        return known
+
+    def _next(self, token: str) -> tuple[str, str]:
+        if len(self.next) > REMEMBERED:
+            self.next.clear()
+        known = self.next[token] = _after(token)
+        return known
+
+    def candidates(self, line: str) -> list[Candidate]:
+        """Each place within a line where a unit may end; the end of the line itself is none."""
+        found: list[Candidate] = []
+        german = seen = last = counted = straight = 0
+        head, size, quoted, low_quoted, after = -1, len(line), '"' in line, "„" in line, self.next.get
+        for m in _MARK.finditer(line):
+            at, end = m.span()
+            if at < seen:
                 continue
-            if c == "“" and (german > 0 or not line[end + 1 : end + 2].isalnum()):
-                closed, end, german = closed + c, end + 1, max(0, german - 1)
+            mark = line[at]
+            if mark == " ":
+                key = ("blank", _side(line[at - 1]), _side(line[end]))
+                found.append((at, end, key, key, (line[at - 1], line[end], ""), at - last <= NEAR and bool(found), True))
+                last = seen = end
                 continue
-            if c == '"' and straight % 2 == 0:
+            if quoted:
+                straight += line.count('"', counted, at)
+            if low_quoted:
+                german += line.count("„", counted, at) - line.count("“", counted, at) * (german > 0)
+            closed = ""
+            while end < size:
+                c = line[end]
+                if c == " " and line[end + 1 : end + 2] != "»":
+                    break
+                if c not in _CLOSERS:
+                    if c in "\u0020\u00a0\u202f" and line[end + 1 : end + 2] == "»":
+                        closed, end = closed + "»", end + 2
+                        continue
+                    if c == "“" and (german > 0 or not line[end + 1 : end + 2].isalnum()):
+                        closed, end, german = closed + c, end + 1, max(0, german - 1)
+                        continue
+                    break
+                if (c == '"' and straight % 2 == 0) or (c == "'" and line[end + 1 : end + 2].isalnum()):
+                    break
+                straight += c == '"'
+                closed, end = closed + c, end + 1
+            counted = end
+            start = end
+            while start < size and line[start].isspace():
+                start += 1
+            seen = start if start > end else end
+            if start >= size:
                 break
-            if c not in _CLOSERS or (c == "'" and line[end + 1 : end + 2].isalnum()):
-                break
-            straight += c == '"'
-            closed, end = closed + c, end + 1
-        seen = end
-        start = end
-        while start < len(line) and line[start].isspace():
-            start += 1
-        gap = "gap" if start > end else "none"
-        prev, low = _before(line, at)
-        kind, token = _after(line, start)
-        if gap == "none" and _STEP.match(token):
-            kind = "step"
-        last = mark[-1]
-        sort = "dots" if mark[0] == "…" or mark[:2] == ".." else "sure" if any(c in _SURE for c in mark) else "stop" if last == "." else "script"
-        first = line[begun : begun + 1]
-        whole = bool(closed) and (first in _OPENERS)
-        month = token.strip(".,;:").lower() in MONTHS
-        close = ("bracket" if closed[-1] in ")]）】〕" else "quote") + ("-whole" if whole else "") if closed else "open"
-        where = "head" if end <= head else "in"
-        particle = "particle" if kind == "letter" and token[0] in _PARTICLES else "free"
-        tag = _rule(sort, prev, low, kind, gap, close, where, particle, month)
-        features = (f"{sort}|{prev}|{kind}|{gap}|{close}|{where}|{particle}|{month}", f"{sort}|{prev}|{kind}", f"{prev}|{gap}", f"{sort}|{close}|{kind}", f"{where}|{gap}|{kind}", where, f"w {low}|{kind}" if prev not in ("word", "number", "ordinal") else "plain")
-        found.append((end, start, features, tag))
-        if tag:
-            begun = start
-    return found
-
-
-def _rule(sort: str, prev: str, low: str, kind: str, gap: str, close: str, where: str, particle: str, month: bool) -> bool:
-    """The tag by rule, which the model is fitted to: does a unit end here?"""
-    if kind == "end":
-        return True
+            prev, low = self._prev(line, at)
+            token = line[start : start + 40].split(None, 1)[0]
+            kind, following = after(token) or self._next(token)
+            if start > end:
+                gap = "gap"
+            else:
+                gap = "none"
+                if kind == "upper" and _STEP.match(token):
+                    kind = "step"
+            sign = m[0]
+            sort = _SORTS.get(sign) or ("dots" if mark in ".…" else "sure" if any(c in _SURE for c in sign) else "script")
+            if head < 0:
+                head = _HEAD.match(line).end()
+            where = "in"
+            if end <= head:
+                where, prev, low = "head", "marker", "0"
+            particle = kind == "letter" and following in _PARTICLES
+            month = prev == "ordinal" and following in MONTHS
+            close = ("bracket" if closed[-1] in ")]）】〕" else "quote") if closed else "open"
+            key = (sort, prev, kind, gap, close, where, particle, month)
+            whole = (sort, prev, kind, gap, close + "-whole", where, particle, month) if closed else key
+            lettered = bool(low) and low[-1].isalnum() or any(map(str.isalnum, line[last:end]))
+            found.append((end, start, key, whole, (low, line[at - 1 : at], following), at - last <= NEAR and bool(found), lettered))
+            last = start
+        return found
+
+
+def class_features(key: tuple) -> tuple[str, ...]:
+    """The features of a candidate's class: single forms and pairs of them, none of all together."""
+    if key[0] == "blank":
+        _, left, right = key
+        return "blank", f"left {left}", f"right {right}", f"sides {left} {right}"
+    sort, prev, kind, gap, close, where, particle, month = key
+    return (
+        f"end {sort} {gap}", f"at {where}", f"next {kind} {gap}", f"mark {sort} {kind}", f"both {prev} {kind}", f"prev {prev} {gap}", f"glued {sort} {prev}" if gap == "none" else f"apart {sort} {prev}", f"close {close} {sort}", f"closed {close} {kind}", f"after {close} {prev}", f"particle {particle} {close != 'open'}",
+        f"month {month}",
+    )
+
+
+def token_features(key: tuple, tokens: tuple[str, str, str]) -> tuple[str, ...]:
+    """The features of the words on both sides: the word before with what kind follows, its last letters, and the word after."""
+    low, last, following = tokens
+    if key[0] == "blank":
+        return f"char before {low}", f"char after {last}"
+    kind = key[2]
+    return f"word {low} {kind}" if key[1] not in ("word", "number", "ordinal") else f"ending {low[-2:]}", f"shape {len(low) if len(low) < 5 else 5} {last.isupper()} {kind}", f"first {following[:4]} {key[1]}" if kind == "lower" or key[1] == "ordinal" else f"first {kind}"
+
+
+def _rule(sort: str, prev: str, low: str, kind: str, gap: str, close: str, where: str, particle: bool, month: bool) -> bool:
+    """One of the labelers of the fit: does a unit end at a mark within a line, by ordered rules? Decoding does not use it."""
     if where == "head" or kind == "on":
         return False
     if sort == "script" or (sort == "sure" and kind == "letter"):
-        return not (close != "open" and particle == "particle")
+        return not (close != "open" and particle)
     if gap == "none":
         if kind == "letter":
             return prev not in ("title", "initial", "step", "inner")
@@ -209,84 +284,188 @@ def _rule(sort: str, prev: str, low: str, kind: str, gap: str, close: str, where
     return True
 
 
+def _opens(line: str) -> bool:
+    """Whether a line's text, after markers and labels, begins with an opening quote or bracket."""
+    return line[_HEAD.match(line).end() :][:1] in _OPENERS
+
+
 Weights = dict[str, float]
+#: Transitions: from the tag of a near candidate before (True: it ended a unit) to an end.
+LINKS = {True: "link end", False: "link inside"}
+
+
+class Model(Reader):
+    """The weights with the sums that follow from a class or a token alone, each worked out once."""
+
+    def __init__(self, weights: Weights) -> None:
+        super().__init__()
+        self.weights = weights
+        self.by_class: dict[tuple, float] = {}
+        self.by_token: dict[tuple, float] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """To be called when weights have changed."""
+        self.by_class.clear()
+        self.by_token.clear()
+        self.links = {tag: self.weights.get(name, 0.0) for tag, name in LINKS.items()}
+
+    def gain(self, key: tuple, tokens: tuple[str, str, str]) -> float:
+        """What an end at a candidate of this class with these tokens scores; inside scores nothing."""
+        held = self.by_class.get(key)
+        if held is None:
+            held = self.by_class[key] = sum(self.weights.get(f, 0.0) for f in class_features(key))
+        own = (key[1:3], tokens)
+        more = self.by_token.get(own)
+        if more is None:
+            if len(self.by_token) > REMEMBERED:
+                self.by_token.clear()
+            more = self.by_token[own] = sum(self.weights.get(f, 0.0) for f in token_features(key, tokens))
+        return held + more
+
+    def decode(self, line: str, found: list[Candidate], gold: list[bool] | None = None, against: list[bool] | None = None) -> list[bool]:
+        """The tags of the best path: with ``gold`` of the best that agrees with it, with ``against`` of the best that gains by each tag that differs."""
+        if gold is None and against is None and not any(c[5] or c[2] is not c[3] or not c[6] for c in found):
+            return [self.gain(c[2], c[4]) > 0 for c in found]  # no state matters, so each candidate's best is the path's
+        opener = _opens(line)
+        # state: (tag of the candidate before, unit began with an opener, unit holds a letter or digit)
+        best: dict[tuple[bool, bool, bool], tuple[float, tuple | None]] = {(False, opener, False): (0.0, None)}
+        for i, (end, start, key, whole, tokens, near, lettered) in enumerate(found):
+            new: dict[tuple[bool, bool, bool], tuple[float, tuple | None]] = {}
+            label = gold[i] if gold else None
+            plain = self.gain(key, tokens)
+            opened = self.gain(whole, tokens) if whole is not key else plain
+            opens = line[start] in _OPENERS
+            if against:
+                plain, opened = (x + (-MARGIN if against[i] else MARGIN) for x in (plain, opened))
+            for (tag, began, held), (score, path) in best.items():
+                held = held or lettered
+                if label is not True or not held:
+                    state = (False, began, held)
+                    if state not in new or score > new[state][0]:
+                        new[state] = (score, (False, path))
+                if held and label is not False:
+                    ends = score + (opened if began else plain) + (self.links[tag] if near else 0.0)
+                    state = (True, opens, False)
+                    if state not in new or ends > new[state][0]:
+                        new[state] = (ends, (True, path))
+            if not new:  # no path agrees with the labels
+                return self.decode(line, found)
+            best = new
+        path = max(best.values(), key=lambda b: b[0])[1]
+        tags = []
+        while path is not None:
+            tags.append(path[0])
+            path = path[1]
+        return tags[::-1]
+
+
+def _features(line: str, found: list[Candidate], tags: list[bool]) -> Iterator[str]:
+    """The features of a path: those of every candidate that it tags as an end."""
+    began, before = _opens(line), False
+    for (_, start, key, whole, tokens, near, _), tag in zip(found, tags):
+        if tag:
+            yield from class_features(whole if began else key)
+            yield from token_features(key, tokens)
+            if near:
+                yield LINKS[before]
+            began = line[start] in _OPENERS
+        before = tag
+
 
+def _joined(text: str, layout: str | None) -> Iterator[tuple[str, set[int]]]:
+    """(line, places of known ends) for the fit: lines that close with a mark are put together again.
 
-def decode(line: str, found: list[Candidate], weights: Weights, prior: float = PRIOR) -> list[bool]:
-    """The tags of the best path. State 0: the unit holds no letter or digit yet; state 1: it does."""
-    if not found:
-        return []
-    worst = float("-inf")
-    score, back, at = [0.0, worst], [], 0
-    for end, start, features, by_rule in found:
-        moved = False
-        if any(c.isalnum() for c in line[at:end]):
-            score, moved = [worst, max(score)], score[0] > score[1]
-        gain = sum(weights.get(f, 0.0) for f in features) + (prior if by_rule else -prior)
-        # inside keeps the state; the end of a unit leads from state 1 to state 0
-        ends = score[1] + gain
-        back.append((moved, ends > score[0]))
-        if score[0] == worst or ends > score[0]:
-            score = [ends, score[1]]
-        at = end
-    tags, state = [False] * len(found), 0 if score[0] >= score[1] else 1
-    for i in range(len(found) - 1, -1, -1):
-        moved, ended = back[i]
-        if state == 0 and ended:
-            tags[i], state = True, 1
-        if moved:
-            state = 0
-    return tags
+    Lines of scripts without closing marks come as they are and, for joining, stripped of their punctuation; there every
+    line end counts.
+    """
+    line, ends = "", set()
+    for a, b in spans(text, layout):
+        part = text[a:b].translate(_FLAT).strip()
+        if not part or _LOG.match(part):
+            continue
+        bare = _THAI.search(part) is not None
+        if bare:
+            yield part, set()
+            part = _STRIP.sub("", part).strip()
+        free = not _HEAD.match(part).end()
+        if line and part and free and (_THAI.match(line[-1]) and _THAI.match(part[0]) or _CLOSED.search(line) and not part[0].islower()):
+            ends.add(len(line) + 1)
+            line += " " + part
+        else:
+            if line:
+                yield line, ends
+            line, ends = part, set()
+    if line:
+        yield line, ends
+
+
+def _labels(line: str, found: list[Candidate], ends: set[int]) -> list[bool | None]:
+    """A tag for each candidate: True at a known end; elsewhere by the ordered rules."""
+    out, began = [], _opens(line)
+    for _, start, key, whole, (low, _, _), _, _ in found:
+        if start in ends:
+            tag = True
+        elif key[0] == "blank":
+            tag = key[1:] == ("bare", "bare")
+        else:
+            own = whole if began else key
+            tag = _rule(*own[:2], low, *own[2:])
+        out.append(tag)
+        if tag:
+            began = line[start] in _OPENERS
+    return out
 
 
 def fit(texts: list[tuple[str, str | None]]) -> Weights:
-    """Averaged weights of a structured perceptron over the stretches of the texts, tagged by rule."""
-    chains = []
+    """Averaged weights of a structured perceptron over the weakly labelled lines of the texts."""
+    chains, reader = [], Reader()
     for text, layout in texts:
-        for a, b in spans(text, layout):
-            line = text[a:b].translate(_FLAT)
-            if _LOG.match(line):
-                continue
-            if _THAI.search(line):
-                line = _STRIP.sub("", line)
-            if found := candidates(line):
-                chains.append((line, found))
-    weights, sums, step = defaultdict(float), defaultdict(float), 0
+        for line, ends in _joined(text, layout):
+            if found := reader.candidates(line):
+                chains.append((line, found, _labels(line, found, ends)))
+    model, sums, step = Model({}), defaultdict(float), 0
     for _ in range(EPOCHS):
         wrong = 0
-        for line, found in chains:
+        for line, found, labels in chains:
             step += 1
-            for (_, _, features, gold), tag in zip(found, decode(line, found, weights, 0.0)):
-                if gold != tag:
-                    wrong += 1
-                    by = 1.0 if gold else -1.0
-                    for f in features:
-                        weights[f] += by
-                        sums[f] += by * step
+            tags = model.decode(line, found, against=labels)
+            if tags == labels or (gold := model.decode(line, found, labels)) == tags:
+                continue
+            wrong += 1
+            for path, by in ((gold, 1.0), (tags, -1.0)):
+                for f in _features(line, found, path):
+                    model.weights[f] = model.weights.get(f, 0.0) + by
+                    sums[f] += by * step
+            model.forget()
         if not wrong:
-            return dict(weights)
-    return {f: w - sums[f] / (step + 1) for f, w in weights.items()}
+            break
+    return {f: w - sums[f] / (step + 1) for f, w in model.weights.items()}
 
 
 _FLAT = {ord(c): " " for c in "\n\r\x85\u2028\u2029"}
-_THAI = re.compile("[ก-๎]")
-_STRIP = re.compile(r"[^\w\s฀-๿]")
+_THAI = re.compile(f"[{_BARE}]")
+_STRIP = re.compile(r"[^\w\s฀-๿຀-໿]")
+_DOTTED = re.compile(r"(?:[A-Za-z]\.)+[A-Za-z]")
+_PLAIN = re.compile(r"[a-z]+(?:[.:]?$|[.!?][A-Z])")
 
 
-def starts(text: str | None, layout: str | None, weights: Weights) -> list[int]:
+def starts(text: str | None, layout: str | None, model: Model) -> list[int]:
     """The starts of a text's units in Unicode characters; null and blank texts have none."""
     out: list[int] = []
     text = text or ""
     for a, b in spans(text, layout):
-        line = text[a:b].translate(_FLAT)
-        first = len(line) - len(line.lstrip())
-        if first == len(line):
+        line = text[a:b]
+        if layout == "wrapped":
+            line = line.translate(_FLAT)
+        rest = line.lstrip()
+        if not rest:
             continue
-        out.append(a + first)
-        if _LOG.match(line) and layout != "wrapped":
+        out.append(a + len(line) - len(rest))
+        if layout != "wrapped" and rest[0] in "[0123456789" and _LOG.match(line):
             continue
-        found = candidates(line)
-        out += [a + c[1] for c, tag in zip(found, decode(line, found, weights)) if tag and c[1] < len(line)]
+        if found := model.candidates(line):
+            out += [a + c[1] for c, tag in zip(found, model.decode(line, found)) if tag]
     return out
 
 
@@ -310,18 +489,16 @@ def split(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", with_tex
     id_type = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {id_type}, char_start BIGINT" + ", ordinal INT, sentence STRING" * with_text
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(weights.value)
         for batch in batches:
-            ids, at, ordinal, texts = [], [], [], []
-            for key, text, layout in zip(batch["doc_id"], batch["text"], batch["layout"]):
-                text = text if isinstance(text, str) else None
-                found = starts(text, layout, weights.value)
-                ids += [key] * len(found)
-                at += found
-                if with_text:
-                    ordinal += range(len(found))
-                    texts += [text[a:b].rstrip() for a, b in zip(found, [*found[1:], len(text or "")])]
-            if ids:
-                yield pd.DataFrame({"doc_id": ids, "char_start": at} | ({"ordinal": ordinal, "sentence": texts} if with_text else {}))
-
-    return spread(spark, docs.select(F.col(doc_id).alias("doc_id"), "text", "layout"), "doc_id").mapInPandas(cut, schema)
+            texts, layouts = batch.column("text").to_pylist(), batch.column("layout").to_pylist()
+            found = [starts(t, layout, own) for t, layout in zip(texts, layouts)]
+            rows = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
+            out = {"doc_id": batch.column("doc_id").take(rows), "char_start": pa.array([a for f in found for a in f], pa.int64())}
+            if with_text:
+                out["ordinal"] = pa.array([i for f in found for i in range(len(f))], pa.int32())
+                out["sentence"] = pa.array([t[a:b].rstrip() for t, f in zip(texts, found) for a, b in zip(f, [*f[1:], len(t or "")])], pa.string())
+            yield pa.RecordBatch.from_pydict(out)
+
+    return spread(spark, docs.select(F.col(doc_id).alias("doc_id"), "text", "layout"), "doc_id").mapInArrow(cut, schema)
