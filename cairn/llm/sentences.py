@@ -52,6 +52,7 @@ MONTHS = frozenset("januar februar märz april mai juni juli august september ok
 #: Scripts whose blanks end units, and closing marks of the others: Latin, CJK, Arabic, Devanagari, Khmer, Burmese, Ethiopic, Armenian, Tibetan.
 _BARE = "ก-๎ກ-ໝ"
 _SIGN = r"\.{2,}|…+|[.!?。！？｡．؟۔।॥‼⁇⁈⁉។៕။።፧፨։།༎]+"
+_SIGNS = re.compile(_SIGN)
 _MARK = re.compile(rf"{_SIGN}|(?<=[{_BARE}]) +(?=\S)|(?<=\S) +(?=[{_BARE}])")
 _CLOSED = re.compile(rf"(?:{_SIGN})[\"'”’»›)\]」』】〕）｣]*$")
 _SURE = frozenset("!?！？؟‼⁇⁈⁉፧")
@@ -123,8 +124,8 @@ def _after(token: str) -> tuple[str, str]:
     return ("letter" if c.isalpha() else "other"), c
 
 
-#: (end of the unit, start of the next, class, class if the unit began with an opener, tokens on both sides, near the one before, a letter or digit since then)
-Candidate = tuple[int, int, tuple, tuple, tuple[str, str, str], bool, bool]
+#: (end of the unit, start of the next, what features follow from, the same if the unit began with an opener, word before, near the one before, a letter or digit since then)
+Candidate = tuple[int, int, tuple, tuple, str, bool, bool]
 
 
 def _side(c: str) -> str:
@@ -135,46 +136,56 @@ class Reader:
     """Finds candidates in lines; what follows from a token alone is remembered, as tokens repeat."""
 
     def __init__(self) -> None:
-        self.prev: dict[str, tuple[str, str]] = {}
-        self.next: dict[str, tuple[str, str]] = {}
+        self.prev: dict[str, tuple[str, str, str, bool]] = {}
+        self.next: dict[str, tuple[str, str, str]] = {}
+        self.linked = False
 
-    def _prev(self, line: str, at: int) -> tuple[str, str]:
+    def _prev(self, line: str, at: int) -> tuple[str, str, str, bool]:
+        """(kind, token in lower case, what its features follow from, whether it ends with a letter or digit) of the token before a mark."""
         before = line[max(0, at - 24) : at]
         if not before:
-            return "none", ""
+            return "none", "", "", False
         if before[-1].isspace():
-            return "gap", ""
+            return "gap", "", "", False
         token = before.rsplit(None, 1)[-1]
         if not token.isalnum():
             token = _TOKEN.search(token)
             token = _GLUED.sub("", token[0]) if token else ""
         ahead = before[:-1].rstrip()[-1:] if len(token) == 1 else ""
-        held = token + ahead if ahead.isdigit() else token
+        held = f"{token} {ahead}" if ahead.isdigit() else token
         if (known := self.prev.get(held)) is None:
             if len(self.prev) > REMEMBERED:
                 self.prev.clear()
-            known = self.prev[held] = _before(token, held[1:] if len(token) == 1 else "")
+            kind, low = _before(token, held[2:] if len(token) == 1 else "")
+            tail = f"ending {low[-2:]} {len(low) if len(low) < 5 else 5} {token[-1:].isupper()}" if kind in ("word", "number", "ordinal") else f"word {low}"
+            known = self.prev[held] = kind, low, tail, low[-1:].isalnum()
         return known
 
-    def _next(self, token: str) -> tuple[str, str]:
+    def _next(self, token: str) -> tuple[str, str, str]:
+        """(kind, token in lower case, its first letters if it is a small word) of what follows."""
         if len(self.next) > REMEMBERED:
             self.next.clear()
-        known = self.next[token] = _after(token)
+        kind, low = _after(token.split(None, 1)[0])
+        known = self.next[token] = kind, low, low[:4] if kind == "lower" else ""
         return known
 
-    def candidates(self, line: str) -> list[Candidate]:
-        """Each place within a line where a unit may end; the end of the line itself is none."""
+    def candidates(self, line: str, bare: bool = True) -> list[Candidate]:
+        """Each place within a line where a unit may end; the end of the line itself is none. ``bare``: it may hold letters of scripts without closing marks."""
+        self.linked = False  # does any candidate bear on another?
         found: list[Candidate] = []
         german = seen = last = counted = straight = 0
         head, size, quoted, low_quoted, after = -1, len(line), '"' in line, "„" in line, self.next.get
-        for m in _MARK.finditer(line):
+        before = self.prev.__getitem__
+        for m in (_MARK if bare else _SIGNS).finditer(line):
             at, end = m.span()
             if at < seen:
                 continue
             mark = line[at]
             if mark == " ":
-                key = ("blank", _side(line[at - 1]), _side(line[end]))
-                found.append((at, end, key, key, (line[at - 1], line[end], ""), at - last <= NEAR and bool(found), True))
+                key = ("blank", _side(line[at - 1]), _side(line[end]), line[at - 1], line[end])
+                near = at - last <= NEAR and bool(found)
+                self.linked |= near
+                found.append((at, end, key, key, "", near, True))
                 last = seen = end
                 continue
             if quoted:
@@ -205,9 +216,13 @@ class Reader:
             seen = start if start > end else end
             if start >= size:
                 break
-            prev, low = self._prev(line, at)
-            token = line[start : start + 40].split(None, 1)[0]
-            kind, following = after(token) or self._next(token)
+            low_end = at - 24 if at > 24 else 0
+            space = line.rfind(" ", low_end, at)
+            token = line[space + 1 : at] if space >= 0 or not low_end else ""
+            prev, low, tail, lettered = before(token) if len(token) > 1 and token in self.prev else self._prev(line, at)
+            space = line.find(" ", start, start + 40)
+            token = line[start:space] if space > 0 else line[start : start + 40]
+            kind, following, first = after(token) or self._next(token)
             if start > end:
                 gap = "gap"
             else:
@@ -218,41 +233,42 @@ class Reader:
             sort = _SORTS.get(sign) or ("dots" if mark in ".…" else "sure" if any(c in _SURE for c in sign) else "script")
             if head < 0:
                 head = _HEAD.match(line).end()
-            where = "in"
             if end <= head:
-                where, prev, low = "head", "marker", "0"
+                where, prev, low, tail = "head", "marker", "0", ""
+            else:
+                where = "in"
             particle = kind == "letter" and following in _PARTICLES
-            month = prev == "ordinal" and following in MONTHS
-            close = ("bracket" if closed[-1] in ")]）】〕" else "quote") if closed else "open"
-            key = (sort, prev, kind, gap, close, where, particle, month)
-            whole = (sort, prev, kind, gap, close + "-whole", where, particle, month) if closed else key
-            lettered = bool(low) and low[-1].isalnum() or any(map(str.isalnum, line[last:end]))
-            found.append((end, start, key, whole, (low, line[at - 1 : at], following), at - last <= NEAR and bool(found), lettered))
+            month = False
+            if prev == "ordinal":
+                month, first = following in MONTHS, following[:4]
+            lettered = lettered or any(map(str.isalnum, line[last:end]))
+            near = at - last <= NEAR and bool(found)
+            if closed:
+                close = "bracket" if closed[-1] in ")]）】〕" else "quote"
+                key = (sort, prev, kind, gap, close, where, particle, month, tail, first)
+                whole = (sort, prev, kind, gap, close + "-whole", where, particle, month, tail, first)
+                self.linked = True
+            else:
+                key = whole = (sort, prev, kind, gap, "open", where, particle, month, tail, first)
+                if near or not lettered:
+                    self.linked = True
+            found.append((end, start, key, whole, low, near, lettered))
             last = start
         return found
 
 
-def class_features(key: tuple) -> tuple[str, ...]:
-    """The features of a candidate's class: single forms and pairs of them, none of all together."""
+def features(key: tuple) -> tuple[str, ...]:
+    """The features of a candidate: single forms and pairs of them (none of all together), the word before with what kind follows, its last letters and shape, and the word after."""
     if key[0] == "blank":
-        _, left, right = key
-        return "blank", f"left {left}", f"right {right}", f"sides {left} {right}"
-    sort, prev, kind, gap, close, where, particle, month = key
+        _, left, right, before, after = key
+        return "blank", f"left {left}", f"right {right}", f"sides {left} {right}", f"char before {before}", f"char after {after}"
+    sort, prev, kind, gap, close, where, particle, month, tail, first = key
     return (
-        f"end {sort} {gap}", f"at {where}", f"next {kind} {gap}", f"mark {sort} {kind}", f"both {prev} {kind}", f"prev {prev} {gap}", f"glued {sort} {prev}" if gap == "none" else f"apart {sort} {prev}", f"close {close} {sort}", f"closed {close} {kind}", f"after {close} {prev}", f"particle {particle} {close != 'open'}",
-        f"month {month}",
+        f"end {sort} {gap}", f"at {where}", f"next {kind} {gap}", f"mark {sort} {kind}", f"both {prev} {kind}", f"prev {prev} {gap}", f"glued {sort} {prev}" if gap == "none" else f"apart {sort} {prev}", f"close {close} {sort}", f"closed {close} {kind}", f"after {close} {prev}",
+        f"particle {particle} {close != 'open'}", f"month {month}", f"{tail} {kind}", f"first {first} {prev}" if first else f"first {kind}",
     )
 
 
-def token_features(key: tuple, tokens: tuple[str, str, str]) -> tuple[str, ...]:
-    """The features of the words on both sides: the word before with what kind follows, its last letters, and the word after."""
-    low, last, following = tokens
-    if key[0] == "blank":
-        return f"char before {low}", f"char after {last}"
-    kind = key[2]
-    return f"word {low} {kind}" if key[1] not in ("word", "number", "ordinal") else f"ending {low[-2:]}", f"shape {len(low) if len(low) < 5 else 5} {last.isupper()} {kind}", f"first {following[:4]} {key[1]}" if kind == "lower" or key[1] == "ordinal" else f"first {kind}"
-
-
 def _rule(sort: str, prev: str, low: str, kind: str, gap: str, close: str, where: str, particle: bool, month: bool) -> bool:
     """One of the labelers of the fit: does a unit end at a mark within a line, by ordered rules? Decoding does not use it."""
     if where == "head" or kind == "on":
@@ -300,41 +316,33 @@ class Model(Reader):
     def __init__(self, weights: Weights) -> None:
         super().__init__()
         self.weights = weights
-        self.by_class: dict[tuple, float] = {}
-        self.by_token: dict[tuple, float] = {}
+        self.gains: dict[tuple, float] = {}
         self.forget()
 
     def forget(self) -> None:
         """To be called when weights have changed."""
-        self.by_class.clear()
-        self.by_token.clear()
+        self.gains.clear()
         self.links = {tag: self.weights.get(name, 0.0) for tag, name in LINKS.items()}
 
-    def gain(self, key: tuple, tokens: tuple[str, str, str]) -> float:
-        """What an end at a candidate of this class with these tokens scores; inside scores nothing."""
-        held = self.by_class.get(key)
+    def gain(self, key: tuple) -> float:
+        """What an end at a candidate scores; inside scores nothing."""
+        held = self.gains.get(key)
         if held is None:
-            held = self.by_class[key] = sum(self.weights.get(f, 0.0) for f in class_features(key))
-        own = (key[1:3], tokens)
-        more = self.by_token.get(own)
-        if more is None:
-            if len(self.by_token) > REMEMBERED:
-                self.by_token.clear()
-            more = self.by_token[own] = sum(self.weights.get(f, 0.0) for f in token_features(key, tokens))
-        return held + more
+            if len(self.gains) > REMEMBERED:
+                self.gains.clear()
+            held = self.gains[key] = sum(self.weights.get(f, 0.0) for f in features(key))
+        return held
 
     def decode(self, line: str, found: list[Candidate], gold: list[bool] | None = None, against: list[bool] | None = None) -> list[bool]:
         """The tags of the best path: with ``gold`` of the best that agrees with it, with ``against`` of the best that gains by each tag that differs."""
-        if gold is None and against is None and not any(c[5] or c[2] is not c[3] or not c[6] for c in found):
-            return [self.gain(c[2], c[4]) > 0 for c in found]  # no state matters, so each candidate's best is the path's
         opener = _opens(line)
         # state: (tag of the candidate before, unit began with an opener, unit holds a letter or digit)
         best: dict[tuple[bool, bool, bool], tuple[float, tuple | None]] = {(False, opener, False): (0.0, None)}
-        for i, (end, start, key, whole, tokens, near, lettered) in enumerate(found):
+        for i, (_, start, key, whole, _, near, lettered) in enumerate(found):
             new: dict[tuple[bool, bool, bool], tuple[float, tuple | None]] = {}
             label = gold[i] if gold else None
-            plain = self.gain(key, tokens)
-            opened = self.gain(whole, tokens) if whole is not key else plain
+            plain = self.gain(key)
+            opened = self.gain(whole) if whole is not key else plain
             opens = line[start] in _OPENERS
             if against:
                 plain, opened = (x + (-MARGIN if against[i] else MARGIN) for x in (plain, opened))
@@ -363,10 +371,9 @@ class Model(Reader):
 def _features(line: str, found: list[Candidate], tags: list[bool]) -> Iterator[str]:
     """The features of a path: those of every candidate that it tags as an end."""
     began, before = _opens(line), False
-    for (_, start, key, whole, tokens, near, _), tag in zip(found, tags):
+    for (_, start, key, whole, _, near, _), tag in zip(found, tags):
         if tag:
-            yield from class_features(whole if began else key)
-            yield from token_features(key, tokens)
+            yield from features(whole if began else key)
             if near:
                 yield LINKS[before]
             began = line[start] in _OPENERS
@@ -403,14 +410,14 @@ def _joined(text: str, layout: str | None) -> Iterator[tuple[str, set[int]]]:
 def _labels(line: str, found: list[Candidate], ends: set[int]) -> list[bool | None]:
     """A tag for each candidate: True at a known end; elsewhere by the ordered rules."""
     out, began = [], _opens(line)
-    for _, start, key, whole, (low, _, _), _, _ in found:
+    for _, start, key, whole, low, _, _ in found:
         if start in ends:
             tag = True
         elif key[0] == "blank":
-            tag = key[1:] == ("bare", "bare")
+            tag = key[1:3] == ("bare", "bare")
         else:
             own = whole if began else key
-            tag = _rule(*own[:2], low, *own[2:])
+            tag = _rule(*own[:2], low, *own[2:8])
         out.append(tag)
         if tag:
             began = line[start] in _OPENERS
@@ -454,6 +461,7 @@ def starts(text: str | None, layout: str | None, model: Model) -> list[int]:
     """The starts of a text's units in Unicode characters; null and blank texts have none."""
     out: list[int] = []
     text = text or ""
+    bare = not text.isascii() and _THAI.search(text) is not None
     for a, b in spans(text, layout):
         line = text[a:b]
         if layout == "wrapped":
@@ -464,8 +472,12 @@ def starts(text: str | None, layout: str | None, model: Model) -> list[int]:
         out.append(a + len(line) - len(rest))
         if layout != "wrapped" and rest[0] in "[0123456789" and _LOG.match(line):
             continue
-        if found := model.candidates(line):
-            out += [a + c[1] for c, tag in zip(found, model.decode(line, found)) if tag]
+        if found := model.candidates(line, bare):
+            if model.linked:
+                out += [a + c[1] for c, tag in zip(found, model.decode(line, found)) if tag]
+            else:  # no candidate bears on another, so the best of each is the best path
+                gain = model.gain
+                out += [a + c[1] for c in found if gain(c[2]) > 0]
     return out
 
 

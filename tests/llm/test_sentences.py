@@ -89,20 +89,21 @@ def test_best_path_against_all_paths(weights):
 
     def value(line, found, tags):
         began, held, before, total = sentences._opens(line), False, False, 0.0
-        for (_, start, key, whole, tokens, near, lettered), tag in zip(found, tags):
+        for (_, start, key, whole, _, near, lettered), tag in zip(found, tags):
             held = held or lettered
             if tag and not held:
                 return float("-inf")
             if tag:
-                total += weights.gain(whole if began else key, tokens) + (weights.links[before] if near else 0.0)
+                total += weights.gain(whole if began else key) + (weights.links[before] if near else 0.0)
                 began, held = line[start] in sentences._OPENERS, False
             before = tag
         return total
 
-    for line in ("“No.” he said... 5. “Go!” B. C. D. went (etc.) on. . . Then?", "J. R. Toll, e.g. “it.” and 3.5 of it. ok. Yes! No.", ". . ! a. b. c. “D.” e."):
+    for line in ("“No.” he said... 5. “Go!” B. C. D. went (etc.) on. . . Then?", "See it. Then go. ok, no 5. stop", "J. R. Toll, e.g. “it.” and 3.5 of it. ok. Yes! No.", ". . ! a. b. c. “D.” e."):
         found = weights.candidates(line)
         best = max(value(line, found, tags) for tags in itertools.product((False, True), repeat=len(found)))
         assert value(line, found, weights.decode(line, found)) == pytest.approx(best)
+        assert weights.linked or [weights.gain(c[2]) > 0 for c in found] == weights.decode(line, found)
 
 
 def test_split(spark):
