@@ -11,6 +11,8 @@ MAX_HOT_KEYS = 1000
 HOT_SHARE = 1.0 / MAX_HOT_KEYS
 #: Below so many rows of one key a task is not worth splitting.
 HOT_ROWS = 20_000
+#: Parts into which a salted join splits a hot key.
+SALTS = 64
 
 
 def hot_keys(left: DataFrame, key: str, share: float = HOT_SHARE, least: int = HOT_ROWS) -> list:
@@ -35,3 +37,16 @@ def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left", hot:
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     few = F.broadcast(right.where(F.col(key).isin(hot)))
     return left.where(is_hot).join(few, key, how).unionByName(left.where(~is_hot).join(right, key, how))
+
+
+def salted_lookup(left: DataFrame, right: DataFrame, key: str, hot: list, how: str = "left", salts: int = SALTS) -> DataFrame:
+    """Joins left to right, which has at most one row for each key, in one pass over left.
+
+    The right rows of the hot keys, at most ``MAX_HOT_KEYS``, are repeated ``salts`` times, and each left
+    row of such a key meets one of them by its own hash. For a left side that is dear to compute twice.
+    Null keys match nothing. A column named ``_salt`` clashes.
+    """
+    is_hot = lambda: F.coalesce(F.col(key).isin(hot), F.lit(False)) if hot else F.lit(False)
+    spread = left.withColumn("_salt", F.when(is_hot(), F.pmod(F.xxhash64(*[c for c, t in left.dtypes if not t.startswith("map")]), F.lit(salts)).cast("int")).otherwise(0))
+    repeated = right.withColumn("_salt", F.explode(F.when(is_hot(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return spread.join(repeated, [key, "_salt"], how).drop("_salt")

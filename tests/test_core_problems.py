@@ -128,3 +128,12 @@ def test_p1_against_brute_force(spark, data):
         if fits:
             expected.add((q["recall_id"], max(fits)[1]))
     assert {tuple(r) for r in core_problems.p1_found(spark, data).collect()} == expected
+
+
+def test_salted_lookup_keeps_every_row(spark):
+    left = spark.createDataFrame([("a", i) for i in range(500)] + [("b", 1), (None, 2), ("b", 1), ("zz", 3)], "k STRING, n INT")
+    right = spark.createDataFrame([("a", 10), ("b", 20), ("c", 30)], "k STRING, v INT")
+    for hot in (["a"], []):
+        got = sorted((r["k"] or "", r["n"], r["v"] or 0) for r in skew.salted_lookup(left, right, "k", hot, salts=7).collect())
+        assert got == sorted([("a", i, 10) for i in range(500)] + [("b", 1, 20)] * 2 + [("", 2, 0), ("zz", 3, 0)])
+        assert skew.salted_lookup(left, right, "k", hot, "inner").count() == 502
