@@ -216,9 +216,9 @@ class Reader:
             seen = start if start > end else end
             if start >= size:
                 break
-            low_end = at - 24 if at > 24 else 0
-            space = line.rfind(" ", low_end, at)
-            token = line[space + 1 : at] if space >= 0 or not low_end else ""
+            window = at - 24 if at > 24 else 0
+            space = line.rfind(" ", window, at)
+            token = line[space + 1 : at] if space >= 0 or not window else ""
             prev, low, tail, lettered = before(token) if len(token) > 1 and token in self.prev else self._prev(line, at)
             space = line.find(" ", start, start + 40)
             token = line[start:space] if space > 0 else line[start : start + 40]

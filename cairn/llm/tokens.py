@@ -1,21 +1,25 @@
 """Token ids of a whole corpus: each distinct word is encoded once, over the whole cluster.
 
 Texts are cut into pre-tokens by the tokenizer's pattern, inside the JVM. The distinct pre-tokens are
-encoded once, their ids are joined back to the positions, and each text is put together again. A table of
-words that is small by measure is broadcast; of a larger one frequent words are met by a broadcast of at
-most a thousand rows, and all others by a shuffled join.
+encoded once, their ids are joined back to the positions, and each text is put together again from rows
+sorted by position. A table of words that is small by measure is broadcast; a larger one meets the words
+in a shuffled join whose frequent words, at most a thousand, are salted.
 """
 
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.operators.skew import HOT_ROWS, MAX_HOT_KEYS, lookup
+from cairn.operators.skew import HOT_ROWS, MAX_HOT_KEYS, salted_lookup
 from cairn.session import materialise
 
 #: The folder of the tokenizers' files.
@@ -51,7 +55,7 @@ def vocabulary(spark: SparkSession, tokens: DataFrame, path: str) -> DataFrame:
         own = encoder(path)
         return pd.Series([own.encode_ordinary(w) for w in column])
 
-    counted = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counted = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n")).repartition(spark.sparkContext.defaultParallelism)  # encoding a word costs more than moving it
     return materialise(spark, counted.select("word", "n", encode("word").alias("ids")), "vocabulary")
 
 
@@ -79,20 +83,74 @@ def encode_corpus(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id",
         # Texts are placed by id once; words and ids then stay where they are until they are together again.
         joined = words(docs.repartition("doc_id"), "doc_id", "text").join(F.broadcast(vocab.select("word", "ids")), "word")
     else:
-        joined = lookup(words(docs, "doc_id", "text"), vocab.select("word", "ids"), "word", hot=hot_words(vocab))
-    whole = joined.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("pos", "ids")).alias("parts"))
-    whole = whole.select("doc_id", F.flatten(F.transform(F.array_sort("parts"), lambda p: p["ids"])).alias("ids"))
+        joined = salted_lookup(words(docs, "doc_id", "text"), vocab.select("word", "ids"), "word", hot_words(vocab)).repartition("doc_id")
+    whole = joined.select("doc_id", "text_hash", "pos", "ids").sortWithinPartitions("doc_id", "text_hash", "pos")
+    whole = whole.mapInArrow(_put_together, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids ARRAY<INT>")
     empty = docs.where(F.col("text").isNull() | (F.col("text") == "")).select("doc_id", F.array().cast("array<int>").alias("ids")).distinct()
     return whole.unionByName(empty)
 
 
+def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row (doc_id, ids) for each run of rows (doc_id, text_hash, pos, ids) of one text, which come in order; repeated rows count once.
+
+    A text may run over several batches; its ids so far are carried over.
+    """
+    last, carried = None, []
+
+    def batch_of(docs: pa.Array, ends: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+        return pa.RecordBatch.from_arrays([docs, lists], ["doc_id", "ids"])
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        doc, text, pos = batch.column("doc_id"), batch.column("text_hash").to_numpy(), batch.column("pos").to_numpy()
+        ids = batch.column("ids")
+        flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.asarray(ids.offsets.to_numpy(), dtype=np.int64)
+        ends = ends - ends[0]
+        other = np.ones(n, bool)  # does a row belong to another text than the row before?
+        other[1:] = text[1:] != text[:-1]
+        changed = pc.fill_null(pc.not_equal(doc[1:], doc[:-1]), True).to_numpy(zero_copy_only=False)  # a null id is told apart by its text
+        other[1:] |= changed & ~(np.asarray(doc[1:].is_null()) & np.asarray(doc[:-1].is_null()))
+        other[0] = last is None or last[:2] != (doc[0].as_py(), text[0])
+        again = np.zeros(n, bool)
+        again[1:] = ~other[1:] & (pos[1:] == pos[:-1])
+        again[0] = not other[0] and last[2] == pos[0]
+        sizes = np.where(again, 0, np.diff(ends))
+        if again.any():
+            flat = flat[np.repeat(~again, np.diff(ends))]
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        begins = np.flatnonzero(other)
+        first = at[begins[0]] if begins.size else at[-1]
+        if first:
+            carried.append(flat[:first])
+        if begins.size:
+            if last is not None:
+                whole = np.concatenate(carried) if carried else flat[:0]
+                yield batch_of(pa.array([last[0]], doc.type), np.array([0, whole.size]), whole)
+            if begins.size > 1:
+                cut = at[begins]
+                yield batch_of(doc.take(pa.array(begins[:-1])), cut - cut[0], flat[cut[0] : cut[-1]])
+            carried = [flat[at[begins[-1]] :]]
+        last = (doc[n - 1].as_py(), text[n - 1], pos[n - 1])
+    if last is not None:
+        whole = np.concatenate(carried) if carried else np.zeros(0, np.int32)
+        yield batch_of(pa.array([last[0]], doc.type), np.array([0, whole.size]), whole)
+
+
 def count_tokens(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
-    """(doc_id, tokens) of every text that has any; the same words and ids, without putting texts together."""
+    """(doc_id, tokens) of every text that has any; the same words and ids, without putting texts together.
+
+    Rows repeated with one id add up.
+    """
     tokens = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.regexp_extract_all(F.col(text), F.lit("(?U)" + PATTERN), F.lit(0))).alias("word"))
-    tokens = tokens.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("times"))
     vocab = vocabulary(spark, tokens, path)
-    joined = lookup(tokens, vocab.select("word", F.size("ids").cast("bigint").alias("each")), "word", hot=hot_words(vocab))
-    return joined.groupBy("doc_id").agg(F.sum(F.col("times") * F.col("each")).alias("tokens"))
+    each = vocab.select("word", F.size("ids").cast("bigint").alias("each"))
+    if held_bytes(vocab) <= BROADCAST_BYTES:
+        return tokens.join(F.broadcast(each), "word").groupBy("doc_id").agg(F.sum("each").alias("tokens"))
+    counted = tokens.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("times"))
+    return salted_lookup(counted, each, "word", hot_words(vocab)).groupBy("doc_id").agg(F.sum(F.col("times") * F.col("each")).alias("tokens"))
 
 
 def decode(spark: SparkSession, encoded: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:

@@ -80,6 +80,37 @@ def test_ids_of_documents(spark, data, monkeypatch, most):
     assert got == {r["doc_id"]: true(r["text"]) if r["text"] else [] for r in docs.collect()}
 
 
+@pytest.mark.parametrize("rows", [1, 3, 10_000])
+def test_ids_over_batches_and_repeats(spark, rows):
+    """Texts over several Arrow batches, repeated rows, two texts of one id, and a null id."""
+    docs = [(1, "one two, three four five"), (1, "one two, three four five"), (2, "six"), (2, "seven eight"), (None, "nine ten"), (3, "one two, three four five")]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        got = sorted(((r["doc_id"] or 0, list(r["ids"])) for r in tokens.encode_corpus(spark, spark.createDataFrame(docs, "doc_id BIGINT, text STRING")).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    true = reference()
+    assert got == sorted((d or 0, true(t)) for d, t in set(docs))
+
+
+@pytest.mark.parametrize("most", [0, 32 << 20])
+def test_counts_of_documents(spark, data, monkeypatch, most):
+    monkeypatch.setattr(tokens, "HOT_ROWS", 5)
+    monkeypatch.setattr(tokens, "BROADCAST_BYTES", most)
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    true = reference()
+    got = {r["doc_id"]: r["tokens"] for r in tokens.count_tokens(spark, docs).collect()}
+    assert got == {r["doc_id"]: len(true(r["text"])) for r in docs.collect() if r["text"]}
+
+
+@pytest.mark.parametrize("weight", [0.05, 0.3, 1.0])
+def test_no_bucket_holds_much_of_a_source(spark, weight):
+    keys = spark.range(200_000).select(mixing.sampling_key(F.col("id"), F.lit(weight)).alias("k"))
+    buckets = keys.groupBy(F.floor(F.log2("k") * mixing.BUCKETS).alias("b")).count()
+    assert buckets.agg(F.max("count")).first()[0] < 200_000 / 300
+
+
 def test_ids_of_nothing(spark):
     assert tokens.encode_corpus(spark, spark.createDataFrame([], "doc_id BIGINT, text STRING")).count() == 0
 
