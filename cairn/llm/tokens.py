@@ -1,9 +1,10 @@
 """Token ids of a whole corpus: each distinct word is encoded once, over the whole cluster.
 
 Texts are cut into pre-tokens by the tokenizer's pattern, inside the JVM. The distinct pre-tokens are
-encoded once, their ids are joined back to the positions, and each text is put together again from rows
-sorted by position. A table of words that is small by measure is broadcast; a larger one meets the words
-in a shuffled join whose frequent words, at most a thousand, are salted.
+encoded once, their ids are joined back to the positions, and each text is put together again. A table of
+words that is small by measure is broadcast and joined to the words where they lie, a batch of texts at a
+time; a larger one meets the words in a shuffled join whose frequent words, at most a thousand, are
+salted, and texts are put together from rows sorted by position.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators.skew import HOT_ROWS, MAX_HOT_KEYS, salted_lookup
@@ -41,10 +42,13 @@ def encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _pre_tokens(text: str) -> Column:
+    return F.regexp_extract_all(F.col(text), F.lit("(?U)" + PATTERN), F.lit(0))
+
+
 def words(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, text_hash, pos, word): the pre-tokens of each text. The hash keeps different texts of one id apart."""
-    found = F.regexp_extract_all(F.col(text), F.lit("(?U)" + PATTERN), F.lit(0))
-    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(found).alias("pos", "word"))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(_pre_tokens(text)).alias("pos", "word"))
 
 
 def vocabulary(spark: SparkSession, tokens: DataFrame, path: str) -> DataFrame:
@@ -78,16 +82,41 @@ def encode_corpus(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id",
     columns are ignored. A document's ids come together in one task, as they are one value.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids ARRAY<INT>"
     vocab = vocabulary(spark, words(docs, "doc_id", "text"), path)
     if held_bytes(vocab) <= BROADCAST_BYTES:
-        # Texts are placed by id once; words and ids then stay where they are until they are together again.
-        joined = words(docs.repartition("doc_id"), "doc_id", "text").join(F.broadcast(vocab.select("word", "ids")), "word")
-    else:
-        joined = salted_lookup(words(docs, "doc_id", "text"), vocab.select("word", "ids"), "word", hot_words(vocab)).repartition("doc_id")
+        once = docs.groupBy("doc_id", F.xxhash64("text").alias("text_hash")).agg(F.first("text").alias("text"))
+        found = F.coalesce(_pre_tokens("text"), F.array().cast("array<string>"))
+        return once.select("doc_id", found.alias("words")).mapInArrow(_joined_in_place(spark, vocab), schema)
+    joined = salted_lookup(words(docs, "doc_id", "text"), vocab.select("word", "ids"), "word", hot_words(vocab)).repartition("doc_id")
     whole = joined.select("doc_id", "text_hash", "pos", "ids").sortWithinPartitions("doc_id", "text_hash", "pos")
-    whole = whole.mapInArrow(_put_together, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids ARRAY<INT>")
     empty = docs.where(F.col("text").isNull() | (F.col("text") == "")).select("doc_id", F.array().cast("array<int>").alias("ids")).distinct()
-    return whole.unionByName(empty)
+    return whole.mapInArrow(_put_together, schema).unionByName(empty)
+
+
+def _joined_in_place(spark: SparkSession, vocab: DataFrame):
+    """A step from batches (doc_id, words) to (doc_id, ids): all words of a batch meet the broadcast table at once, and the lists keep their order."""
+    sink = pa.BufferOutputStream()
+    held = vocab.select("word", "ids").toArrow().combine_chunks()  # at most BROADCAST_BYTES
+    with pa.ipc.new_stream(sink, held.schema) as out:
+        out.write_table(held)
+    shared = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.ipc.open_stream(shared.value).read_all().combine_chunks()
+        known, ids = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns)
+        for batch in batches:
+            lists = batch.column("words")
+            at = pc.index_in(lists.flatten(), value_set=known)
+            if at.null_count:
+                raise ValueError("a word is not in the vocabulary made from the same texts")
+            taken = ids.take(at)
+            upto = np.concatenate([[0], np.cumsum(taken.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])
+            ends = upto[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+            whole = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), taken.flatten())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), whole], ["doc_id", "ids"])
+
+    return join
 
 
 def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +173,7 @@ def count_tokens(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", t
 
     Rows repeated with one id add up.
     """
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.regexp_extract_all(F.col(text), F.lit("(?U)" + PATTERN), F.lit(0))).alias("word"))
+    tokens = docs.select(F.col(doc_id).alias("doc_id"), F.explode(_pre_tokens(text)).alias("word"))
     vocab = vocabulary(spark, tokens, path)
     each = vocab.select("word", F.size("ids").cast("bigint").alias("each"))
     if held_bytes(vocab) <= BROADCAST_BYTES:
