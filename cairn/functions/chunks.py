@@ -3,92 +3,62 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes up to which a text stays whole, bytes of a chunk, bytes repeated, and most chunks of a text.
 THRESHOLD, TARGET, OVERLAP, MOST = 2048, 1024, 128, 512
 
+# The bytes of UTF-8 as characters of one byte each, so that quantifiers count bytes.
+_BYTES = "ISO-8859-1"
+_WHOLE = r"(?![\u0080-¿])"
+_BLANK = r"[ \t\r\u000b\f]|Â[\u0085\u00a0]|á\u009a\u0080|â\u0080[\u0080-\u008a¨©¯]|â\u0081\u009f|ã\u0080\u0080"
+#: A place after a line end, or after the first white space that follows a closing mark.
+_BOUNDARY = rf"(?<=\n|[.!?](?:{_BLANK}))"
 
-def boundaries(body: bytes) -> list[int]:
-    """Byte offsets after line ends and after the first white space that follows a closing mark, with both ends."""
-    text, at, closed, out = body.decode(), 0, False, {0, len(body)}
-    for c in text:
-        at += len(c.encode())
-        if c == "\n":
-            out.add(at)
-            closed = False
-        elif c in ".!?":
-            closed = True
-        elif c.isspace():
-            if closed:
-                out.add(at)
-            closed = False
-        else:
-            closed = False
-    return sorted(out)
-
-
-def _floor(body: bytes, at: int) -> int:
-    at = min(at, len(body))
-    while 0 < at < len(body) and body[at] & 0xC0 == 0x80:
-        at -= 1
-    return at
-
-
-def _last(marks: list[int], after: int, upto: int) -> int | None:
-    from bisect import bisect_right
-
-    i = bisect_right(marks, upto) - 1
-    return marks[i] if i >= 0 and marks[i] > after else None
-
-
-def _next(body: bytes, at: int) -> int:
-    at += 1
-    while at < len(body) and body[at] & 0xC0 == 0x80:
-        at += 1
-    return at
-
-
-def chunk_spans(text: str, threshold: int = THRESHOLD, target: int = TARGET, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """[start, end) byte spans: whole if short, else cut at sentences near the target, each repeating up to ``overlap`` bytes."""
-    body = text.encode()
-    if not body:
-        return []
-    if len(body) <= threshold:
-        return [(0, len(body))]
-    marks, spans, start = boundaries(body), [], 0
-    while True:
-        wanted = _floor(body, start + target)
-        end = _last(marks, start, min(start + target, len(body))) or wanted
-        covered = spans[-1][1] if spans else 0
-        if (end < len(body) and end - start <= overlap) or end <= covered:
-            end = wanted
-        spans.append((start, end := max(end, _next(body, start)) if end <= start else end))
-        if end >= len(body):
-            return spans
-        back = max(0, end - overlap)
-        again = _last(marks, start, back) or _floor(body, back)
-        start = again if again > start else _next(body, start)
+
+def one_byte_each(text: Column) -> Column:
+    return F.decode(F.encode(text, "UTF-8"), _BYTES)
+
+
+def chunk_spans(text: Column, raw: Column, threshold: int = THRESHOLD, target: int = TARGET, overlap: int = OVERLAP, most: int = MOST) -> Column:
+    """ARRAY<STRUCT<byte_start, byte_end>> of a text's chunks; null if there would be more than ``most``, or for a null text.
+
+    A text of at most ``threshold`` bytes is one chunk, an empty one none. Else one expression parts it into
+    cores, each as long as the target leaves room for and ending at a boundary where one lies beyond the
+    overlap's length, and each chunk is a core with what stands before it: at least ``overlap`` bytes, back
+    to a boundary if the target has room. Chunks begin and end with whole characters. ``raw``, a column of
+    its own so that it is worked out once, is the text with one character for each byte.
+    """
+    room = target - 2 * overlap  # what is left is for the bytes repeated, which go back to a boundary or a whole character
+    cut = rf"(?s).{{1,{room}}}\z|.{{{min(overlap + 1, room)},{room}}}{_BOUNDARY}|.{{1,{room}}}{_WHOLE}"
+    cores = F.regexp_extract_all(raw, F.lit(cut), F.lit(0))
+
+    def with_lead(core: Column) -> Column:
+        size, start = core["size"], core["start"]
+        seen = F.substring(raw, F.greatest(start - (target - size), F.lit(0)) + 1, F.least(start, target - size))
+        by_boundary = F.length(F.regexp_extract(seen, rf"(?s)^.*{_BOUNDARY}(.{{{overlap},}})\z", 1))
+        by_character = F.length(F.regexp_extract(F.right(seen, F.lit(overlap + 3)), rf"(?s){_WHOLE}(.{{{overlap},{overlap + 3}}})\z", 1))
+        lead = F.when(start == 0, 0).when(by_boundary > 0, by_boundary).otherwise(by_character)
+        return F.struct((start - lead).alias("byte_start"), (start + size).alias("byte_end"))
+
+    first = F.array().cast("array<struct<start:int,size:int>>")
+    placed = F.aggregate(cores, first, lambda done, c: F.array_append(done, F.struct(F.when(F.size(done) == 0, 0).otherwise(F.element_at(done, -1)["start"] + F.element_at(done, -1)["size"]).alias("start"), F.length(c).alias("size"))))
+    whole = F.filter(F.array(F.struct(F.lit(0).alias("byte_start"), F.octet_length(text).alias("byte_end"))), lambda s: s["byte_end"] > 0)
+    return F.when(F.octet_length(text) <= threshold, whole).when(F.size(cores) <= most, F.transform(placed, with_lead))
 
 
 def chunked(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, ordinal, byte_start, byte_end, too_many) of every non-null text; too_many marks texts beyond MOST chunks."""
-    key_type = df.schema[key].dataType.simpleString()
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for k, t in zip(batch[key], batch[text]):
-                spans = chunk_spans(t) if isinstance(t, str) else []
-                rows += [(k, i, a, b, len(spans) > MOST) for i, (a, b) in enumerate(spans)]
-            if rows:
-                yield pd.DataFrame(rows, columns=[key, "ordinal", "byte_start", "byte_end", "too_many"])
-
-    return df.select(key, text).mapInPandas(cut, f"{key} {key_type}, ordinal INT, byte_start INT, byte_end INT, too_many BOOLEAN")
+    """(key, ordinal, byte_start, byte_end, too_many) of every non-null text, numbered from 0.
+
+    A text of more than MOST chunks is refused: it gives one row with too_many and neither number nor bytes.
+    Repeated rows give their chunks repeatedly. Nothing is shuffled.
+    """
+    held = df.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_text"), one_byte_each(F.col(text)).alias("_raw"))
+    held = held.select(key, chunk_spans(F.col("_text"), F.col("_raw")).alias("_spans"))
+    each = held.select(key, F.col("_spans").isNull().alias("too_many"), F.posexplode_outer("_spans").alias("ordinal", "_s"))
+    return each.select(key, "ordinal", "_s.byte_start", "_s.byte_end", "too_many").where(F.col("too_many") | F.col("ordinal").isNotNull())
 
 
 def flat_words(text: str) -> list[str]:

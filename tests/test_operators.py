@@ -47,16 +47,26 @@ def test_earned_authority(spark):
     assert [r[0] for r in df.select(claims.earned(df["e"])).collect()] == [4, 0, None]
 
 
-@pytest.mark.parametrize("text", ["", "short", "Ein Satz. Noch einer! " * 300, "ż" * 5000, "x" * 3000, "日本語。" * 900, "a\n" * 4000])
-def test_chunk_spans(text):
-    body, spans = text.encode(), chunks.chunk_spans(text)
-    if not body:
-        assert spans == []
-        return
-    assert spans[0][0] == 0 and spans[-1][1] == len(body)
-    for (a, b), (c, d) in zip(spans, spans[1:]):
-        assert a < c <= b < d
-    assert all(b - a <= (2048 if len(spans) == 1 else 1024) and body[a:b].decode() for a, b in spans)
+CHUNKED = ["", "short", "Ein Satz. Noch einer! " * 300, "ż" * 5000, "x" * 3000, "日本語。" * 900, "a\n" * 4000, "One. " * 200 + "y" * 5000 + " two! three?\u3000four" * 400, None, "z" * 2048, "z" * 2049]
+
+
+def test_chunks(spark):
+    """Whole cover, overlap of at least the bytes asked for, whole characters, no chunk beyond the target, numbers from 0."""
+    df = spark.createDataFrame(list(enumerate(CHUNKED)) + [(99, "w" * 1_000_000)], "id INT, text STRING").withColumn("ordinal", F.lit("clash"))
+    found = {}
+    for r in chunks.chunked(df, "id", "text").orderBy("id", "ordinal").collect():
+        found.setdefault(r["id"], []).append(r)
+    assert [(r["ordinal"], r["byte_start"], r["too_many"]) for r in found.pop(99)] == [(None, None, True)]
+    assert set(found) == {i for i, t in enumerate(CHUNKED) if t}
+    for i, rows in found.items():
+        body, spans = CHUNKED[i].encode(), [(r["byte_start"], r["byte_end"]) for r in rows]
+        assert [r["ordinal"] for r in rows] == list(range(len(rows))) and not any(r["too_many"] for r in rows)
+        assert spans[0][0] == 0 and spans[-1][1] == len(body) and (len(spans) == 1) == (len(body) <= 2048)
+        for (a, b), (c, d) in zip(spans, spans[1:]):
+            assert a < c and b < d and 128 <= b - c
+        assert all(b - a <= (2048 if len(spans) == 1 else 1024) and body[a:b].decode() for a, b in spans)
+    text = CHUNKED[2]
+    assert all(text[r["byte_end"] - 2 : r["byte_end"]] in (". ", "! ") and text[r["byte_start"]] in "EN" for r in found[2])
 
 
 def test_word_pieces():
