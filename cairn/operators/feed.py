@@ -1,13 +1,15 @@
 """A change feed kept as a log-structured merge table.
 
-Changes are appended as runs: files by key bucket, sorted by key and sequence. A read merges all runs:
-the entry with the greatest sequence of a key wins, and a key whose last entry is a removal
-(a tombstone) is absent. Compaction writes the merge of all runs as one run; an append that makes the
-runs MOST_RUNS does it, so a read merges fewer.
+Changes are appended as runs. A run is a table bucketed by key and sorted by key within its buckets, with
+one row a key: its last entry. A read merges the runs bucket by bucket: sort-merge joins on the key, which
+need no exchange as all runs have the same buckets, keep of each key the run whose entry is the last, and a
+key whose last entry is a removal (a tombstone) is absent. Compaction writes the merge of all runs as one
+run; an append that makes the runs MOST_RUNS does it, so a read merges fewer.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +17,10 @@ from pyspark.sql import functions as F
 
 from cairn.session import fresh_path, remove_path
 
-BUCKET = "_bucket"
 #: Runs at which an append compacts them. The claim feed, a run a source, reaches it with its last one.
 MOST_RUNS = 3
+#: Columns of a run besides the entry's own: the key as one value, and what orders the entries of a key.
+KEY, PLACE = "_key", "_place"
 
 
 @dataclass
@@ -25,7 +28,10 @@ class ChangeTable:
     """Runs of one table below ``path``. ``keys`` identify a row, ``order`` (a list of columns) orders its entries, ``removed`` marks tombstones.
 
     Entries may come repeated, late and in any order: a read depends only on the set of entries. Entries
-    with a null order count as the earliest. Null keys are keys like others. Extra columns are payload.
+    with a null order count as the earliest; of entries with one order a removal is the last, then the one
+    with the greatest hash. Null keys are keys like others. All runs have the same columns; extra columns
+    are payload. ``buckets`` is the session's number of shuffle partitions, so that the shuffle by which a
+    run is reduced to a row a key makes its buckets, too.
     """
 
     spark: SparkSession
@@ -33,25 +39,29 @@ class ChangeTable:
     keys: list[str]
     order: list[str]
     removed: str = "removed"
-    buckets: int = 16
+    buckets: int = 0
     runs: list[str] = field(default_factory=list)
-    written: int = 0
 
     @classmethod
     def create(cls, spark: SparkSession, keys: list[str], order: list[str], label: str = "feed", **options) -> "ChangeTable":
-        return cls(spark, fresh_path(spark, label), keys, order, **options)
+        return cls(spark, fresh_path(spark, label), keys, order, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")), **options)
 
     def append(self, entries: DataFrame) -> "ChangeTable":
         """Adds entries as one run, first reduced to the last entry of each key, and compacts MOST_RUNS runs.
 
         Tombstones stay. Compaction removes the runs that it merged, so read again after an append.
         """
-        self._write(self._last(entries))
+        rest = [c for c in entries.columns if c not in (*self.order, self.removed)]
+        place = F.struct(*self.order, self.removed, F.xxhash64(*rest).alias("_hash")).alias(PLACE)
+        # Pre-aggregated before the shuffle, so a hot key costs one row a task.
+        keyed = entries.select(F.to_json(F.struct(*self.keys)).alias(KEY), place, F.struct(*entries.columns).alias("_entry"))
+        last = keyed.groupBy(KEY).agg(F.max_by(F.struct(PLACE, "_entry"), PLACE).alias("_last"))
+        self._write(last.select(KEY, f"_last.{PLACE}", "_last._entry.*"))
         return self.compact() if len(self.runs) >= MOST_RUNS else self
 
     def merged(self) -> DataFrame:
         """The last entry of each key over all runs, tombstones included."""
-        return self._last(self._all()) if len(self.runs) > 1 else self._all()
+        return self._merge().drop(KEY, PLACE)
 
     def read(self) -> DataFrame:
         """The rows present: the last entries that are no tombstones."""
@@ -59,31 +69,32 @@ class ChangeTable:
 
     def compact(self, keep_tombstones: bool = True) -> "ChangeTable":
         """Replaces all runs by their merge. Tombstones may go only once no older entry can still arrive."""
-        merged = self.merged()
+        merged = self._merge()
         old, self.runs = self.runs, []
         self._write(merged if keep_tombstones else merged.where(~F.col(self.removed)))
         for run in old:
-            remove_path(self.spark, run)
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+            remove_path(self.spark, f"{self.path}/{run}")
         return self
 
     def _write(self, entries: DataFrame) -> None:
-        run = f"{self.path}/run-{self.written:06d}"
-        self.written += 1
-        entries.sortWithinPartitions(*self.keys, *self.order).write.parquet(run)
+        run = f"run_{uuid.uuid4().hex}"
+        entries.write.bucketBy(self.buckets, KEY).sortBy(KEY).option("path", f"{self.path}/{run}").format("parquet").saveAsTable(run)
         self.runs.append(run)
 
-    def _all(self) -> DataFrame:
-        found = [self.spark.read.parquet(run) for run in self.runs]
-        rows = found[0]
-        for other in found[1:]:
-            rows = rows.unionByName(other, allowMissingColumns=True)
-        return rows
-
-    def _last(self, entries: DataFrame) -> DataFrame:
-        """Pre-aggregated before the shuffle, so a hot key costs one row a task."""
-        rest = [c for c in entries.columns if c not in self.keys]
-        last = F.max_by(F.struct(*rest), F.struct(*self.order, F.struct(*rest))).alias("_last")
-        return entries.groupBy(*self.keys).agg(last).select(*self.keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
+    def _merge(self) -> DataFrame:
+        """Of each run the entries that no other run outdoes; equal ones count in the first run that has them."""
+        found = [self.spark.table(run) for run in self.runs]
+        merged = None
+        for i, run in enumerate(found):
+            left = run.hint("merge")
+            for j, other in enumerate(found):
+                if j != i:
+                    left = left.join(other.select(KEY, F.col(PLACE).alias(f"_place_{j}")).hint("merge"), KEY, "left")
+                    theirs = F.col(f"_place_{j}")
+                    left = left.where(theirs.isNull() | (theirs < F.col(PLACE)) | ((theirs == F.col(PLACE)) & F.lit(i < j))).drop(f"_place_{j}")
+            merged = left if merged is None else merged.unionByName(left)
+        return merged
 
 
 SLOT = ["scope_id", "subject_key", "predicate_name", "predicate_version", "slot_key"]

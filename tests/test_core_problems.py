@@ -130,6 +130,20 @@ def test_p1_against_brute_force(spark, data):
     assert {tuple(r) for r in core_problems.p1_found(spark, data).collect()} == expected
 
 
+def test_reading_a_feed_moves_nothing(spark):
+    table = feed.ChangeTable.create(spark, ["k"], ["seq"])
+    for i in range(2):
+        table.append(spark.range(300).select((F.col("id") % (50 + i)).alias("k"), (F.col("id") * 2 + i).alias("seq"), F.lit(i == 1).alias("removed")))
+    assert len(table.runs) == 2
+    last = {}
+    for seq, k, removed in sorted((n * 2 + i, n % (50 + i), i == 1) for n in range(300) for i in range(2)):
+        last[k] = (seq, removed)
+    found = table.merged()
+    assert {r["k"]: (r["seq"], r["removed"]) for r in found.collect()} == last and found.count() == 51
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and plan.count("Bucketed: true") == 4
+
+
 def test_salted_lookup_keeps_every_row(spark):
     left = spark.createDataFrame([("a", i) for i in range(500)] + [("b", 1), (None, 2), ("b", 1), ("zz", 3)], "k STRING, n INT")
     right = spark.createDataFrame([("a", 10), ("b", 20), ("c", 30)], "k STRING, v INT")
