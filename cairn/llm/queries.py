@@ -24,22 +24,40 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_oversized(_bodies(spark, sf_dir), "text", ["memory_id"]).distinct()
 
 
-def _near(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    given = table(spark, sf_dir, "stored_vector")
-    return vectors.neighbours(spark, vectors.usable(given, table(spark, sf_dir, "model_revision")), given=given, **options)
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The usable rows, each chunk once, and the rows before repeats are left out."""
+    given, models = table(spark, sf_dir, "stored_vector"), table(spark, sf_dir, "model_revision")
+    return vectors.usable(given, models), vectors.of_width(given, models)
+
+
+def _near_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows, given = _vectors(spark, sf_dir)
+    return vectors.near_classes(spark, rows, 0.95, given)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of chunks of one revision whose cosine is at least 0.95; every row asks, in the lists within the margin."""
-    near = _near(spark, sf_dir, probes=vectors.NEAR_PROBES, margin=vectors.NEAR_MARGIN, least=0.95)
-    pair = near.select(F.least("chunk_id", "other_id").alias("chunk_id_a"), F.greatest("chunk_id", "other_id").alias("chunk_id_b"))
-    return pair.distinct()
+    """Pairs of chunks of one revision whose cosine is at least 0.95: pairs of classes of equal vectors, and the members of each class."""
+    pairs, members = _near_classes(spark, sf_dir)
+    copies = members.where("chunk_id <> class_id")
+    copied = copies.unionByName(copies.select(F.col("class_id").alias("chunk_id"), "class_id").distinct())
+    side = lambda name: copied.select(F.col("class_id").alias(f"class_{name}"), F.col("chunk_id").alias(f"chunk_{name}"))
+    across = pairs.join(side("a"), "class_a", "left").join(side("b"), "class_b", "left").select(F.coalesce("chunk_a", "class_a").alias("a"), F.coalesce("chunk_b", "class_b").alias("b"))
+    within = copied.select("class_id", F.col("chunk_id").alias("a")).join(copied.select("class_id", F.col("chunk_id").alias("b")), "class_id").where("a < b").select("a", "b")
+    return across.unionByName(within).select(F.least("a", "b").alias("chunk_id_a"), F.greatest("a", "b").alias("chunk_id_b"))
+
+
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each usable chunk with its class of equal vectors and the number of other classes with a cosine of at least 0.95."""
+    pairs, members = _near_classes(spark, sf_dir)
+    links = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
+    return members.join(links, "class_id", "left").select("chunk_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def p3_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 most similar chunks of each chunk whose id (its hexadecimal end) is divisible by 20, against all rows."""
+    rows, given = _vectors(spark, sf_dir)
     number = F.conv(F.regexp_extract("chunk_id", "([0-9a-f]{1,15})$", 1), 16, 10).try_cast("bigint")
-    return _near(spark, sf_dir, probes=vectors.WIDE_PROBES, share_of_lists=vectors.WIDE_SHARE, queries=F.coalesce(number % 20 == 0, F.lit(False)))
+    return vectors.neighbours(spark, rows, given=given, queries=F.coalesce(number % 20 == 0, F.lit(False)))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +105,7 @@ def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_top10, p5_found, p5_redacted, p8_ids, p9_mix, p9_shares, p10_found, p10_sentences)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_classes, p3_top10, p5_found, p5_redacted, p8_ids, p9_mix, p9_shares, p10_found, p10_sentences)}
 
 ORACLES = {
     "p2_found": "SELECT DISTINCT id AS memory_id FROM memory_record WHERE octet_length(encode(body.text)) > 2048",

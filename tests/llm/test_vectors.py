@@ -36,17 +36,64 @@ def test_recall_of_nearest(spark, rows):
         assert abs(c - s[0, int(o[1:])]) < 1e-5
 
 
-@pytest.mark.parametrize("part, turn", [(8192, 32768), (64, 32768), (64, 50), (8192, 50)])
-def test_pairs_above_a_cosine(spark, rows, monkeypatch, part, turn):
+@pytest.mark.parametrize("part, turn, first", [(8192, 32768, 4096), (64, 32768, 4096), (64, 50, 4096), (8192, 50, 4096), (8192, 32768, 20)])
+def test_pairs_above_a_cosine(spark, rows, monkeypatch, part, turn, first):
     monkeypatch.setattr(vectors, "PART", part)
     monkeypatch.setattr(vectors, "TURN", turn)
+    monkeypatch.setattr(vectors, "FIRST_LISTS", first)
     df, x = rows
     s, _ = truth(x, 10)
     true = {(f"c{i:04}", f"c{j:04}") for i, j in zip(*np.nonzero(s >= 0.97)) if i < j}
-    near = vectors.neighbours(spark, df, probes=2, margin=0.03, least=0.97).collect()
-    got = {tuple(sorted((r["chunk_id"], r["other_id"]))) for r in near}
-    assert len({(r["chunk_id"], r["other_id"]) for r in near}) == len(near)
-    assert got <= true and len(got) >= 0.97 * len(true) and all(r["cosine"] >= 0.97 for r in near)
+    pairs, members = vectors.near_classes(spark, df, 0.97)
+    found = [tuple(r) for r in pairs.collect()]
+    assert len(set(found)) == len(found) and set(found) <= true and len(found) >= 0.97 * len(true)
+    assert members.where("chunk_id = class_id").count() == members.count() == 3001
+
+
+def test_copies_are_one_class(spark):
+    """More copies of a vector than any bound on partners: none is lost, and none costs a search."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 16)).astype(np.float32)
+    near = (x[0] + 0.01 * rng.normal(size=(60, 16))).astype(np.float32)
+    data = [(f"a{i:03}", 1, v.tolist()) for i, v in enumerate(x)] + [(f"b{i:03}", 1, x[0].tolist()) for i in range(300)] + [(f"n{i:02}", 1, v.tolist()) for i, v in enumerate(near)]
+    pairs, members = vectors.near_classes(spark, spark.createDataFrame(data, "chunk_id STRING, model_revision INT, vector ARRAY<FLOAT>"), 0.99)
+    classes = {r["chunk_id"]: r["class_id"] for r in members.collect()}
+    assert len(classes) == 560 and {c for i, c in classes.items() if i[0] == "b"} == {"a000"} and sum(i == c for i, c in classes.items()) == 260
+    u = np.concatenate([x, near]).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    names = [f"a{i:03}" for i in range(200)] + [f"n{i:02}" for i in range(60)]
+    assert {tuple(r) for r in pairs.collect()} == {(names[i], names[j]) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.99, 1)))}
+
+
+def test_recall_with_few_lists_probed(spark):
+    """Under a tenth of the lists are looked at, and recall against brute force stays above 0.9."""
+    rng = np.random.default_rng(5)
+    basis = rng.normal(size=(12, 32))
+    x = (rng.normal(size=(20_000, 12)) @ basis + 0.4 * rng.normal(size=(20_000, 32))).astype(np.float32)
+    df = spark.createDataFrame([(f"c{i:05}", 1, v.tolist()) for i, v in enumerate(x)], "chunk_id STRING, model_revision INT, vector ARRAY<FLOAT>")
+    got = {}
+    for r in vectors.neighbours(spark, df, probes=12, queries=F.col("chunk_id").endswith("00")).collect():
+        got.setdefault(r["chunk_id"], set()).add(r["other_id"])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    asked = np.arange(0, 20_000, 100)
+    s = u[asked] @ u.T
+    s[np.arange(200), asked] = -2
+    best = np.argsort(-s, axis=1)[:, :10]
+    assert 13 < 0.1 * int(np.sqrt(20_000))
+    assert np.mean([len({f"c{j:05}" for j in best[i]} & got[f"c{a:05}"]) / 10 for i, a in enumerate(asked)]) >= 0.9
+
+
+def test_pairs_of_words_as_lists():
+    """With pairs of words the lists nearest by near_lists are those nearest by all sums, but for first words out of sight."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 8)).astype(np.float32)
+    books = [rng.normal(size=(40, 8)).astype(np.float32), 0.5 * rng.normal(size=(6, 8)).astype(np.float32)]
+    sums = (books[0][:, None] + books[1][None]).reshape(-1, 8)
+    score = x @ sums.T - 0.5 * (sums**2).sum(1)
+    near, further = vectors.near_lists(x, books, 3)
+    assert (near == score.argmax(1)).mean() > 0.99 and np.mean([list(f) == list(np.argsort(-s)[1:4]) for f, s in zip(further, score)]) > 0.95
+    near, further = vectors.near_lists(x, books, 0, 0.2)
+    assert np.mean([set(f) == set(np.flatnonzero(s >= s.max() - 0.2)) - {n} for n, f, s in zip(near, further, score)]) > 0.95
 
 
 def test_queries_subset(spark, rows):
@@ -73,5 +120,6 @@ def test_encoding_reduces_error():
     codes, norms = vectors.encode(x[:200], books)
     sums = sum(b[codes[:, i]] for i, b in enumerate(books))
     assert np.allclose((sums**2).sum(1), norms, rtol=1e-3, atol=1e-4)
+    assert len(books[1]) == 1 and not books[1].any()
     first = ((x[:200, None] - books[0][None]) ** 2).sum(2).min(1)
     assert ((x[:200] - sums) ** 2).sum(1).mean() < 0.5 * first.mean()
