@@ -38,7 +38,7 @@ TURN = 32_768
 KEPT = 12
 ITERATIONS = 8
 #: For partners of a cosine of 0.95 or more: a row also asks in all lists whose score is at most so far below its own's.
-NEAR_MARGIN = 0.04
+NEAR_MARGIN = 0.02
 #: So many ids of copies are broadcast; more are shuffled.
 FEW_COPIES = 200_000
 #: For the nearest neighbours however far: lists in which a query asks besides its own.
