@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import bisect
 import struct
-from datetime import UTC, datetime
+from calendar import isleap
+from datetime import UTC, date, datetime
 from functools import lru_cache
 from importlib import resources
 from pathlib import Path
@@ -21,8 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Local years that the interval table covers; a zone-local time outside names no instant.
-YEARS = (1900, 2100)
+#: Local years that the interval table covers. Before them every zone keeps its first offset, which holds without a beginning;
+#: the rules that hold from then on repeat with the calendar, so a later year is looked up as one of the last 28 before the end.
+YEARS = (1830, 2132)
+#: Earlier than any local second.
+EVER = -(1 << 52)
 #: Local years whose intervals one row of the table holds.
 SPAN = 5
 #: Seconds between two looks at a zone's yearly rule; no rule undoes its change within that time.
@@ -105,8 +109,8 @@ def _zone_rows(years: tuple[int, int] = YEARS) -> pa.Table:
     rows = []
     for name in sorted(available_timezones()):
         held: dict[int, list[dict]] = {}
-        for start, end, offset in offset_intervals(name, years):
-            low, high = start + offset, end + offset
+        for n, (start, end, offset) in enumerate(offset_intervals(name, years)):
+            low, high = start + offset if n else EVER, end + offset
             for i in range(max(0, bisect.bisect_right(starts, low) - 1), bisect.bisect_left(starts, high)):
                 held.setdefault(spans[i], []).append({"low": low, "high": high, "offset": offset})
         rows += [{"zone": name, "span": span, "held": x} for span, x in held.items()]
@@ -122,6 +126,21 @@ def zone_table(spark: SparkSession, years: tuple[int, int] = YEARS) -> DataFrame
     return spark.createDataFrame(_zone_rows(years))
 
 
+def _like_years(years: tuple[int, int] = YEARS) -> list[int]:
+    """For each first weekday (Sunday first) and each of plain and leap: the year among the 28 before the end of ``years`` with that calendar."""
+    of = {(date(y, 1, 1).isoweekday() % 7, isleap(y)): y for y in range(years[1] - 28, years[1])}
+    return [of[weekday, leap] for weekday in range(7) for leap in (False, True)]
+
+
+def _looked_up(local: Column, year: Column) -> Column:
+    """The local second to be looked up in the zone table: moved, from the end of the table's years on, into a year of the same calendar."""
+    first = F.make_date(year, F.lit(1), F.lit(1))
+    leap = F.day(F.last_day(F.make_date(year, F.lit(2), F.lit(1)))) == 29
+    like = F.element_at(F.array(*map(F.lit, _like_years())), 2 * F.dayofweek(first) - 1 + leap.cast("int"))
+    days = F.unix_date(first) - F.unix_date(F.make_date(like, F.lit(1), F.lit(1)))
+    return F.when(year < YEARS[1], local).otherwise(local - days.cast("bigint") * 86400)
+
+
 def _replaced(value: Column, form: str) -> Column:
     pattern, into = FORMS[form]
     return F.regexp_replace(value, pattern, into)
@@ -186,9 +205,11 @@ def normalise(spark: SparkSession, df: DataFrame, value: str, system: str, syste
     df = df.join(short, F.col("_t_token") == F.col("_t_abbrev"), "left")
     df = df.withColumn("_t_offset", F.coalesce("_t_offset", F.when(~F.col("_t_stated"), F.col("_t_short"))))
     needs = F.col("_t_local").isNotNull() & F.col("_t_offset").isNull() & ~F.col("_t_stated")
-    df = df.withColumn("_t_ask", F.when(needs, F.coalesce("_t_token", "_t_home"))).withColumn("_t_y", (F.year(F.timestamp_seconds("_t_local")) / SPAN).cast("int"))
+    df = df.withColumn("_t_ask", F.when(needs, F.coalesce("_t_token", "_t_home"))).withColumn("_t_year", F.year(F.timestamp_seconds("_t_local")))
+    df = df.withColumn("_t_at", F.when(needs, _looked_up(F.col("_t_local"), F.col("_t_year"))))
+    df = df.withColumn("_t_y", F.greatest((F.year(F.timestamp_seconds("_t_at")) / SPAN).cast("int"), F.lit(YEARS[0] // SPAN)))
     df = df.join(zones, (F.col("_t_ask") == F.col("_t_zone")) & (F.col("_t_y") == F.col("_t_span")), "left")
-    df = df.withColumn("_t_fit", F.filter("_t_held", lambda x: (x["low"] <= F.col("_t_local")) & (F.col("_t_local") < x["high"])))
+    df = df.withColumn("_t_fit", F.filter("_t_held", lambda x: (x["low"] <= F.col("_t_at")) & (F.col("_t_at") < x["high"])))
     at = F.coalesce("_t_offset", F.when(F.size("_t_fit") == 1, F.col("_t_fit")[0]["offset"]))
 
     whole, part = F.substring_index("_t_v", ".", 1), F.when(F.col("_t_v").contains("."), F.substring_index("_t_v", ".", -1)).otherwise("")

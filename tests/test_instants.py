@@ -60,3 +60,28 @@ def test_offset_intervals_match_zoneinfo():
         for low, high, offset in instants.offset_intervals(name):
             for second in (low, (low + high) // 2, high - 1):
                 assert ZoneInfo(name).utcoffset(datetime.fromtimestamp(second, ZoneInfo(name))).total_seconds() == offset
+
+
+def test_years_far_from_now(spark, tables):
+    """Zone-local times of any year from 1 to 9998, against zoneinfo."""
+    import random
+
+    rng = random.Random(4)
+    names = ["Europe/Warsaw", "America/New_York", "Australia/Lord_Howe", "Africa/Casablanca", "Asia/Kolkata", "America/Santiago", "Europe/Dublin", "Pacific/Apia", "Asia/Tehran", "UTC"]
+    local = {}
+    for _ in range(4000):
+        t = datetime(rng.choice([rng.randrange(1, 1900), rng.randrange(1900, 2200), rng.randrange(2100, 9999)]), 1, 1) + timedelta(minutes=30 * rng.randrange(364 * 48))
+        local[f"{t:%H:%M}|{t.year:04}-{t:%m-%d}|{rng.choice(names)}".replace("|", " ")] = t
+    rows = [f"{k.split(' ')[1]}T{k.split(' ')[0]} {k.split(' ')[2]}" for k in local]
+    for year in (2100, 2104, 2400, 9998):  # the hours about a change of the clock
+        t = datetime(year, 3, 25)
+        for i in range(8 * 24):
+            x = t + timedelta(hours=i, minutes=30)
+            rows.append(f"{x.year:04}-{x:%m-%d}T{x:%H:%M} Europe/Warsaw")
+    df = spark.createDataFrame([(r, "utc") for r in rows], "value STRING, system STRING")
+    got = {r["value"]: r["utc_us"] for r in instants.normalise(spark, df, "value", "system", *tables).collect()}
+    for row in rows:
+        t, zone = datetime.fromisoformat(row.split(" ")[0]), ZoneInfo(row.split(" ")[1])
+        found = {u for f in (0, 1) if (u := t.replace(tzinfo=zone, fold=f).astimezone(UTC)).astimezone(zone).replace(tzinfo=None) == t}
+        exact = found.pop() - datetime(1970, 1, 1, tzinfo=UTC) if len(found) == 1 else None
+        assert got[row] == (exact and exact // timedelta(microseconds=1)), row
