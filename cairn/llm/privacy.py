@@ -2,14 +2,17 @@
 
 Patterns propose spans. Labelers (the form itself, words around it, name lists, and lists learned from the
 corpus) vote yes, no or nothing on each. The patterns of votes are counted over all texts; expectation
-maximisation over these counts estimates how reliable each labeler is and how likely each pattern is a true
-span. A logistic classifier is trained on these likelihoods and decides every span; overlapping spans go to
-the likelier one. Only counts by pattern and learned names, both bounded, reach the driver.
+maximisation over these counts, begun at the majority of the votes, estimates how reliable each labeler is
+and how likely each pattern is a true span. A logistic classifier of the votes, the words around a span
+and its shape is trained on these likelihoods, with votes left out at random so that it learns the words,
+and decides every span; overlapping spans go to the likelier one. Counts by pattern and a bounded sample of
+spans reach the driver; learned names do if they are few by count, else texts are joined to their table.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,14 +21,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.operators.skew import hot_keys, salted_lookup
 from cairn.session import materialise, spread
 
 KINDS = ("email", "phone", "identity_number", "street_address", "person_name")
 #: A word is learned as a name if it stands beside a known one at least so often, and in at least this share of its places.
 LEARN_LEAST, LEARN_SHARE = 3, 0.3
-#: At most so many names are learned (the most frequent), so that their list stays small.
-LEARN_MOST = 20_000
-ROUNDS = 40
+#: Up to so many learned names every task holds the list; more stay a table that texts are joined to.
+LEARN_HELD = 100_000
+ROUNDS = 60
+#: A labeler that votes is taken to be right in this share of cases before anything is seen; the belief weighs as much as this share of the spans, and as 50 spans at least.
+BELIEF, BELIEF_WEIGHT, BELIEF_LEAST = 0.8, 0.05, 50
+#: The classifier is fitted to at most about so many spans of a kind, picked by hash.
+SAMPLE_SPANS = 20_000
+#: Places of the hashed features of words and shapes, and the share of votes left out in the fit.
+PLACES, LEFT_OUT = 4096, 0.35
 
 # Forms and words around them.
 _AT, _DOT = r"(?:@|\s?[\[({<]\s?at\s?[\])}>]\s?)", r"(?:\.|\s?[\[({<]\s?dot\s?[\])}>]\s?)"
@@ -40,9 +50,9 @@ _NUMBER = re.compile(
 )
 _EXTENSION = re.compile(r" ?(?:ext\.?|x|extension) ?\d{1,5}", re.I)
 _IDENTITY = frozenset({"card", "insurance", "passport", "social", "spaced", "tax"})
-_CALLS = re.compile(r"(?:\bcall|caller|\btel|tél|teléfono|telefon|phone|\bline|reach|rappeler|\bau|slip|mobile|fax|\bsms|zadzwoń|anruf|rufen|llamar|nummer|hat|contact|and|or|y|/)\W{0,4}(?:\S+[,/] ?)?$", re.I)
+_CALLS = re.compile(r"(?:\bcall|\bphone|\btel\b|\btelephone|tél|téléphone|teléfono|telefon|\bmobile|\bcell|\bfax|\bsms|\bcontact|\bnumber|nummer|numer|numéro|número|zadzwoń|anruf|rufen|llamar|appeler)\W{0,4}(?:\S+[,/] ?)?$", re.I)
 _PAPERS = re.compile(r"(?:social security|\bssn|national insurance|\bni\b|passport|travel document|\btax|taxpayer|\bvat|identity card|card of identity|\bid\b|national id|identity number|personalausweis|steuer|pesel|dowód|\bnif\b|\bdni\b|carte d.identité|pasaporte)[\w .:#º-]{0,16}\W{0,3}$", re.I)
-_OTHERS = re.compile(r"(?:ticket|order|build|captured at|digest|range|offset|\bref|version|invoice|seat|gate|row|lot|batch|serial|sku|weighs|until|since)\W{0,3}(?:no\.? ?)?$", re.I)
+_OTHERS = re.compile(r"(?:ticket|order|build|digest|range|offset|\bref|version|invoice|batch|serial|sku|\blot|\brow)\W{0,3}(?:no\.? ?)?$", re.I)
 
 _CAP = r"[A-ZÀ-ÖØ-ÞĀ-Ž][\w’'-]*"
 _WAYS = r"(?:Street|Lane|Road|Close|Avenue|Terrace|Drive|Court|Square|Crescent|Boulevard|Gardens|Grove|Mews|Place|Way|Walk|Row|Hill|Park|Quay|(?:St|Ln|Rd|Cl|Ave|Av|Ter|Terr|Dr|Ct|Sq|Cres|Blvd|Pl)\b\.?)"
@@ -55,14 +65,16 @@ _STREET = re.compile(
     rf"|(?:Calle|C/|Avenida|Avda\.|Plaza|Paseo|Camino|Via|Viale|Piazza|Rua|Rue) ?(?:de(?: la| los| las|l)? )?{_CAP}(?: {_CAP})?,? (?:n\.º ?)?\d{{1,4}}[a-zA-Z]?(?!\w))"
 )
 _WAY_WORD = re.compile(rf"(?<!\w)(?:{_CAP} ){{1,2}}{_WAYS}(?!\w)")
-_LIVES = re.compile(r"(?:\bgoes to|\blive at|wohnt in|habite|adres|address|anschrift|flat|moved from|vive en|\bto|six,|share|left|parcel|deliver|odebrał|at|,)\W{0,3}$", re.I)
+_LIVES = re.compile(r"(?:\blives? at|\blive in|wohnt in|habite|mieszka|vive en|adres|address|adresse|anschrift|dirección|\bat|\bto|,)\W{0,3}$", re.I)
 _TOWN = re.compile(r",? ?(?:\d{2}-\d{3}|\d{4,5})?,? ?" + _CAP)
 
 _WORD = re.compile(r"[^\W\d_]+(?:[-’'](?!s\b)[^\W\d_]+)*")
 _GAP, _COMMA = re.compile(r"[  \t]{1,3}(?:[^\W\d_]\.[  ]{1,2})?"), re.compile(r",[  ]{1,2}")
 _INITIAL = re.compile(r"(?<![\w.])([^\W\d_])\.[  ]{0,2}(?:[^\W\d_]\.[  ]{0,2})?$")
-_CALLED = re.compile(r"(?:\bnamed|asked for|\bwith|list:|on file:|was it|signed,(?: or)?|witness,|\bdossier de|pytać o|odebrał|señora?|rappeler|preguntar por|\bper|herrn?|frau|pani?|mme|mlle|\bm(?:r|s|rs|iss)\b\.?|\bdr\.?|\bprof\.?|\bsr(?:a)?\.?|\bhr\.?|\bfr\.?|\bby|and|or|;|contact|guest|from:?|cc)[  ]{1,2}$", re.I)
-_SAID = re.compile(r"(?:['’]s?\b| reviewed| keeps| wohnt| hat | habite| wrote| who | share| gave|, gave| dejó| czeka| au |, \d| \(|;| <| asked| left| signed)")
+_CALLED = re.compile(r"(?:\bnamed|\bcalled|\bname(?: is)?:?|\bwith|señora?|herrn?|frau|pani?|mme|mlle|\bm(?:r|s|rs|iss)\b\.?|\bdr\.?|\bprof\.?|\bsr(?:a)?\.?|\bhr\.?|\bfr\.?|\bby|\bcontact|\bfrom:?|\bcc:?)[  ]{1,2}$", re.I)
+_SAID = re.compile(r"(?:['’]s?\b| said| wrote| asked| reviewed| signed| who|, \d| \(|;| <)")
+# Titles and function words that begin no name.
+_COMMON = re.compile(r"(?:The|An?|In|On|At|From|To|No|Was|La|Le|El|Das|Der|Die|Frau|Herr|Pani?|Mme|Mlle|Mr|Ms|Mrs|Miss|Dr|Prof|Hr|Fr|Sr|Sra|Dra)\b")
 
 
 class Names:
@@ -140,7 +152,7 @@ def _names(text: str, names: Names, taken: list[tuple[int, int]]) -> Iterator[Sp
 
 def _name(text: str, start: int, end: int, first: str, second: str, clash: str) -> Span:
     lead, said = _CALLED.search(text[max(0, start - 24) : start]), _SAID.match(text[end : end + 12])
-    common = "n" if re.match(r"(?:The|An?|Per|In|On|At|From|To|No|Was|La|Le|El|Das|Der|Die|Frau|Herr|Pani?|Mme|Mr|Ms|Mrs|Dr|Prof|Dossier|Rappeler|Caller|Signed|Someone|Old|Moved|Guest|Crew|Paczkę|Hr|Sr|Sra|Dra|Miss)\b", text[start:end]) and first != "i" else "-"
+    common = "n" if first != "i" and _COMMON.match(text, start, end) else "-"
     return "person_name", start, end, first + second + clash + common + ("y" if lead else "-") + ("y" if said else "-")
 
 
@@ -152,7 +164,7 @@ def propose(text: str, names: Names) -> list[Span]:
         for m in _EMAIL.finditer(text):
             last = re.split(r"[.\])}> ]", m[0])[-1]
             named = "y" if last.isalpha() and len(last) >= 2 else "n"
-            cue = "y" if re.search(r"(?:write to|mail|contact|cc|from|to|an|na|a|or|oder|et|y|:|<|is|,)\W{0,2}$", text[max(0, m.start() - 14) : m.start()], re.I) else "-"
+            cue = "y" if re.search(r"(?:mail|write to|contact|\bcc|\bfrom|\bto|:|<)\W{0,2}$", text[max(0, m.start() - 14) : m.start()], re.I) else "-"
             version = "n" if re.search(r"@\d+(?:\.\d+)*$", m[0]) else "-"
             out.append(("email", m.start(), m.end(), "y" + named + cue + version))
     taken = [(s, e) for _, s, e, _ in out]
@@ -187,7 +199,7 @@ def propose(text: str, names: Names) -> list[Span]:
     return out + [n for n in named if "y" in n[3][4:] or not set(n[3][:2]) & {"u", "c"}]
 
 
-_FALSE_START = re.compile(r"(?:From|Moved|To|At|In|The|Old|Flat|Deliver|Adres|Address|Anschrift|I|Live)\b:? (?=\S)")
+_FALSE_START = re.compile(r"(?:From|To|At|In|The|I|Address|Adresse|Adres|Anschrift|Dirección|Live|Lives)\b:? (?=\S)")
 
 
 def _learn(batches: Iterator[pd.DataFrame], listed: list[tuple[str, str]]) -> Iterator[pd.DataFrame]:
@@ -211,6 +223,8 @@ def _learn(batches: Iterator[pd.DataFrame], listed: list[tuple[str, str]]) -> It
                     other = (words[-1] if votes[0] == "u" else words[0]).lower()
                     if votes[0] != "i" and other in names.kinds and len(w) > 2 and not w.isupper():
                         comma = votes[1] == "c"
+                        if votes[0] == "u" and names.kinds[other][0] == "given":
+                            seen[w.lower(), "lead"] += 1  # a word that stands before full names, as titles do
                         part = "given" if names.kinds[other][0] == "family" else "family"
                         if comma and part != "given" or votes[1] == "u" and part != "family" or votes[0] == "u" and part != "given":
                             continue
@@ -219,44 +233,111 @@ def _learn(batches: Iterator[pd.DataFrame], listed: list[tuple[str, str]]) -> It
             yield pd.DataFrame([(w, p, n) for (w, p), n in seen.items()], columns=["word", "part", "n"])
 
 
-def learned_names(texts: DataFrame, listed: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Words that stand beside listed names often enough to be names themselves, at most LEARN_MOST."""
-    counts = texts.mapInPandas(lambda b: _learn(b, listed), "word STRING, part STRING, n BIGINT").groupBy("word").agg(*[F.coalesce(F.sum(F.when(F.col("part") == p, F.col("n"))), F.lit(0)).alias(p) for p in ("all", "given", "family")])
+def learned_names(texts: DataFrame, listed: list[tuple[str, str]]) -> DataFrame:
+    """(word, kind) of words that stand beside listed names often enough to be names themselves, and not before full names."""
+    counts = texts.mapInPandas(lambda b: _learn(b, listed), "word STRING, part STRING, n BIGINT").groupBy("word").agg(*[F.coalesce(F.sum(F.when(F.col("part") == p, F.col("n"))), F.lit(0)).alias(p) for p in ("all", "given", "family", "lead")])
     beside = F.col("given") + F.col("family")
-    fine = counts.where((beside >= LEARN_LEAST) & (beside >= LEARN_SHARE * F.col("all"))).orderBy(beside.desc(), "word").limit(LEARN_MOST)
-    known = {n.lower() for n, _ in listed}
-    return [(r["word"], "given" if r["given"] > r["family"] else "family") for r in fine.collect() if r["word"] not in known]
+    known = sorted({n.lower() for n, _ in listed})  # a fixed table
+    fine = counts.where((beside >= LEARN_LEAST) & (beside >= LEARN_SHARE * F.col("all")) & (F.col("lead") < beside) & ~F.col("word").isin(known))
+    return fine.select("word", F.when(F.col("given") > F.col("family"), "given").otherwise("family").alias("kind"))
+
+
+def _with_known(texts: DataFrame, learned: DataFrame) -> DataFrame:
+    """texts with ``known``: the learned names among the words of each text, by a join of the distinct words of distinct texts."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+(?:[-’'](?!s\b)\p{L}+)*"), F.lit(0)))
+    hashed = texts.withColumn("_hash", F.xxhash64("text"))
+    each = hashed.where(F.col("text").isNotNull()).groupBy("_hash").agg(F.first("text").alias("text")).select("_hash", F.explode(found).alias("word"))
+    held = each.join(learned, "word").groupBy("_hash").agg(F.collect_list(F.struct("word", "kind")).alias("known"))  # at most the words of one text
+    hot = hot_keys(hashed.select("_hash"), "_hash")
+    return salted_lookup(hashed, held, "_hash", hot).drop("_hash")
 
 
 _VALUES = "yn-lucis"
+#: Votes for, and votes against.
+_FOR, _AGAINST = "ysli", "nuc"
 
 
 def _estimate(patterns: list[tuple[str, int]]) -> dict[str, float]:
-    """How likely each pattern of votes is a true span: expectation maximisation over labelers taken as independent, then a logistic classifier of the votes."""
+    """How likely each pattern of votes is a true span: expectation maximisation over labelers taken as independent, from the majority of their votes on.
+
+    The one belief put in is the same for all labelers: who votes is right more often than not. It keeps the
+    two classes what they are where one of them is rare.
+    """
     votes, n = [p for p, _ in patterns], np.array([c for _, c in patterns], float)
     width = max(map(len, votes))
-    start = np.array([sum({"y": 1.0, "s": 2.0, "l": 0.8, "i": 0.6, "u": -1.8, "c": -1.8, "n": -3.0, "-": 0.0}[v] for v in p) for p in votes])
-    likely = 1 / (1 + np.exp(-(start - 0.4) * 2))
+    balance = np.array([sum(v in _FOR for v in p) - sum(v in _AGAINST for v in p) for p in votes], float)
+    likely = 1 / (1 + np.exp(-balance))
     one_hot = np.array([[v == x for i, v in enumerate(p) for x in _VALUES] for p in votes], float)
-    guess = likely
+    sides = [(BELIEF / len(_FOR), (1 - BELIEF) / len(_FOR)) if x in _FOR else ((1 - BELIEF) / len(_AGAINST), BELIEF / len(_AGAINST)) if x in _AGAINST else (0, 0) for x in _VALUES]
+    weighs = max(BELIEF_WEIGHT * n.sum(), BELIEF_LEAST)
+    belief = np.array(sides * width) * weighs
+    silent = np.array([x == "-" for x in _VALUES] * width)
     for _ in range(ROUNDS):
-        # the first guess keeps half the weight, so that labelers stay what they mean where one class is missing
-        mean = (likely + guess) / 2
-        weight = n[:, None] * np.stack([mean, 1 - mean], 1)
-        rates = one_hot.T @ weight + 0.1
+        weight = n[:, None] * np.stack([likely, 1 - likely], 1)
+        rates = one_hot.T @ weight + belief
+        rates[silent] = 0
         rates = rates.reshape(width, len(_VALUES), 2)
-        rates = np.log(rates / rates.sum(1, keepdims=True)).reshape(-1, 2)
-        score = one_hot @ rates + np.log(weight.sum(0) + 1)
+        rates = np.log(rates / rates.sum(1, keepdims=True) + 1e-9).reshape(-1, 2)
+        rates[silent] = 0  # who does not vote says nothing
+        score = one_hot @ rates + np.log(weight.sum(0) + weighs)
         new = 1 / (1 + np.exp(np.clip(score[:, 1] - score[:, 0], -40, 40)))
         if np.abs(new - likely).max() < 1e-6:
             break
         likely = new
-    x, w = np.hstack([one_hot, np.ones((len(votes), 1))]), np.zeros(one_hot.shape[1] + 1)
-    share = np.sqrt(n) / np.sqrt(n).sum()
-    for _ in range(2000):
-        p = 1 / (1 + np.exp(-(x @ w)))
-        w -= 4.0 * (x.T @ (share * (p - likely)) + 1e-5 * w)
-    return dict(zip(votes, 1 / (1 + np.exp(-(x @ w)))))
+    return dict(zip(votes, new))
+
+
+def _around(text: str, start: int, end: int) -> str:
+    """What the classifier sees of a span besides its votes: the two words before, the word after, the characters beside, and the shape."""
+    before = re.findall(r"\w+", text[max(0, start - 32) : start].lower())
+    after = re.findall(r"\w+", text[end : end + 20].lower())
+    shape = re.sub(r"(.)\1+", r"\1", "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in text[start:end][:32]))
+    return "|".join([" ".join(before[-2:]), before[-1] if before else "", after[0] if after else "", text[max(0, start - 2) : start], text[end : end + 2], shape])
+
+
+class Judge:
+    """A logistic classifier of one kind: one weight for each vote of each labeler, and hashed ones for what is around."""
+
+    def __init__(self, width: int, weights: np.ndarray):
+        self.width, self.weights, self.held = width, weights, {}
+
+    @staticmethod
+    def places(width: int, votes: str, around: str) -> list[int]:
+        base = width * len(_VALUES)
+        own = [i * len(_VALUES) + _VALUES.index(v) for i, v in enumerate(votes)]
+        return own + [base + zlib.crc32(f"{i} {x}".encode()) % PLACES for i, x in enumerate(around.split("|", 5)) if x] + [base + PLACES]
+
+    def likely(self, votes: str, around: str) -> float:
+        key = votes, around
+        if (known := self.held.get(key)) is None:
+            if len(self.held) > 100_000:
+                self.held.clear()
+            known = self.held[key] = 1 / (1 + np.exp(-min(40.0, max(-40.0, float(self.weights[self.places(self.width, votes, around)].sum())))))
+        return known
+
+    @classmethod
+    def fit(cls, spans: list[tuple[str, str]], likely: dict[str, float], seed: int = 3) -> "Judge":
+        """Fits to spans (votes, around) with the likelihoods of their votes; each span also comes with votes left out."""
+        width = max(map(len, likely))
+        size = width * len(_VALUES) + PLACES + 1
+        rng = np.random.default_rng(seed)
+        rows, places, target = [], [], []
+        for votes, around in spans:
+            for share in (0.0, LEFT_OUT):
+                seen = "".join("-" if v != "-" and rng.random() < share else v for v in votes)
+                own = cls.places(width, seen, around)
+                rows += [len(target)] * len(own)
+                places += own
+                target.append(likely[votes])
+        rows, places, target = np.array(rows), np.array(places), np.array(target)
+        weights, slope, n = np.zeros(size), np.zeros(size), len(target)
+        for _ in range(150):  # gradient steps scaled by what each place has moved so far
+            score = np.bincount(rows, weights[places], n)
+            loss = 1 / (1 + np.exp(-np.clip(score, -40, 40))) - target
+            step = np.bincount(places, loss[rows], size) / n + 1e-5 * weights
+            slope += step**2
+            weights -= 0.5 * step / (np.sqrt(slope) + 1e-6)
+        return cls(width, weights)
 
 
 def spans(spark: SparkSession, texts: DataFrame, names: DataFrame, with_text: bool = False) -> DataFrame:
@@ -267,38 +348,53 @@ def spans(spark: SparkSession, texts: DataFrame, names: DataFrame, with_text: bo
     the other kinds are found.
     """
     listed = [(r[0], r[1]) for r in names.where("name IS NOT NULL AND name_kind IN ('given', 'family')").select("name", "name_kind").distinct().collect()]
-    learned = learned_names(texts.select("text"), listed)
-    shared = spark.sparkContext.broadcast((listed, learned))  # the fixed list, and at most LEARN_MOST names
+    table = materialise(spark, learned_names(texts.select("text"), listed), "names")
+    few = table.count() <= LEARN_HELD
+    learned = [(r["word"], r["kind"]) for r in table.collect()] if few else []
+    shared = spark.sparkContext.broadcast((listed, learned))  # the fixed list, and at most LEARN_HELD names
+    given = texts.select("memory_id", "text") if few else _with_known(texts.select("memory_id", "text"), table)
 
     def proposed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Names(*shared.value)
         for batch in batches:
-            found = [[{"kind": k, "start": s, "end": e, "votes": v} for k, s, e, v in (propose(t, own) if isinstance(t, str) else [])] for t in batch["text"]]
+            found = []
+            for i, t in enumerate(batch["text"]):
+                if not few and isinstance(t, str):
+                    known = batch["known"].iloc[i]
+                    own = Names(listed, [(k["word"], k["kind"]) for k in known] if known is not None else [])
+                found.append([{"kind": k, "start": s, "end": e, "votes": v, "around": _around(t, s, e)} for k, s, e, v in (propose(t, own) if isinstance(t, str) else [])])
             keep = [bool(f) for f in found] if not with_text else [True] * len(found)
             if any(keep):
                 yield batch[keep].assign(proposals=[f for f, k in zip(found, keep) if k])[[c for c in ("memory_id", "text") if c == "memory_id" or with_text] + ["proposals"]]
 
-    one = "proposals ARRAY<STRUCT<kind: STRING, start: INT, end: INT, votes: STRING>>"
+    one = "proposals ARRAY<STRUCT<kind: STRING, start: INT, end: INT, votes: STRING, around: STRING>>"
     id_type = texts.schema["memory_id"].dataType.simpleString()
-    held = materialise(spark, spread(spark, texts.select("memory_id", "text"), "memory_id").mapInPandas(proposed, f"memory_id {id_type}, " + "text STRING, " * with_text + one), "proposals")
-    each = held.select(F.explode("proposals").alias("p")).groupBy("p.kind", "p.votes").count()
+    held = materialise(spark, spread(spark, given, "memory_id").mapInPandas(proposed, f"memory_id {id_type}, " + "text STRING, " * with_text + one), "proposals")
+    each = held.select(F.explode("proposals").alias("p")).select("p.kind", "p.votes", "p.around")
     by_kind: dict[str, list[tuple[str, int]]] = {}
-    for kind, votes, n in each.collect():  # bounded by the patterns of a few votes
+    for kind, votes, n in each.groupBy("kind", "votes").count().collect():  # bounded by the patterns of a few votes
         by_kind.setdefault(kind, []).append((votes, n))
-    likely = spark.sparkContext.broadcast({kind: _estimate(sorted(patterns)) for kind, patterns in by_kind.items()})
+    share = F.lit(0.0)
+    for kind, patterns in by_kind.items():
+        share = F.when(F.col("kind") == kind, min(1.0, SAMPLE_SPANS / sum(n for _, n in patterns))).otherwise(share)
+    picked = each.where(F.pmod(F.xxhash64("kind", "votes", "around"), F.lit(1 << 30)) < share * (1 << 30)).orderBy(F.xxhash64("votes", "around"), "around", "votes").limit(SAMPLE_SPANS * len(KINDS))
+    sample: dict[str, list[tuple[str, str]]] = {}
+    for kind, votes, around in picked.collect():
+        sample.setdefault(kind, []).append((votes, around))
+    judges = spark.sparkContext.broadcast({kind: Judge.fit(sample.get(kind, []), _estimate(sorted(patterns))) for kind, patterns in by_kind.items()})
 
     def decided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield batch.drop(columns="proposals").assign(spans=[_choose(p, likely.value) for p in batch["proposals"]])
+                yield batch.drop(columns="proposals").assign(spans=[_choose(p, judges.value) for p in batch["proposals"]])
 
     schema = f"memory_id {id_type}, " + "text STRING, " * with_text + "spans ARRAY<STRUCT<kind: STRING, start: INT, end: INT>>"
     return held.mapInPandas(decided, schema)
 
 
-def _choose(proposals: list[dict], likely: dict[str, dict[str, float]]) -> list[dict]:
+def _choose(proposals: list[dict], judges: dict[str, Judge]) -> list[dict]:
     """The spans that the classifier takes, the likelier before the longer, none overlapping."""
-    rated = sorted(((-likely[p["kind"]][p["votes"]], p["start"] - p["end"], p["start"], p["kind"], p["end"]) for p in proposals))
+    rated = sorted(((-judges[p["kind"]].likely(p["votes"], p["around"]), p["start"] - p["end"], p["start"], p["kind"], p["end"]) for p in proposals))
     out: list[dict] = []
     for score, _, start, kind, end in rated:
         if score < -0.5 and not any(o["start"] < end and start < o["end"] for o in out):
