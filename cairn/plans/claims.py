@@ -19,9 +19,10 @@ H = """h AS (SELECT claim_id, scope_id, subject_namespace, subject_kind, subject
  any_value(admission) AS admission, any_value(supersession) AS supersession, any_value(erased) AS erased, any_value(origin_erased) AS origin_erased, any_value(claim) AS claim FROM claim_history GROUP BY ALL)"""
 
 
-def history(spark: SparkSession, d: str) -> DataFrame:
-    """claim_history without repeats: one row for each entry, known from its first delivery."""
+def history(spark: SparkSession, d: str, where: str | None = None) -> DataFrame:
+    """claim_history without repeats: one row for each entry, known from its first delivery; of the deliveries that ``where`` admits."""
     h = table(spark, d, "claim_history")
+    h = h if where is None else h.where(where)
     key = ["claim_id", "scope_id", "subject_namespace", "subject_kind", "subject_key", "predicate_namespace", "predicate_name", "predicate_version", "slot_key", "tx_seq"]
     rest = ["source_seq", "authority", "sourcing", "admission", "supersession", "erased", "origin_erased", "claim"]
     return h.groupBy(*key).agg(F.min("recorded_at").alias("recorded_at"), *[F.first(c, True).alias(c) for c in rest])
@@ -32,7 +33,7 @@ def scan_s7_history(spark, d):
     """The claim history up to an instant of knowledge, with whether each claim relates to another or is retracted."""
     r = table(spark, d, "claim_relation").select("scope_id", F.col("from_claim_id").alias("claim_id")).distinct().withColumn("relates", F.lit(True))
     x = table(spark, d, "claim_retraction").select("scope_id", F.col("target_claim_id").alias("claim_id")).distinct().withColumn("retracted", F.lit(True))
-    h = history(spark, d).where(F.col("recorded_at") <= F.lit(KNOWN).cast("timestamp")).join(r, ["scope_id", "claim_id"], "left").join(x, ["scope_id", "claim_id"], "left")
+    h = history(spark, d, f"recorded_at <= TIMESTAMP '{KNOWN}'").join(r, ["scope_id", "claim_id"], "left").join(x, ["scope_id", "claim_id"], "left")
     return h.select("scope_id", "claim_id", "tx_seq", F.coalesce("relates", F.lit(False)).alias("relates"), F.coalesce("retracted", F.lit(False)).alias("retracted"))
 
 

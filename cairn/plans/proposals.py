@@ -46,7 +46,7 @@ def gate_g8_override(spark, d):
     """Refusals of a denied source, overridden where a correction derives from the memory; its trust then is an assertion."""
     origin = F.lit("authenticated")
     refused = records.verdicts(memories(spark, d).withColumn("origin", origin), DENIED).where("code = 'policy_denied'")
-    fixes = memories(spark, d).where("kind = 'correction'").select(F.col("id").alias("memory_id"))
+    fixes = memories(spark, d, "kind = 'correction'").select(F.col("id").alias("memory_id"))
     named = edges(spark, d).join(fixes, "memory_id", "left_semi").select(F.col("parent_id").alias("id")).distinct().withColumn("_o", F.lit(True))
     out = refused.join(named, "id", "left")
     over = F.coalesce("_o", F.lit(False))

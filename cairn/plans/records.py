@@ -16,13 +16,16 @@ C = Catalog()
 NOW = 1767225600  # the instant at which time-dependent queries look at the records
 
 
-def memories(spark: SparkSession, d: str) -> DataFrame:
-    """memory_record flattened, each repeated row once."""
+def memories(spark: SparkSession, d: str, where: str | None = None) -> DataFrame:
+    """memory_record flattened, each repeated row once; of those that ``where`` admits.
+
+    Repeats are exact, so the condition comes first: it reaches the scan, and only what it admits is shuffled.
+    """
     m = table(spark, d, "memory_record")
     flat = m.select("id", "scope_id", "kind", F.col("status.state").alias("status"), F.col("status.superseded_by").alias("superseded_by"), F.col("trust.class").alias("trust"), F.col("actor.kind").alias("actor"),
                     F.col("body.text").alias("text"), F.col("body.title").alias("title"), F.col("body.media").alias("media"), F.col("provenance.source.system").alias("source"), F.col("provenance.source.external_id").alias("external_id"),
                     F.col("provenance.derived_from").alias("derived_from"), F.col("provenance.captured_at").alias("captured_at"), F.col("importance.base").alias("base"), F.col("importance.last_used").alias("last_used"), F.col("importance.uses").alias("uses"), "created", "updated")
-    return flat.dropDuplicates(["id"])
+    return (flat if where is None else flat.where(where)).dropDuplicates(["id"])
 
 
 M = """m AS (SELECT id, any_value(scope_id) AS scope_id, any_value(kind) AS kind, any_value(status.state) AS status, any_value(status.superseded_by) AS superseded_by, any_value(trust.class) AS trust, any_value(actor.kind) AS actor,
@@ -46,7 +49,7 @@ def scan_s1_get(spark, d):
 @C.query(f"WITH {M}, r AS (SELECT scope_id, id, created, row_number() OVER (PARTITION BY scope_id ORDER BY created DESC, id DESC) AS rank FROM m WHERE status = 'active') SELECT scope_id, id, created, rank, count(*) OVER (PARTITION BY scope_id) = 100 AS next FROM r WHERE rank <= 100")
 def scan_s2_first_page(spark, d):
     """The first page of active memories of each scope."""
-    active = memories(spark, d).where("status = 'active'").select("scope_id", "id", "created")
+    active = memories(spark, d, "status = 'active'").select("scope_id", "id", "created")
     return records.newest_first(active, "scope_id", 100).select("scope_id", "id", "created", "rank", "next")
 
 
@@ -64,7 +67,7 @@ def scan_s4_vectors(spark, d):
     """Comparable chunks of the active model revision whose memory is active."""
     v = table(spark, d, "stored_vector").where("vector IS NOT NULL").groupBy("chunk_id").agg(F.max_by(F.struct("memory_id", "scope_id", "model_revision", "chunk_ordinal", "dims"), "updated").alias("v")).select("chunk_id", "v.*")
     r = table(spark, d, "model_revision").where("active = 1").groupBy(F.col("revision").alias("model_revision")).agg(F.max("dims").alias("dims"))
-    m = memories(spark, d).where("status = 'active'").select(F.col("id").alias("memory_id"), "scope_id", "status")
+    m = memories(spark, d, "status = 'active'").select(F.col("id").alias("memory_id"), "scope_id", "status")
     return v.join(F.broadcast(r), ["model_revision", "dims"]).join(m, ["memory_id", "scope_id"]).select("chunk_id", "memory_id", "chunk_ordinal", "status")
 
 
@@ -105,7 +108,7 @@ def sink_k3_manifest(spark, d):
 @C.query(f"WITH {M} SELECT source, external_id, min((created, id))[2] AS id, count(*) AS captures FROM m WHERE external_id IS NOT NULL GROUP BY 1, 2")
 def source_k4_idempotent(spark, d):
     """Captures of an adapter, one for each (source, external id): the first."""
-    m = memories(spark, d).where("external_id IS NOT NULL")
+    m = memories(spark, d, "external_id IS NOT NULL")
     return m.groupBy("source", "external_id").agg(F.min(F.struct("created", "id"))["id"].alias("id"), F.count(F.lit(1)).alias("captures"))
 
 
@@ -135,14 +138,14 @@ def filter_p2_p3_status_kind(spark, d):
 @C.query(f"WITH {M} SELECT id, kind, trust, actor, source, created FROM m WHERE status = 'active' AND trust IN ('evidence', 'assertion') AND actor <> 'system' AND created BETWEEN 1704067200 AND 1767225600")
 def filter_p7_recall(spark, d):
     """The recall filter: status, trust, actor and time range together."""
-    m = memories(spark, d).where("status = 'active' AND trust IN ('evidence', 'assertion') AND actor <> 'system' AND created BETWEEN 1704067200 AND 1767225600")
+    m = memories(spark, d, "status = 'active' AND trust IN ('evidence', 'assertion') AND actor <> 'system' AND created BETWEEN 1704067200 AND 1767225600")
     return m.select("id", "kind", "trust", "actor", "source", "created")
 
 
 @C.query(f"""WITH {M} SELECT id, '<<<MEMORY ' || id || '>>>' || chr(10) || replace(replace(replace(coalesce(text, ''), '&', '\\u0026'), '<', '\\u003c'), '>', '\\u003e') || chr(10) || '<<<END_MEMORY ' || id || '>>>' AS framed FROM m WHERE status = 'active'""")
 def project_p8_envelope(spark, d):
     """Texts framed by lines that bear their id, with no delimiter left inside."""
-    m = memories(spark, d).where("status = 'active'")
+    m = memories(spark, d, "status = 'active'")
     return m.select("id", F.concat(F.lit("<<<MEMORY "), "id", F.lit(">>>\n"), X.escaped(F.coalesce("text", F.lit(""))), F.lit("\n<<<END_MEMORY "), "id", F.lit(">>>")).alias("framed"))
 
 
@@ -181,7 +184,7 @@ def gate_g1_g7_verdict(spark, d):
 @C.query("WITH v AS (SELECT model_revision, memory_id, scope_id FROM stored_vector GROUP BY ALL), " + M + " SELECT r.revision, count(DISTINCT v.memory_id) AS embedded, (SELECT count(*) FROM m WHERE status NOT IN ('erased', 'quarantined')) AS live FROM model_revision r LEFT JOIN (SELECT v.* FROM v JOIN m ON m.id = v.memory_id AND m.scope_id = v.scope_id WHERE m.status NOT IN ('erased', 'quarantined')) v ON v.model_revision = r.revision GROUP BY 1")
 def agg_a3_a4_coverage(spark, d):
     """Live memories, and those embedded by each model revision, 0 where none is."""
-    live = memories(spark, d).where("status NOT IN ('erased', 'quarantined')").select(F.col("id").alias("memory_id"), "scope_id")
+    live = memories(spark, d, "status NOT IN ('erased', 'quarantined')").select(F.col("id").alias("memory_id"), "scope_id")
     done = table(spark, d, "stored_vector").select("model_revision", "memory_id", "scope_id").distinct().join(live, ["memory_id", "scope_id"], "left_semi")
     done = done.groupBy(F.col("model_revision").alias("revision")).agg(F.countDistinct("memory_id").alias("embedded"))
     revisions = table(spark, d, "model_revision").select("revision").distinct()
@@ -193,7 +196,7 @@ def join_j3_missing(spark, d):
     """Active memories without a vector of the active revision."""
     r = table(spark, d, "model_revision").where("active = 1").select(F.col("revision").alias("model_revision"))
     v = table(spark, d, "stored_vector").join(F.broadcast(r), "model_revision").select(F.col("memory_id").alias("id"))
-    return memories(spark, d).where("status = 'active'").select("scope_id", "id").join(v, "id", "left_anti").select("scope_id", "id")
+    return memories(spark, d, "status = 'active'").select("scope_id", "id").join(v, "id", "left_anti").select("scope_id", "id")
 
 
 @C.query(f"WITH {M}, v AS (SELECT memory_id, count(*) AS chunks, sum((vector IS NULL)::INT)::BIGINT AS failed, max(updated) AS newest FROM (SELECT DISTINCT chunk_id, memory_id, vector IS NULL AS vector_missing, any_value(vector) AS vector, max(updated) AS updated FROM stored_vector GROUP BY chunk_id, memory_id, vector IS NULL) GROUP BY 1) SELECT m.scope_id, sum((m.status = 'active' AND v.memory_id IS NULL)::INT)::BIGINT AS pending, sum((v.failed > 0)::INT)::BIGINT AS failed, sum((m.status = 'quarantined')::INT)::BIGINT AS quarantined, min(CASE WHEN m.status = 'active' AND v.memory_id IS NULL THEN m.created END) AS oldest_pending FROM m LEFT JOIN v ON v.memory_id = m.id GROUP BY 1")
@@ -216,7 +219,7 @@ def agg_a1_stats(spark, d):
 @C.query(f"WITH {M} SELECT coalesce(source, '?') AS source, count(*) AS n, max(created) AS newest, arg_max(id, (created, id)) AS newest_id FROM m WHERE status = 'active' GROUP BY 1")
 def agg_a11_freshness(spark, d):
     """The newest active memory of each source."""
-    m = memories(spark, d).where("status = 'active'")
+    m = memories(spark, d, "status = 'active'")
     return m.groupBy(F.coalesce("source", F.lit("?")).alias("source")).agg(F.count(F.lit(1)).alias("n"), F.max("created").alias("newest"), F.max(F.struct("created", "id"))["id"].alias("newest_id"))
 
 
@@ -235,7 +238,7 @@ def agg_v15_least_trust(spark, d):
 def window_w1_ordinal(spark, d):
     """The ordinal of each capture of one source item, from 0."""
     w = W.partitionBy("scope_id", "source", "external_id").orderBy("created", "id")
-    return memories(spark, d).where("external_id IS NOT NULL").select("scope_id", "id", (F.row_number().over(w) - 1).cast("bigint").alias("ordinal"))
+    return memories(spark, d, "external_id IS NOT NULL").select("scope_id", "id", (F.row_number().over(w) - 1).cast("bigint").alias("ordinal"))
 
 
 @C.query(f"WITH {M} SELECT a.id, a.superseded_by AS successor, min(p.id) AS predecessor, count(p.id) AS predecessors FROM m a LEFT JOIN m p ON p.superseded_by = a.id GROUP BY 1, 2")
@@ -249,7 +252,7 @@ def window_w2_chain(spark, d):
 @C.query(f"WITH RECURSIVE {M}, l AS (SELECT id, superseded_by AS up FROM m WHERE superseded_by IS NOT NULL), w AS (SELECT id, up AS head, 1::BIGINT AS steps, [up] AS path FROM l UNION ALL SELECT w.id, l.up, w.steps + 1, list_append(w.path, l.up) FROM w JOIN l ON l.id = w.head WHERE NOT list_contains(w.path, l.up)), e AS (SELECT * FROM w WHERE head NOT IN (SELECT id FROM l)) SELECT l.id, coalesce(e.head, 'cycle') AS head, coalesce(e.steps, -1) AS steps FROM l LEFT JOIN e USING (id)")
 def join_j6_chain_head(spark, d):
     """The last replacement of each superseded memory, by pointer doubling; loops are marked."""
-    links = memories(spark, d).where("superseded_by IS NOT NULL").select("id", F.col("superseded_by").alias("parent_id"))
+    links = memories(spark, d, "superseded_by IS NOT NULL").select("id", F.col("superseded_by").alias("parent_id"))
     return hierarchy.resolve(spark, links).select("id", F.col("root_id").alias("head"), F.col("depth").alias("steps"))
 
 
@@ -265,14 +268,14 @@ def join_j9_walk(spark, d):
 @C.query(f"WITH {M}, p AS (SELECT source, updated AS moment, count(*) AS here FROM m WHERE status IN ('superseded', 'expired', 'erased') GROUP BY 1, 2) SELECT source, moment, here, (sum(here) OVER (PARTITION BY source ORDER BY moment RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW))::BIGINT AS within, within <= 100 AS allowed FROM p")
 def window_w4_valve(spark, d):
     """Retirements of each source within 24 hours against the valve."""
-    gone = memories(spark, d).where("status IN ('superseded', 'expired', 'erased')").select("source", F.col("updated").alias("moment"))
+    gone = memories(spark, d, "status IN ('superseded', 'expired', 'erased')").select("source", F.col("updated").alias("moment"))
     return records.rolling_valve(gone, ["source"], "moment", 86400, 100)
 
 
 @C.query(f"WITH {M}, f AS (SELECT id, scope_id, sha256(scope_id || chr(31) || kind || chr(31) || {_normal_sql('text')}) AS fingerprint, title, created, media FROM m WHERE text IS NOT NULL) SELECT scope_id, fingerprint, min((created, id))[2] AS id, count(*) - 1 AS uses, max(created) AS last_used, max(created) AS updated, arg_min(title, (created, id)) FILTER (title IS NOT NULL) AS title, len(list_distinct(flatten(list(media))))::BIGINT AS media_refs FROM f GROUP BY 1, 2")
 def lifecycle_l1_l2_merge(spark, d):
     """Captures merged by fingerprint."""
-    m = memories(spark, d).where("text IS NOT NULL")
+    m = memories(spark, d, "text IS NOT NULL")
     return records.merge_captures(m.select("id", "scope_id", X.fingerprint(F.col("scope_id"), F.col("kind"), F.col("text")).alias("fingerprint"), "title", "created", "media"))
 
 

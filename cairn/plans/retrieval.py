@@ -120,7 +120,7 @@ def text_x9_x10_fusion(spark, d):
 @C.query(f"WITH {M}, r AS (SELECT scope_id, id, created, ceil(octet_length(encode(text)) / 3.0)::BIGINT AS size FROM m WHERE status = 'active' AND text IS NOT NULL), t AS (SELECT *, (sum(size) OVER (PARTITION BY scope_id ORDER BY created DESC, id ROWS UNBOUNDED PRECEDING))::BIGINT AS total, row_number() OVER (PARTITION BY scope_id ORDER BY created DESC, id) AS rank FROM r) SELECT scope_id, id, size, total, rank FROM t WHERE total <= 4000 OR rank = 1")
 def text_x11_budget(spark, d):
     """The newest memories of each scope that fit a token budget; the first always stays."""
-    m = memories(spark, d).where("status = 'active' AND text IS NOT NULL").select("scope_id", "id", "created", "text", F.struct((-F.col("created")).alias("c"), "id").alias("place"))
+    m = memories(spark, d, "status = 'active' AND text IS NOT NULL").select("scope_id", "id", "created", "text", F.struct((-F.col("created")).alias("c"), "id").alias("place"))
     return R.packed(m, ["scope_id"], "place", F.ceil(F.octet_length("text") / 3.0), 4000).select("scope_id", "id", "size", "total", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -237,7 +237,7 @@ def text_v17_scrub(spark, d):
 @C.query(f"WITH {M} SELECT source, count(*) AS memories, sum(octet_length(encode(text)))::BIGINT AS bytes, sum(ceil(octet_length(encode(text)) / 3.0))::BIGINT AS tokens FROM m WHERE status = 'active' AND text IS NOT NULL GROUP BY 1")
 def agg_x18_preview(spark, d):
     """What a re-embedding would read: memories, bytes and estimated tokens by source."""
-    m = memories(spark, d).where("status = 'active' AND text IS NOT NULL")
+    m = memories(spark, d, "status = 'active' AND text IS NOT NULL")
     return m.groupBy("source").agg(F.count(F.lit(1)).alias("memories"), F.sum(F.octet_length("text").cast("bigint")).alias("bytes"), F.sum(F.ceil(F.octet_length("text") / 3.0)).alias("tokens"))
 
 

@@ -36,7 +36,7 @@ def agg_a6_erasures(spark, d):
 @C.query(f"WITH {M} SELECT trust, kind, count(*) AS n, count(DISTINCT source) AS sources, count(DISTINCT scope_id) AS scopes FROM m WHERE status = 'active' GROUP BY CUBE (trust, kind)")
 def agg_a12_digest(spark, d):
     """Counts of active memories over trust and kind, with all totals."""
-    m = memories(spark, d).where("status = 'active'").select("trust", "kind", "source", "scope_id")
+    m = memories(spark, d, "status = 'active'").select("trust", "kind", "source", "scope_id")
     return m.cube("trust", "kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("sources"), F.countDistinct("scope_id").alias("scopes"))
 
 
@@ -47,7 +47,7 @@ def check_v1_readiness(spark, d):
     v = table(spark, d, "stored_vector")
     failed, models = v.where("vector IS NULL").select("memory_id").distinct().count(), r.count()
     done = v.where("vector IS NOT NULL").join(F.broadcast(r), "model_revision", "left_semi").select(F.col("memory_id").alias("id")).distinct().withColumn("_d", F.lit(1))
-    live = memories(spark, d).where("status = 'active'").select("id").join(done, "id", "left")
+    live = memories(spark, d, "status = 'active'").select("id").join(done, "id", "left")
     state = F.when(F.lit(failed > 0), "dead_work").when(F.lit(models == 0), "no_active_model").when(F.col("done") < F.col("live"), "incomplete").otherwise("ready")
     return live.agg(F.count(F.lit(1)).alias("live"), F.count("_d").alias("done")).select("live", "done", F.lit(failed).cast("bigint").alias("failed"), state.alias("state"))
 
@@ -57,7 +57,7 @@ def scan_v2_t3_batch(spark, d):
     """The next batch of 3 memories to embed in each scope, its cursor, and whether more follow (one row more is read)."""
     r = table(spark, d, "model_revision").where("active = 1").select(F.col("revision").alias("model_revision"))
     v = table(spark, d, "stored_vector").join(F.broadcast(r), "model_revision").select(F.col("memory_id").alias("id"))
-    m = memories(spark, d).where("status = 'active'").select("scope_id", "id").join(v, "id", "left_anti")
+    m = memories(spark, d, "status = 'active'").select("scope_id", "id").join(v, "id", "left_anti")
     ranked = m.withColumn("rank", F.row_number().over(W.partitionBy("scope_id").orderBy("id"))).where("rank <= 4")
     held = F.col("rank") <= 3
     return ranked.groupBy("scope_id").agg(F.count(F.when(held, 1)).alias("batch"), F.max(F.when(held, F.col("id"))).alias("cursor"), F.max(~held).alias("more"))
@@ -82,7 +82,7 @@ def text_x19_atomize(spark, d):
 @C.query(f"WITH {M} SELECT id, status, created + 31536000 <= {NOW} AS overdue, last_used < {NOW} - 7776000 AS stale, uses = 0 AS unused FROM m WHERE status = 'active' AND (created + 31536000 <= {NOW} OR last_used < {NOW} - 7776000)")
 def filter_x20_stale(spark, d):
     """Active memories that are overdue or have not been used for a quarter."""
-    m = memories(spark, d).where("status = 'active'").withColumns({"overdue": F.col("created") + 31536000 <= NOW, "stale": F.col("last_used") < NOW - 7776000, "unused": F.col("uses") == 0})
+    m = memories(spark, d, "status = 'active'").withColumns({"overdue": F.col("created") + 31536000 <= NOW, "stale": F.col("last_used") < NOW - 7776000, "unused": F.col("uses") == 0})
     return m.where("overdue OR stale").select("id", "status", "overdue", "stale", "unused")
 
 
