@@ -87,9 +87,12 @@ def word_pieces(text: str, vocabulary: dict[str, int], unknown: str = "[UNK]") -
 
 
 def static_embedding(tokens: DataFrame, table: DataFrame) -> DataFrame:
-    """(id, vector): the normalised mean of the vectors of each id's known tokens. tokens: (id, token); table: (token, vector)."""
-    each = tokens.join(table, "token").select("id", F.posexplode("vector").alias("d", "x"))
-    mean = each.groupBy("id", "d").agg(F.avg("x").alias("x"))
+    """(id, vector): the normalised mean of the vectors of each id's known tokens. tokens: (id, token, n); table: (token, vector).
+
+    Tokens without a vector don't count; ids without any known token, or whose mean has no direction, have no row.
+    """
+    each = tokens.join(table, "token").select("id", "n", F.posexplode("vector").alias("d", "x"))
+    mean = each.groupBy("id", "d").agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("x"))
     whole = mean.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda p: p["x"]).alias("v"))
-    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return whole.select("id", F.transform("v", lambda x: x / size).alias("vector"))
+    whole = whole.withColumn("size", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).where("size > 0")
+    return whole.select("id", F.transform("v", lambda x: x / F.col("size")).alias("vector"))

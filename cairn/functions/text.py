@@ -12,9 +12,12 @@ from pyspark.sql import types as T
 # Characters that normalisation drops, and white space that it trims.
 DROPPED = "\u00ad\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2066\u2067\u2068\u2069\ufeff"
 BLANKS = "\t\u000b\u000c\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-# Scripts written without blanks between words; the sound marks of kana belong to no script.
-_SCRIPTS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\u30fc\uff70]"
-DENSE = rf"[{_SCRIPTS}&&[\p{{L}}\p{{M}}]]"
+#: Letters and marks of scripts written without blanks between words, as ranges for a character class: Thai, Lao, Burmese, Khmer, kana, Han.
+DENSE = "\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ece\u0edc-\u0edf\u1000-\u103f\u1050-\u108f\u1780-\u17d3\u3005-\u3007\u3041-\u309f\u30a1-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003134f"
+# Letters, digits and marks of all other scripts; the negated classes say "a letter, but none of those". Valid for RE2 as well.
+_START, _NEXT = rf"[^\P{{L}}{DENSE}]|\p{{N}}", rf"[^\P{{L}}{DENSE}]|\p{{N}}|[^\P{{M}}{DENSE}]"
+#: A word: a run of a dense script, or a run of letters and digits of the others with their marks.
+WORD = rf"[{DENSE}]+|(?:{_START})(?:{_NEXT})*"
 #: Days after which importance has halved.
 HALF_LIFE_DAYS = 30
 
@@ -77,19 +80,13 @@ def sentence_list(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Lower-case runs of letters and digits of ASCII, as the oracle SQL of the queries that use it says; ``all_words`` covers every script."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
-
-
-def all_words(text: Column) -> Column:
     """Lower-case words of every script, for lexical retrieval: composed runs of letters, digits and their marks.
 
-    Runs of a script without blanks between words give their overlapping pairs of characters, and a run of one gives that one.
+    Runs of a script without blanks between words give their overlapping pairs of characters, and a run of one gives that one. Null stays null.
     """
-    plain = rf"[\p{{L}}\p{{N}}&&[^{DENSE}]][\p{{L}}\p{{M}}\p{{N}}&&[^{DENSE}]]*"
     low = F.lower(_visible(text))
     runs = lambda p: F.regexp_extract_all(low, F.lit(p), F.lit(0))
     pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
-    dense = lambda r: r.rlike(f"^{DENSE}") & (F.length(r) > 1)
-    mixed = F.flatten(F.transform(runs(f"{DENSE}+|{plain}"), lambda r: F.when(dense(r), pairs(r)).otherwise(F.array(r))))
-    return F.when(text.rlike(_SCRIPTS), mixed).otherwise(runs(r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]*"))
+    dense = lambda r: r.rlike(f"^[{DENSE}]{{2}}")
+    mixed = F.flatten(F.transform(runs(WORD), lambda r: F.when(dense(r), pairs(r)).otherwise(F.array(r))))
+    return F.when(text.rlike(f"[{DENSE}]"), mixed).otherwise(runs(r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]*"))

@@ -21,6 +21,20 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size)
 
 
+def _sum(terms: list[Column]) -> Column:
+    while len(terms) > 1:
+        terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
+    return terms[0]
+
+
+def cosine_to(a: Column, query: list[float]) -> Column:
+    """The cosine of a vector, which must have the query's length, to a literal query: one expression a dimension, which compiles where array lambdas don't."""
+    size = sum(x * x for x in query) ** 0.5
+    parts = [F.get(a, F.lit(i)).cast("double") for i in range(len(query))]
+    norm = F.sqrt(_sum([p * p for p in parts]))
+    return F.when(norm * F.lit(size) > 0, _sum([p * F.lit(float(x)) for p, x in zip(parts, query)]) / (norm * F.lit(size))) if query else F.lit(None).cast("double")
+
+
 def finite(a: Column) -> Column:
     return F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
 

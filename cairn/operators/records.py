@@ -25,11 +25,11 @@ def merge_captures(captures: DataFrame) -> DataFrame:
     captures: id, scope_id, fingerprint, title, created, media. The first by (created, id) gives the id;
     uses counts the repeats; last_used and updated are of the last; the first title that is not null wins.
     """
-    order = F.struct("created", "id")
+    order, key = F.struct("created", "id"), ["scope_id", "fingerprint"]
     titled = F.min_by("title", F.when(F.col("title").isNotNull(), order))
-    return captures.groupBy("scope_id", "fingerprint").agg(
-        F.min(order)["id"].alias("id"), (F.count(F.lit(1)) - 1).alias("uses"), F.max(order)["created"].alias("last_used"), F.max("created").alias("updated"), titled.alias("title"), F.size(F.array_distinct(F.flatten(F.collect_list("media")))).cast("bigint").alias("media_refs")
-    )
+    merged = captures.groupBy(*key).agg(F.min(order)["id"].alias("id"), (F.count(F.lit(1)) - 1).alias("uses"), F.max(order)["created"].alias("last_used"), F.max("created").alias("updated"), titled.alias("title"))
+    media = captures.where(F.size("media") > 0).select(*key, F.explode("media").alias("m")).distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("media_refs"))
+    return merged.join(media, key, "left").fillna(0, ["media_refs"])
 
 
 def expire_due(df: DataFrame, valid_until: Column, now: Column) -> DataFrame:
@@ -57,7 +57,7 @@ def verdicts(df: DataFrame, denied: list[str], max_bytes: int = 65536, max_media
     df: id, text, title, origin, source, media. A null text is empty. Credentials are sought in text and title.
     """
     normal = F.coalesce(X.normal_form(F.col("text")), F.lit(""))
-    kinds = ("image", "audio", "video", "application", "text")
+    kinds = ("image", "audio", "video", "application", "text", "font")
     bad_media = (F.size("media") > max_media) | F.exists("media", lambda m: ~F.substring_index(m["media_type"], "/", 1).isin(*kinds))
     fault = F.when(normal == "", "empty_after_normalization").when(F.octet_length(normal) > max_bytes, "too_large").when(bad_media, "unsupported_media")
     fault = fault.when(F.col("source").isin(*denied), "policy_denied").when(X.detected(normal).isNotNull() | X.detected(F.col("title")).isNotNull(), "secret").when(F.col("origin") == "unestablished", "origin_unestablished")
@@ -68,7 +68,7 @@ def verdicts(df: DataFrame, denied: list[str], max_bytes: int = 65536, max_media
 def rolling_valve(events: DataFrame, keys: list[str], at: str, seconds: int, most: int) -> DataFrame:
     """Events with the number within the last ``seconds`` of their key, themselves included, and whether it is at most ``most``.
 
-    Counted by bucketed prefix sums: per second first, then over the seconds of a key.
+    Counted per second first, then over the seconds of a key.
     """
     per = events.groupBy(*keys, at).agg(F.count(F.lit(1)).alias("here"))
     window = W.partitionBy(*keys).orderBy(at).rangeBetween(-seconds, 0)

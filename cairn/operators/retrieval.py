@@ -10,16 +10,18 @@ from cairn.functions import vectors as V
 
 #: Our defaults, where no source fixes a value.
 K1, B, RANK_CONSTANT = 1.2, 0.75, 60
+#: The deepest rank that a measure of evaluation looks at.
+DEEPEST = 20
 
 
 def top_k(rows: DataFrame, query: list[float], k: int, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """(key, score): the k rows most like the query, by rounded cosine, then key. Rows without a direction are left out.
+    """(key, score): the k rows most like the query, by cosine, then key; the score is rounded. Rows without a direction are left out.
 
     The query is a literal and every partition keeps its k best, so nothing else is moved.
     """
-    q = F.array(*[F.lit(float(x)) for x in query])
-    scored = rows.where(F.size(vector) == len(query)).select(key, F.round(V.cosine(F.col(vector), q), 6).alias("score"))
-    return scored.where(F.col("score").isNotNull()).orderBy(F.desc("score"), key).limit(k)
+    scored = rows.where(F.size(vector) == len(query)).select(key, V.cosine_to(F.col(vector), query).alias("_raw")).where(F.col("_raw").isNotNull())
+    best = scored.orderBy(F.desc("_raw"), key).limit(k)
+    return best.select(key, F.round("_raw", 6).alias("score"))
 
 
 def bm25(postings: DataFrame, terms: list[str]) -> DataFrame:

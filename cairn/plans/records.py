@@ -174,7 +174,7 @@ DENIED = ["orphan-drop"]
 _ORIGIN = {"human": "authenticated", "agent": "registered", "import": "asserted"}
 
 
-@C.query(f"WITH {M}, n AS (SELECT id, coalesce({_normal_sql('text')}, '') AS t, media, source, CASE actor WHEN 'human' THEN 'authenticated' WHEN 'agent' THEN 'registered' WHEN 'import' THEN 'asserted' WHEN 'system' THEN 'registered' ELSE 'unestablished' END AS origin FROM m), f AS (SELECT id, origin, CASE WHEN t = '' THEN 'empty_after_normalization' WHEN octet_length(encode(t)) > 65536 THEN 'too_large' WHEN len(media) > 16 OR len(list_filter(media, lambda x: split_part(x.media_type, '/', 1) NOT IN ('image', 'audio', 'video', 'application', 'text'))) > 0 THEN 'unsupported_media' WHEN source IN ('orphan-drop') THEN 'policy_denied' WHEN " + " OR ".join(f"regexp_matches(t, '{p}')" for p in X.DETECTORS.values()) + " THEN 'secret' WHEN origin = 'unestablished' THEN 'origin_unestablished' END AS fault FROM n) SELECT id, CASE WHEN fault IS NOT NULL THEN 'refuse' WHEN origin = 'asserted' THEN 'quarantine' ELSE 'admit' END AS verdict, coalesce(fault, CASE WHEN origin = 'asserted' THEN 'origin_asserted' END) AS code FROM f")
+@C.query(f"WITH {M}, n AS (SELECT id, coalesce({_normal_sql('text')}, '') AS t, media, source, CASE actor WHEN 'human' THEN 'authenticated' WHEN 'agent' THEN 'registered' WHEN 'import' THEN 'asserted' WHEN 'system' THEN 'registered' ELSE 'unestablished' END AS origin FROM m), f AS (SELECT id, origin, CASE WHEN t = '' THEN 'empty_after_normalization' WHEN octet_length(encode(t)) > 65536 THEN 'too_large' WHEN len(media) > 16 OR len(list_filter(media, lambda x: split_part(x.media_type, '/', 1) NOT IN ('image', 'audio', 'video', 'application', 'text', 'font'))) > 0 THEN 'unsupported_media' WHEN source IN ('orphan-drop') THEN 'policy_denied' WHEN " + " OR ".join(f"regexp_matches(t, '{p}')" for p in X.DETECTORS.values()) + " THEN 'secret' WHEN origin = 'unestablished' THEN 'origin_unestablished' END AS fault FROM n) SELECT id, CASE WHEN fault IS NOT NULL THEN 'refuse' WHEN origin = 'asserted' THEN 'quarantine' ELSE 'admit' END AS verdict, coalesce(fault, CASE WHEN origin = 'asserted' THEN 'origin_asserted' END) AS code FROM f")
 def gate_g1_g7_verdict(spark, d):
     """The admission verdict of every memory: faults before holds, the earlier check first."""
     origin = F.when(F.col("actor") == "human", "authenticated").when(F.col("actor").isin("agent", "system"), "registered").when(F.col("actor") == "import", "asserted").otherwise("unestablished")

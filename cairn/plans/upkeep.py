@@ -13,14 +13,14 @@ from cairn.plans.registry import Catalog
 from cairn.session import table
 
 C = Catalog()
-_D = "d AS (SELECT scope_id, tx_seq, max(delta) AS delta FROM (SELECT scope_id, tx_seq, 1 AS delta FROM claim_history UNION ALL SELECT scope_id, tx_seq, -3 FROM claim_retraction) GROUP BY 1, 2)"
+_D = "d AS (SELECT scope_id, tx_seq, max(delta) AS delta FROM (SELECT scope_id, tx_seq, 1 AS delta FROM claim_history UNION ALL SELECT scope_id, tx_seq, -1 FROM claim_retraction) GROUP BY 1, 2)"
 
 
 @C.query(f"WITH {_D}, p AS (SELECT scope_id, sum(delta) OVER (PARTITION BY scope_id ORDER BY tx_seq) AS s, sum(delta) OVER (PARTITION BY scope_id) AS total FROM d) SELECT scope_id, (max(total) - least(min(s), 0))::BIGINT AS count FROM p GROUP BY 1")
 def agg_a2_counter(spark, d):
     """A counter of each scope, raised by writes and lowered by removals, never below zero."""
     h = table(spark, d, "claim_history").select("scope_id", "tx_seq", F.lit(1).alias("delta"))
-    x = table(spark, d, "claim_retraction").select("scope_id", "tx_seq", F.lit(-3).alias("delta"))
+    x = table(spark, d, "claim_retraction").select("scope_id", "tx_seq", F.lit(-1).alias("delta"))
     deltas = h.unionByName(x).groupBy("scope_id", "tx_seq").agg(F.max("delta").alias("delta")).withColumn("bucket", F.floor(F.col("tx_seq") / 1000))
     return counters.replayed(deltas, ["scope_id"], ["tx_seq"], "delta", "bucket")
 

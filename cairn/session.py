@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop) a
-    temporary folder of this machine is made and set.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the session runs on this
+    machine alone (tests, a laptop) a temporary folder is made and set; on a cluster its absence is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -28,15 +30,38 @@ def work_root(spark: SparkSession) -> str:
     current = jsc.getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not jsc.isLocal():
+        raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
     own = tempfile.mkdtemp(prefix="cairn-")
     spark.sparkContext.setCheckpointDir(own)
     return jsc.getCheckpointDir().get()
 
 
+#: Paths of the scopes under way, innermost last.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Removes the intermediate tables made within it at its end: results must be written or collected before.
+
+    Outside of any scope they are removed when the driver ends. A long session that runs many queries puts each in a scope.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove_path(spark, path)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared work folder, removed when the driver ends."""
+    """A new path below the shared work folder, removed at the end of the scope or of the driver."""
     path = f"{work_root(spark).rstrip('/')}/cairn/{label}-{uuid.uuid4().hex}"
-    atexit.register(remove_path, spark, path)
+    if _scopes:
+        _scopes[-1].append(path)
+    else:
+        atexit.register(remove_path, spark, path)
     return path
 
 

@@ -46,9 +46,9 @@ def brute(text):
 
 def test_cases(spark):
     df = spark.createDataFrame([(t,) for t in CASES], "t STRING")
-    assert {r[0]: r[1] for r in df.select("t", X.all_words(df["t"])).collect()} == CASES
+    assert {r[0]: r[1] for r in df.select("t", X.words(df["t"])).collect()} == CASES
     assert all(brute(t) == w for t, w in CASES.items())
-    assert spark.sql("SELECT CAST(NULL AS STRING) AS t").select(X.all_words(F.col("t"))).first()[0] is None
+    assert spark.sql("SELECT CAST(NULL AS STRING) AS t").select(X.words(F.col("t"))).first()[0] is None
 
 
 @pytest.fixture(scope="module")
@@ -59,7 +59,7 @@ def counted(spark, data):
 
 def test_postings_cover_all_scripts(spark, data, counted):
     occurrences, documents = Counter(w for _, ws in counted for w in ws), Counter(w for _, ws in counted for w in set(ws))
-    got = {r["word"]: (r["occurrences"], r["documents"]) for r in catalog.QUERIES["text_x8_all_postings"](spark, data).collect()}
+    got = {r["word"]: (r["occurrences"], r["documents"]) for r in catalog.QUERIES["text_x8_postings"](spark, data).collect()}
     assert got == {w: (n, documents[w]) for w, n in occurrences.items()}
     assert any(not w.isascii() for w in got)
 
@@ -80,13 +80,13 @@ def test_scores_by_brute_force(spark, data, counted):
     for (i, w), f in n.items():
         if w in TERMS:
             want[i] += math.log(1 + (len(held) - df[w] + 0.5) / (df[w] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * held[i] / mean))
-    got = {r[0]: r[1] for r in catalog.QUERIES["text_x8_all_bm25"](spark, data).collect()}
+    got = {r[0]: r[1] for r in catalog.QUERIES["text_x8_bm25"](spark, data).collect()}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in got)
 
 
 def test_words_of_any_script_are_found(spark):
     docs = spark.createDataFrame([(1, "Er prüft es"), (2, "證據在此"), (3, "แมว")], "doc_id INT, text STRING")
-    postings = docs.select("doc_id", F.explode(X.all_words(docs["text"])).alias("word")).groupBy("doc_id", "word").count().withColumnRenamed("count", "n")
+    postings = docs.select("doc_id", F.explode(X.words(docs["text"])).alias("word")).groupBy("doc_id", "word").count().withColumnRenamed("count", "n")
     assert {r[0] for r in retrieval.bm25(postings, ["prüft", "證據", "แม"]).collect()} == {1, 2, 3}
 
 
