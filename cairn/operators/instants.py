@@ -158,18 +158,8 @@ def _canonical(value: Column, order: Column) -> Column:
     return form.when(at(4, " ") & ~at(2, " "), _replaced(value, "us")).otherwise(_replaced(value, "mail"))
 
 
-def normalise(spark: SparkSession, df: DataFrame, value: str, system: str, systems: DataFrame, abbreviations: DataFrame, out: str = "utc_us") -> DataFrame:
-    """Adds ``out``: the one instant (microseconds since 1970 UTC, BIGINT) that ``value`` names, or null.
-
-    ``system`` holds the name of the writing system, to be found in ``systems`` (system_name, zone_name,
-    date_order), a fixed small table like ``abbreviations`` (abbrev, offset_seconds). All other columns
-    of df are kept, and nothing is shuffled.
-
-    Null, empty and unknown texts, impossible dates and times, floating times, local times that their
-    zone skips or has twice, unknown zones, and zone-less values of a system that is unknown or has no
-    zone give null. A bar in a value (no known form has one) gives null. Fractions beyond microseconds
-    are cut off. An empty df gives an empty result. Column names of df that begin with ``_t_`` clash.
-    """
+def _parsed(spark: SparkSession, df: DataFrame, value: str, system: str, systems: DataFrame, abbreviations: DataFrame) -> DataFrame:
+    """df with columns ``_t_``: the value's fields, its local second, its offset where one is stated, and the zone intervals that may hold it."""
     known = F.broadcast(systems.select(F.col("system_name").alias("_t_system"), F.col("zone_name").alias("_t_home"), F.col("date_order").alias("_t_order")).dropDuplicates(["_t_system"]))
     short = F.broadcast(abbreviations.select(F.col("abbrev").alias("_t_abbrev"), F.col("offset_seconds").cast("int").alias("_t_short")).dropDuplicates(["_t_abbrev"]))
     zones = F.broadcast(zone_table(spark).select(F.col("zone").alias("_t_zone"), F.col("span").alias("_t_span"), F.col("held").alias("_t_held")))
@@ -180,10 +170,11 @@ def normalise(spark: SparkSession, df: DataFrame, value: str, system: str, syste
     df = df.withColumn("_t_json", F.when(is_json, F.from_json("_t_v", _JSON)))
     kind = F.col("_t_json.zone.kind")
     seconds = F.when(kind == "offset", F.col("_t_json.zone.seconds").try_cast("int"))
-    local = F.when(kind.isNull(), F.col("_t_json.local"))
+    local = F.when(kind.isNull() | (kind == "floating"), F.col("_t_json.local"))
     local = local.when((kind == "iana") & F.col("_t_json.zone.name").isNotNull(), F.concat("_t_json.local", F.lit("["), "_t_json.zone.name", F.lit("]")))
     local = local.when((kind == "offset") & seconds.isNotNull(), F.concat("_t_json.local", F.lit("Z")))
     digits = F.col("_t_v").rlike(r"^\d{1,17}(\.\d+)?$")
+    df = df.withColumns({"_t_digits": digits, "_t_floating": F.coalesce(kind == "floating", F.lit(False))})
     df = df.withColumn("_t_f", F.split(F.when(digits, None).otherwise(_canonical(F.when(is_json, local).otherwise(F.col("_t_v")), F.col("_t_order"))), r"\|"))
 
     f = [F.get("_t_f", i) for i in range(10)]
@@ -204,22 +195,84 @@ def normalise(spark: SparkSession, df: DataFrame, value: str, system: str, syste
     df = df.withColumn("_t_token", F.when(~F.col("_t_stated") & (f[9] != ""), f[9]))
     df = df.join(short, F.col("_t_token") == F.col("_t_abbrev"), "left")
     df = df.withColumn("_t_offset", F.coalesce("_t_offset", F.when(~F.col("_t_stated"), F.col("_t_short"))))
-    needs = F.col("_t_local").isNotNull() & F.col("_t_offset").isNull() & ~F.col("_t_stated")
+    needs = F.col("_t_local").isNotNull() & F.col("_t_offset").isNull() & ~F.col("_t_stated") & ~F.col("_t_floating")
     df = df.withColumn("_t_ask", F.when(needs, F.coalesce("_t_token", "_t_home"))).withColumn("_t_year", F.year(F.timestamp_seconds("_t_local")))
     df = df.withColumn("_t_at", F.when(needs, _looked_up(F.col("_t_local"), F.col("_t_year"))))
     df = df.withColumn("_t_y", F.greatest((F.year(F.timestamp_seconds("_t_at")) / SPAN).cast("int"), F.lit(YEARS[0] // SPAN)))
     df = df.join(zones, (F.col("_t_ask") == F.col("_t_zone")) & (F.col("_t_y") == F.col("_t_span")), "left")
-    df = df.withColumn("_t_fit", F.filter("_t_held", lambda x: (x["low"] <= F.col("_t_at")) & (F.col("_t_at") < x["high"])))
-    at = F.coalesce("_t_offset", F.when(F.size("_t_fit") == 1, F.col("_t_fit")[0]["offset"]))
+    return df
+
 
+def _epoch() -> Column:
+    """The microseconds since 1970 that a value of digits alone counts, as seconds, milliseconds or microseconds by its length."""
     whole, part = F.substring_index("_t_v", ".", 1), F.when(F.col("_t_v").contains("."), F.substring_index("_t_v", ".", -1)).otherwise("")
     length = F.length(whole)
     places = F.when(length <= 11, 6).when(length <= 14, 3).otherwise(0)
-    epoch = F.concat(whole, F.substring(F.rpad(part, 6, "0"), F.lit(1), places)).try_cast("bigint")
-    df = df.withColumn(out, F.when(digits, epoch).otherwise((F.col("_t_local") - at) * 1_000_000 + F.col("_t_fraction")))
+    return F.concat(whole, F.substring(F.rpad(part, 6, "0"), F.lit(1), places)).try_cast("bigint")
+
+
+def _bare(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith("_t_")])
 
 
+def normalise(spark: SparkSession, df: DataFrame, value: str, system: str, systems: DataFrame, abbreviations: DataFrame, out: str = "utc_us") -> DataFrame:
+    """Adds ``out``: the one instant (microseconds since 1970 UTC, BIGINT) that ``value`` names, or null.
+
+    ``system`` holds the name of the writing system, to be found in ``systems`` (system_name, zone_name,
+    date_order), a fixed small table like ``abbreviations`` (abbrev, offset_seconds). All other columns
+    of df are kept, and nothing is shuffled.
+
+    Null, empty and unknown texts, impossible dates and times, floating times, local times that their
+    zone skips or has twice, unknown zones, and zone-less values of a system that is unknown or has no
+    zone give null. A bar in a value (no known form has one) gives null. Fractions beyond microseconds
+    are cut off. An empty df gives an empty result. Column names of df that begin with ``_t_`` clash.
+    """
+    df = _parsed(spark, df, value, system, systems, abbreviations)
+    df = df.withColumn("_t_fit", F.filter("_t_held", lambda x: (x["low"] <= F.col("_t_at")) & (F.col("_t_at") < x["high"])))
+    at = F.coalesce("_t_offset", F.when(F.size("_t_fit") == 1, F.col("_t_fit")[0]["offset"]))
+    return _bare(df.withColumn(out, F.when(F.col("_t_digits"), _epoch()).when(~F.col("_t_floating"), (F.col("_t_local") - at) * 1_000_000 + F.col("_t_fraction"))))
+
+
+#: Seconds by which a time without a zone may lie earlier or later.
+FLOATING = 14 * 3600
+
+
+def windows(spark: SparkSession, df: DataFrame, value: str, system: str, systems: DataFrame, abbreviations: DataFrame, out: str) -> DataFrame:
+    """Adds ``out``: STRUCT<definite_low, definite_high, possible_low, possible_high>, seconds since 1970 UTC, [low, high), or null for an unusable value.
+
+    A value stands for the whole second, minute or hour that it names, a date for its day, month or year in
+    UTC. A floating time, or one without a zone from a system whose zone is unknown, is possible up to 14 hours
+    before and after and definite nowhere; so is, within its two instants, a local time that its zone has twice.
+    A local time that its zone skips is unusable. Other columns are kept, and nothing is shuffled.
+    """
+    df = _parsed(spark, df, value, system, systems, abbreviations)
+    f = [F.get("_t_f", i) for i in range(10)]
+    written = lambda c: F.coalesce(c != "", F.lit(False))
+    width = F.when(written(f[5]), 1).when(written(f[4]), 60).otherwise(3600)
+    start = F.col("_t_local")
+    held = lambda second: F.filter("_t_held", lambda x: (x["low"] <= second) & (second < x["high"]))
+    df = df.withColumns({"_t_width": width.cast("bigint"), "_t_from": held(F.col("_t_at")), "_t_upto": held(F.col("_t_at") + width)})
+    end = start + F.col("_t_width")
+    day = F.timestamp_seconds(start).cast("date")
+    after = F.when(written(f[2]), F.date_add(day, 1)).when(written(f[1]), F.add_months(day, 1)).otherwise(F.add_months(day, 12))
+    offsets = lambda c, pick: pick(F.transform(c, lambda x: x["offset"]))
+    first, last = start - offsets("_t_from", F.array_max), end - offsets("_t_upto", F.array_min)
+    sure = (F.size("_t_from") == 1) & (F.size("_t_upto") == 1)
+    known = (F.size("_t_from") >= 1) & (F.size("_t_upto") >= 1)
+    floating = F.col("_t_floating") | (F.col("_t_offset").isNull() & F.col("_t_ask").isNull() & ~F.col("_t_stated"))
+    second = F.floor(_epoch() / 1_000_000).cast("bigint")
+
+    def window(low: Column, high: Column, definite: Column) -> Column:
+        return F.struct(F.when(definite, low).alias("definite_low"), F.when(definite, high).alias("definite_high"), low.alias("possible_low"), high.alias("possible_high"))
+
+    yes, no = F.lit(True), F.lit(False)
+    found = F.when(F.col("_t_digits"), F.when(second.isNotNull(), window(second, second + 1, yes)))
+    found = found.when(start.isNull(), None).when(~written(f[3]), window(start, F.unix_date(after).cast("bigint") * 86400, yes))
+    found = found.when(F.col("_t_offset").isNotNull(), window(start - F.col("_t_offset"), end - F.col("_t_offset"), yes))
+    found = found.when(floating, window(start - FLOATING, end + FLOATING, no)).when(known, window(first, last, sure))
+    return _bare(df.withColumn(out, found))
+
+
 def normalise_fields(spark: SparkSession, history: DataFrame, systems: DataFrame, abbreviations: DataFrame) -> DataFrame:
     """(scope_id, tx_seq, field_name, utc_us) of the three written times of a claim history; only usable values.
 

@@ -120,14 +120,18 @@ def join_j7_w5_conflicts(spark, d):
     return v.groupBy(*claims.SLOT).agg(F.count_distinct("value").alias("vals"), F.count(F.lit(1)).alias("claims"), F.min("claim_id").alias("first_claim"), F.max("claim_id").alias("last_claim")).where("vals > 1")
 
 
-def _projected(h: DataFrame, spark: SparkSession, d: str, possible_counts: bool = True) -> DataFrame:
+def _latest(spark: SparkSession, h: DataFrame) -> DataFrame:
+    """The last entry of each claim within the bound of knowledge, with its windows as plain columns."""
     known = F.col("recorded_at") <= F.lit(KNOWN).cast("timestamp")
-    last = _valued(h.where(known)).groupBy("claim_id").agg(F.max_by(F.struct(*[c for c in [*claims.SLOT, "value", "authority", "sourcing", "source_seq", "supersession", "low", "exact"]]), "tx_seq").alias("c")).select("claim_id", "c.*")
-    last = last.withColumnRenamed("supersession", "rule").withColumns({"definite_low": F.when(F.col("exact"), F.col("low")), "definite_high": F.when(F.col("exact"), F.lit(claims.MOST)), "possible_low": F.col("low"), "possible_high": F.lit(claims.MOST)})
-    last = materialise(spark, last, "claims")
-    r = table(spark, d, "claim_relation").where(known & (F.col("relation_kind") == "supersedes")).select(F.col("from_claim_id").alias("from_id"), "to_id", "authority")
-    x = table(spark, d, "claim_retraction").where(known).select(F.col("target_claim_id").alias("claim_id"))
-    return claims.project(last, r, x, *ASKED, possible_counts)
+    kept = [*claims.SLOT, "value", "authority", "sourcing", "source_seq", "supersession", "valid", "source_low", "source_high"]
+    last = _valued(h.where(known)).groupBy("claim_id").agg(F.max_by(F.struct(*kept), "tx_seq").alias("c")).select("claim_id", "c.*")
+    return materialise(spark, last.select("*", "valid.*").drop("valid").withColumnRenamed("supersession", "rule"), "claims")
+
+
+def _corrections(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    known = f"recorded_at <= TIMESTAMP '{KNOWN}'"
+    r = table(spark, d, "claim_relation").where(f"{known} AND relation_kind = 'supersedes'").select(F.col("from_claim_id").alias("from_id"), "to_id", "authority")
+    return r, table(spark, d, "claim_retraction").where(known).select(F.col("target_claim_id").alias("claim_id"))
 
 
 @C.query(f"""WITH {_V}, c AS (SELECT DISTINCT ON (claim_id) *, json_extract_string(claim, '$.value') AS val, {_L.format('authority')} AS rk, floor(epoch(recorded_at))::BIGINT AS low FROM v WHERE recorded_at <= TIMESTAMP '{KNOWN}' ORDER BY claim_id, tx_seq DESC),
@@ -141,20 +145,54 @@ def _projected(h: DataFrame, spark: SparkSession, d: str, possible_counts: bool
  s AS (SELECT {_SLOT}, bool_or(covers) AS cov, bool_or(covers AND NOT gone) AS live FROM a GROUP BY ALL)
  SELECT s.scope_id, s.subject_key, s.predicate_name, s.slot_key, CASE WHEN NOT cov THEN 'absent' WHEN NOT live THEN 'retracted' WHEN vals > 1 THEN 'conflicted' ELSE 'value' END AS state, coalesce(claims, '') AS claims FROM s LEFT JOIN f ON f.scope_id = s.scope_id AND f.subject_namespace = s.subject_namespace AND f.subject_kind = s.subject_kind AND f.subject_key = s.subject_key AND f.predicate_namespace = s.predicate_namespace AND f.predicate_name = s.predicate_name AND f.predicate_version = s.predicate_version AND f.slot_key IS NOT DISTINCT FROM s.slot_key""")
 def projection_recorded(spark, d):
-    """The current view of all slots, with claims valid from their recording on."""
-    h = history(spark, d).withColumns({"low": F.unix_seconds("recorded_at"), "exact": F.lit(True)})
-    return _projected(h, spark, d).select("scope_id", "subject_key", "predicate_name", "slot_key", "state", F.array_join("claims", ",").alias("claims"))
+    """The current view of all slots, with claims valid from their recording on, ordered by source sequence alone."""
+    low = F.unix_seconds("recorded_at")
+    none = F.lit(None).cast("bigint")
+    h = history(spark, d).withColumns({"valid": claims.from_then_on(F.struct(low.alias("definite_low"), low.alias("possible_low"))), "source_low": none, "source_high": none})
+    view = claims.project(_latest(spark, h), *_corrections(spark, d), *ASKED)
+    return view.select("scope_id", "subject_key", "predicate_name", "slot_key", "state", F.array_join("claims", ",").alias("claims"))
+
+
+def _dated(spark: SparkSession, d: str) -> DataFrame:
+    """The latest entries with the windows of their written times: dated claims from their valid time on, undated ones always."""
+    system = F.col("provenance.source.system")
+    h = table(spark, d, "claim_history").where(f"recorded_at <= TIMESTAMP '{KNOWN}'").withColumn("system", system)
+    for value, out in (("valid_time", "valid_at"), ("source_time", "source_at")):
+        h = instants.windows(spark, h, value, "system", table(spark, d, "source_system"), table(spark, d, "zone_abbrev"), out)
+    always = F.struct(*[F.lit(x).alias(n) for n, x in (("definite_low", claims.LEAST), ("definite_high", claims.MOST), ("possible_low", claims.LEAST), ("possible_high", claims.MOST))])
+    h = h.withColumn("valid", F.when(F.col("valid_time").isNull(), always).otherwise(claims.from_then_on(F.col("valid_at"))))
+    h = h.withColumns({"source_low": F.col("source_at.possible_low"), "source_high": F.col("source_at.possible_high")})
+    key = ["claim_id", *claims.SLOT, "tx_seq"]
+    once = h.groupBy(*key).agg(F.min("recorded_at").alias("recorded_at"), *[F.first(c, True).alias(c) for c in ("valid", "source_low", "source_high", "source_seq", "authority", "sourcing", "supersession", "claim")])
+    return _latest(spark, once)
+
+
+@C.query()
+def projection_windows(spark, d):
+    """The windows of all written valid times: definite and possible, in seconds."""
+    h = table(spark, d, "claim_history").select("scope_id", "tx_seq", "valid_time", F.col("provenance.source.system").alias("system")).where("valid_time IS NOT NULL").distinct()
+    found = instants.windows(spark, h, "valid_time", "system", table(spark, d, "source_system"), table(spark, d, "zone_abbrev"), "w")
+    return found.where("w IS NOT NULL").select("scope_id", "tx_seq", "w.*").distinct()
 
 
 @C.query()
 def projection_valid_time(spark, d):
-    """The current view by the written valid times: unusable ones cover nothing, those without a clock are possible only."""
-    h = table(spark, d, "claim_history").withColumn("system", F.col("provenance.source.system"))
-    h = instants.normalise(spark, h, "valid_time", "system", table(spark, d, "source_system"), table(spark, d, "zone_abbrev"), "valid_us")
-    key = ["claim_id", *claims.SLOT, "tx_seq"]
-    h = h.groupBy(*key).agg(F.min("recorded_at").alias("recorded_at"), F.first("valid_us", True).alias("valid_us"), F.first("valid_time", True).alias("valid_time"), *[F.first(c, True).alias(c) for c in ("source_seq", "authority", "sourcing", "supersession", "claim")])
-    h = h.withColumns({"low": F.floor(F.col("valid_us") / 1_000_000).cast("bigint"), "exact": F.col("valid_us").isNotNull() & F.col("valid_time").rlike(":|^\\s*\\d{9,}")})
-    return _projected(h, spark, d).select("scope_id", "subject_key", "predicate_name", "slot_key", "state", F.array_join("claims", ",").alias("claims"))
+    """The current view by the windows of the written valid times: unusable ones cover nothing, floating ones are only possible."""
+    view = claims.project(_dated(spark, d), *_corrections(spark, d), *ASKED)
+    return view.select("scope_id", "subject_key", "predicate_name", "slot_key", "state", "certainty", F.array_join("claims", ",").alias("claims"))
+
+
+@C.query()
+def projection_conflicts(spark, d):
+    """For each conflicted slot of that view the pairs of claims to be settled, one claim a value."""
+    _, left = claims.remaining(_dated(spark, d), *_corrections(spark, d), *ASKED)
+    return claims.conflicts(left).select("scope_id", "subject_key", "predicate_name", "slot_key", "left_claim", "right_claim")
+
+
+@C.query()
+def projection_digest(spark, d):
+    """One row that tells the current view by valid times from any other."""
+    return claims.digest(claims.project(_dated(spark, d), *_corrections(spark, d), *ASKED))
 
 
 @C.query(f"WITH {H}, w AS (SELECT scope_id, subject_key, predicate_name, tx_seq, claim_id, sourcing, lag(sourcing) OVER (PARTITION BY scope_id, subject_key, predicate_name, slot_key ORDER BY tx_seq) AS before FROM h) SELECT scope_id, subject_key, predicate_name, tx_seq, claim_id, sourcing, before FROM w WHERE before <> sourcing")

@@ -7,7 +7,7 @@ from cairn.plans import catalog
 from cairn.sources import cursor, readers
 
 SLOT = ("s", "ns", "k", "subj", "pns", "p", 1)
-CLAIM = "scope_id STRING, subject_namespace STRING, subject_kind STRING, subject_key STRING, predicate_namespace STRING, predicate_name STRING, predicate_version INT, slot_key STRING, claim_id STRING, value STRING, authority STRING, sourcing STRING, rule STRING, source_seq BIGINT, definite_low BIGINT, definite_high BIGINT, possible_low BIGINT, possible_high BIGINT"
+CLAIM = "scope_id STRING, subject_namespace STRING, subject_kind STRING, subject_key STRING, predicate_namespace STRING, predicate_name STRING, predicate_version INT, slot_key STRING, claim_id STRING, value STRING, authority STRING, sourcing STRING, rule STRING, source_seq BIGINT, definite_low BIGINT, definite_high BIGINT, possible_low BIGINT, possible_high BIGINT, source_low BIGINT, source_high BIGINT"
 
 
 def project(spark, rows, supersedes=(), retracted=(), possible=True):
@@ -17,8 +17,8 @@ def project(spark, rows, supersedes=(), retracted=(), possible=True):
     return out[0]["state"], out[0]["value"], list(out[0]["claims"])
 
 
-def claim(cid, value="v", authority="extracted", sourcing="supplier", rule="explicit_only", seq=None, low=0, high=100, definite=True):
-    return (cid, value, authority, sourcing, rule, seq, low if definite else None, high if definite else None, low, high)
+def claim(cid, value="v", authority="extracted", sourcing="supplier", rule="explicit_only", seq=None, low=0, high=100, definite=True, time=None):
+    return (cid, value, authority, sourcing, rule, seq, low if definite else None, high if definite else None, low, high, *(time or (None, None)))
 
 
 def test_projection_states(spark):
