@@ -87,7 +87,7 @@ def test_every_delivery_order_gives_one_digest(spark):
     rows = [("s", "n", "k", "x", "p", "q", 1, None, i, v, "extracted", "supplier", "by_source_order", seq, None, None, 0, 100, 0, 100) for i, v, seq in (("a", "x", 1), ("b", "y", 3), ("c", "z", 2))]
     none = spark.createDataFrame([], "from_id STRING, to_id STRING, authority STRING"), spark.createDataFrame([], "claim_id STRING")
     seen = {tuple(claims.digest(claims.project(spark.createDataFrame(list(order), f"{SLOT}, {REST}").coalesce(1), *none, 10, 20)).first()) for order in itertools.permutations(rows)}
-    other = claims.digest(claims.project(spark.createDataFrame(rows[:2], f"{SLOT}, {REST}"), *none, 10, 20)).first()
+    other = claims.digest(claims.project(spark.createDataFrame(rows[:1], f"{SLOT}, {REST}"), *none, 10, 20)).first()
     assert len(seen) == 1 and tuple(other) not in seen
 
 
