@@ -37,6 +37,11 @@ def _composed(column: pd.Series) -> pd.Series:
     return column.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+def composed(text: Column) -> Column:
+    """The text in normal form C; texts of ASCII alone are."""
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(_composed(text))
+
+
 def _visible(text: Column) -> Column:
     kept = F.regexp_replace(text, f"[{DROPPED}]", "")
     return F.when(F.octet_length(kept) == F.length(kept), kept).otherwise(_composed(kept))
