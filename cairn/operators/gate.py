@@ -120,7 +120,7 @@ def decided(proposals: DataFrame, registry: DataFrame, sources: DataFrame, targe
     verdict = F.when(F.col("_fault").isNotNull(), "refuse").when(F.col("_hold").isNotNull(), "hold").otherwise("admit")
     why, admitted = F.coalesce("_fault", "_hold"), verdict == "admit"
     level = F.element_at(F.array(*map(F.lit, LEVELS)), F.col("_level") + 1)
-    return p.select("id", verdict.alias("verdict"), why["code"].alias("code"), why["rule"].alias("rule"), F.when(admitted, level).alias("authority"), F.when(admitted, F.col("sourcing")).alias("sourcing"), F.when(admitted, F.array_join("conflicts", ",")).alias("conflicts"))
+    return p.select("id", verdict.alias("verdict"), why["code"].alias("code"), why["rule"].alias("rule"), F.when(admitted, level).alias("authority"), F.when(admitted, F.col("sourcing")).alias("sourcing"), F.when(admitted, F.coalesce(F.array_join("conflicts", ","), F.lit(""))).alias("conflicts"))
 
 
 #: The namespace that no registry may take.

@@ -101,7 +101,7 @@ _SQL = f"""WITH p0 AS {_values(_ROWS, PROPOSAL)}, r AS {_values(REGISTRY, REGIST
   WHEN len(list_filter(said, lambda e: e.level IN ('inferred', 'extracted', 'verified'))) > 0 THEN ['policy_denied', 'user_statement_below_user_level'] WHEN lv IS NULL THEN ['authority_insufficient', NULL] WHEN wrong IS NOT NULL THEN ['policy_denied', wrong] END AS fault,
   (outranked AND NOT reviewed) OR NOT (reviewed OR own OR (len(sd) > 0 AND len(list_filter(sd, lambda e: e.source NOT IN ('set-1'))) = 0) OR (predicate_namespace = 'stay' AND predicate_name = 'rate' AND lv >= 1)) AS held FROM z)
  SELECT id, CASE WHEN fault IS NOT NULL THEN 'refuse' WHEN held THEN 'hold' ELSE 'admit' END AS verdict, CASE WHEN fault IS NOT NULL THEN fault[1] WHEN held THEN 'authority_insufficient' END AS code, fault[2] AS rule, CASE WHEN fault IS NULL AND NOT held THEN {_literal(list(LEVELS))}[lv + 1] END AS authority, CASE WHEN fault IS NULL AND NOT held THEN side END AS sourcing,
- CASE WHEN fault IS NULL AND NOT held THEN conflicts END AS conflicts FROM f"""
+ CASE WHEN fault IS NULL AND NOT held THEN coalesce(conflicts, '') END AS conflicts FROM f"""
 
 
 def _inputs(spark):
