@@ -60,7 +60,7 @@ def verdicts(df: DataFrame, denied: list[str], max_bytes: int = 65536, max_media
     kinds = ("image", "audio", "video", "application", "text", "font")
     bad_media = (F.size("media") > max_media) | F.exists("media", lambda m: ~F.substring_index(m["media_type"], "/", 1).isin(*kinds))
     fault = F.when(normal == "", "empty_after_normalization").when(F.octet_length(normal) > max_bytes, "too_large").when(bad_media, "unsupported_media")
-    fault = fault.when(F.col("source").isin(*denied), "policy_denied").when(X.detected(normal).isNotNull() | X.detected(F.col("title")).isNotNull(), "secret").when(F.col("origin") == "unestablished", "origin_unestablished")
+    fault = fault.when(F.col("source").isin(*denied), "policy_denied").when(X.detected(normal).isNotNull() | X.detected(X.normal_form(F.col("title"))).isNotNull(), "secret").when(F.col("origin") == "unestablished", "origin_unestablished")
     hold = F.when(F.col("origin") == "asserted", "origin_asserted")
     return df.withColumns({"verdict": F.when(fault.isNotNull(), "refuse").when(hold.isNotNull(), "quarantine").otherwise("admit"), "code": F.coalesce(fault, hold)})
 

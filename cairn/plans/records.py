@@ -174,11 +174,38 @@ DENIED = ["orphan-drop"]
 _ORIGIN = {"human": "authenticated", "agent": "registered", "import": "asserted"}
 
 
-@C.query(f"WITH {M}, n AS (SELECT id, coalesce({_normal_sql('text')}, '') AS t, media, source, CASE actor WHEN 'human' THEN 'authenticated' WHEN 'agent' THEN 'registered' WHEN 'import' THEN 'asserted' WHEN 'system' THEN 'registered' ELSE 'unestablished' END AS origin FROM m), f AS (SELECT id, origin, CASE WHEN t = '' THEN 'empty_after_normalization' WHEN octet_length(encode(t)) > 65536 THEN 'too_large' WHEN len(media) > 16 OR len(list_filter(media, lambda x: split_part(x.media_type, '/', 1) NOT IN ('image', 'audio', 'video', 'application', 'text', 'font'))) > 0 THEN 'unsupported_media' WHEN source IN ('orphan-drop') THEN 'policy_denied' WHEN " + " OR ".join(f"regexp_matches(t, '{p}')" for p in X.DETECTORS.values()) + " THEN 'secret' WHEN origin = 'unestablished' THEN 'origin_unestablished' END AS fault FROM n) SELECT id, CASE WHEN fault IS NOT NULL THEN 'refuse' WHEN origin = 'asserted' THEN 'quarantine' ELSE 'admit' END AS verdict, coalesce(fault, CASE WHEN origin = 'asserted' THEN 'origin_asserted' END) AS code FROM f")
+def origins() -> F.Column:
+    """How a record's origin is established, by its actor."""
+    return F.when(F.col("actor") == "human", "authenticated").when(F.col("actor").isin("agent", "system"), "registered").when(F.col("actor") == "import", "asserted").otherwise("unestablished")
+
+
+def verdict_sql() -> str:
+    """The verdicts over m as common table expressions."""
+    found = lambda c: " OR ".join(f"regexp_matches({c}, '{p}')" for p in X.DETECTORS.values())
+    return (
+        f"n AS (SELECT id, coalesce({_normal_sql('text')}, '') AS t, coalesce({_normal_sql('title')}, '') AS h, media, source, CASE actor WHEN 'human' THEN 'authenticated' WHEN 'agent' THEN 'registered' WHEN 'import' THEN 'asserted' WHEN 'system' THEN 'registered' ELSE 'unestablished' END AS origin FROM m), "
+        "f AS (SELECT id, origin, CASE WHEN t = '' THEN 'empty_after_normalization' WHEN octet_length(encode(t)) > 65536 THEN 'too_large' WHEN len(media) > 16 OR len(list_filter(media, lambda x: split_part(x.media_type, '/', 1) NOT IN ('image', 'audio', 'video', 'application', 'text', 'font'))) > 0 THEN 'unsupported_media' WHEN source IN ('orphan-drop') THEN 'policy_denied' "
+        f"WHEN {found('t')} OR {found('h')} THEN 'secret' WHEN origin = 'unestablished' THEN 'origin_unestablished' END AS fault FROM n), "
+        "verdicts AS (SELECT id, CASE WHEN fault IS NOT NULL THEN 'refuse' WHEN origin = 'asserted' THEN 'quarantine' ELSE 'admit' END AS verdict, coalesce(fault, CASE WHEN origin = 'asserted' THEN 'origin_asserted' END) AS code FROM f)"
+    )
+
+
+@C.query(f"WITH {M}, {verdict_sql()} SELECT * FROM verdicts")
 def gate_g1_g7_verdict(spark, d):
     """The admission verdict of every memory: faults before holds, the earlier check first."""
-    origin = F.when(F.col("actor") == "human", "authenticated").when(F.col("actor").isin("agent", "system"), "registered").when(F.col("actor") == "import", "asserted").otherwise("unestablished")
-    return records.verdicts(memories(spark, d).withColumn("origin", origin), DENIED).select("id", "verdict", "code")
+    return records.verdicts(memories(spark, d).withColumn("origin", origins()), DENIED).select("id", "verdict", "code")
+
+
+_BYTES_BEFORE = "octet_length(encode(substr({0}, 1, instr({0}, regexp_extract({0}, '{1}')) - 1)))::BIGINT"
+
+
+@C.query(f"WITH {M}, n AS (SELECT id, part, t FROM (SELECT id, 'text' AS part, {_normal_sql('text')} AS t FROM m UNION ALL SELECT id, 'title', {_normal_sql('title')} FROM m) WHERE t IS NOT NULL) SELECT id, part, CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p in X.DETECTORS.items()) + " END AS detector, CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN {_BYTES_BEFORE.format('t', p)}" for p in X.DETECTORS.values()) + " END AS byte_offset FROM n")
+def gate_g5_findings(spark, d):
+    """Text and title of every memory with the first detector that finds a credential, and the bytes before it."""
+    m = memories(spark, d)
+    both = m.select("id", F.lit("text").alias("part"), X.normal_form(F.col("text")).alias("t")).unionByName(m.select("id", F.lit("title").alias("part"), X.normal_form(F.col("title")).alias("t")))
+    offset = F.coalesce(*[F.when(F.col("t").rlike(p), F.octet_length(F.expr("substr(t, 1, {} - 1)".format(f"instr(t, regexp_extract(t, r'{p}', 0))")))) for p in X.DETECTORS.values()])
+    return both.where("t IS NOT NULL").select("id", "part", X.detected(F.col("t")).alias("detector"), offset.cast("bigint").alias("byte_offset"))
 
 
 @C.query("WITH v AS (SELECT model_revision, memory_id, scope_id FROM stored_vector GROUP BY ALL), " + M + " SELECT r.revision, count(DISTINCT v.memory_id) AS embedded, (SELECT count(*) FROM m WHERE status NOT IN ('erased', 'quarantined')) AS live FROM model_revision r LEFT JOIN (SELECT v.* FROM v JOIN m ON m.id = v.memory_id AND m.scope_id = v.scope_id WHERE m.status NOT IN ('erased', 'quarantined')) v ON v.model_revision = r.revision GROUP BY 1")
@@ -299,12 +326,6 @@ def lifecycle_l10_decay(spark, d):
     return memories(spark, d).select("id", F.round(X.decayed(F.col("base"), F.col("last_used"), F.lit(NOW)), 6).alias("importance"))
 
 
-@C.query(f"WITH {M} SELECT kind, sum((status = 'active')::INT)::BIGINT AS active, sum(uses)::BIGINT AS uses, max(last_used) AS last_used FROM m GROUP BY 1")
-def lifecycle_l11_uses(spark, d):
-    """Use counters by kind."""
-    return memories(spark, d).groupBy("kind").agg(F.sum((F.col("status") == "active").cast("bigint")).alias("active"), F.sum(F.col("uses").cast("bigint")).alias("uses"), F.max("last_used").alias("last_used"))
-
-
 @C.query(f"WITH {M} SELECT id, kind, (status = 'superseded' AND superseded_by IS NULL) OR (status <> 'superseded' AND superseded_by IS NOT NULL) AS broken, kind = 'correction' AND len(derived_from) = 0 AS unfounded, superseded_by = id AS own FROM m")
 def lifecycle_l3_l4_checks(spark, d):
     """Broken replacements: a status without its successor, a correction without a source, a memory that replaces itself."""
