@@ -73,3 +73,20 @@ def rolling_valve(events: DataFrame, keys: list[str], at: str, seconds: int, mos
     per = events.groupBy(*keys, at).agg(F.count(F.lit(1)).alias("here"))
     window = W.partitionBy(*keys).orderBy(at).rangeBetween(-seconds, 0)
     return per.withColumn("within", F.sum("here").over(window)).withColumn("allowed", F.col("within") <= most)
+
+
+def filter_text(statuses: set[str] | None = None, kinds: set[str] | None = None) -> str:
+    """A filter in one form, whatever the order of its sets: the default status is active alone, and no kinds mean all."""
+    import json
+
+    held = {"active"} if statuses is None else statuses
+    if not held:
+        raise ValueError("a filter admits at least one status")
+    return json.dumps({"kinds": sorted(kinds or ()), "statuses": sorted(held)}, separators=(",", ":"))
+
+
+def filtered(df: DataFrame, statuses: set[str] | None = None, kinds: set[str] | None = None) -> DataFrame:
+    """The records that a filter admits. An empty set of statuses is refused; no kinds mean all."""
+    filter_text(statuses, kinds)
+    out = df.where(F.col("status").isin(*sorted({"active"} if statuses is None else statuses)))
+    return out.where(F.col("kind").isin(*sorted(kinds))) if kinds else out

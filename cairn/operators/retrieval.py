@@ -46,7 +46,7 @@ def _idf(docs: int, df: int) -> float:
     return math.log(1 + (docs - df + 0.5) / (df + 0.5))
 
 
-def fused(channels: dict[str, DataFrame], weights: dict[str, float] | None = None, most: int = 100) -> DataFrame:
+def fused(channels: dict[str, DataFrame], weights: dict[str, float] | None = None, most: int = 100, digits: int | None = 8) -> DataFrame:
     """(doc_id, rank_<channel>.., score): reciprocal rank fusion of channels (doc_id, score), each cut to its ``most`` best.
 
     Ranks follow score descending, then doc_id. A document missing in a channel gets nothing from it.
@@ -60,7 +60,7 @@ def fused(channels: dict[str, DataFrame], weights: dict[str, float] | None = Non
     total: Column = parts[0]
     for p in parts[1:]:
         total = total + p
-    return out.withColumn("score", F.round(total, 8))
+    return out.withColumn("score", total if digits is None else F.round(total, digits))
 
 
 def packed(ranked: DataFrame, keys: list[str], order: str, size: Column, budget: int) -> DataFrame:
@@ -90,3 +90,10 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, percents: list[int]
     w = W.partitionBy(*keys)
     upto = counts.withColumn("upto", F.sum("n").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
     return upto.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * p / 100), F.col(value))).alias(f"p{p}") for p in percents])
+
+
+def freshest(groups: DataFrame, newest: str, name: str, most: int) -> DataFrame:
+    """The ``most`` groups with the latest ``newest``, ties by name, and ``truncated``: whether there are more. One group more is looked at."""
+    best = groups.orderBy(F.desc(newest), name).limit(most + 1)
+    place = F.row_number().over(W.orderBy(F.desc(newest), name))  # most + 1 rows
+    return best.withColumns({"_n": place, "truncated": F.count(F.lit(1)).over(W.partitionBy()) > most}).where(F.col("_n") <= most).drop("_n")

@@ -195,12 +195,13 @@ def projection_digest(spark, d):
     return claims.digest(claims.project(_dated(spark, d), *_corrections(spark, d), *ASKED))
 
 
-@C.query(f"WITH {H}, w AS (SELECT scope_id, subject_key, predicate_name, tx_seq, claim_id, sourcing, lag(sourcing) OVER (PARTITION BY scope_id, subject_key, predicate_name, slot_key ORDER BY tx_seq) AS before FROM h) SELECT scope_id, subject_key, predicate_name, tx_seq, claim_id, sourcing, before FROM w WHERE before <> sourcing")
+@C.query(f"WITH {H}, w AS (SELECT scope_id, subject_key, predicate_name, slot_key, tx_seq, claim_id, sourcing, lag(sourcing) OVER (PARTITION BY scope_id, subject_key, predicate_name, slot_key ORDER BY tx_seq) AS before FROM h), t AS (SELECT *, sum((before <> sourcing)::INT) OVER (PARTITION BY scope_id, subject_key, predicate_name, slot_key ORDER BY tx_seq)::BIGINT AS token FROM w) SELECT scope_id, subject_key, predicate_name, tx_seq, claim_id, sourcing, before, token FROM t WHERE before <> sourcing")
 def window_x22_takeover(spark, d):
-    """Claims at which the sourcing of a slot changes hands."""
+    """Claims at which the sourcing of a slot changes hands, with a token that rises at takeovers alone."""
     w = W.partitionBy("scope_id", "subject_key", "predicate_name", "slot_key").orderBy("tx_seq")
-    h = history(spark, d).withColumn("before", F.lag("sourcing").over(w)).where("before <> sourcing")
-    return h.select("scope_id", "subject_key", "predicate_name", "tx_seq", "claim_id", "sourcing", "before")
+    h = history(spark, d).withColumn("before", F.lag("sourcing").over(w))
+    h = h.withColumn("token", F.sum((F.col("before") != F.col("sourcing")).cast("int")).over(w)).where("before <> sourcing")
+    return h.select("scope_id", "subject_key", "predicate_name", "tx_seq", "claim_id", "sourcing", "before", "token")
 
 
 QUERIES, ORACLES = C.queries, C.oracles

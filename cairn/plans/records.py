@@ -135,10 +135,10 @@ def filter_p2_p3_status_kind(spark, d):
     return memories(spark, d).groupBy("scope_id", "status", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@C.query(f"WITH {M} SELECT id, kind, trust, actor, source, created FROM m WHERE status = 'active' AND trust IN ('evidence', 'assertion') AND actor <> 'system' AND created BETWEEN 1704067200 AND 1767225600")
+@C.query(f"WITH {M} SELECT id, kind, trust, actor, source, created FROM m WHERE status = 'active' AND trust IN ('evidence', 'assertion') AND actor <> 'system' AND source IN ('stay-sync', 'berth-board', 'southern-log') AND created BETWEEN 1704067200 AND 1767225600")
 def filter_p7_recall(spark, d):
-    """The recall filter: status, trust, actor and time range together."""
-    m = memories(spark, d, "status = 'active' AND trust IN ('evidence', 'assertion') AND actor <> 'system' AND created BETWEEN 1704067200 AND 1767225600")
+    """The recall filter: status, trust, actor, source and time range together."""
+    m = memories(spark, d, "status = 'active' AND trust IN ('evidence', 'assertion') AND actor <> 'system' AND source IN ('stay-sync', 'berth-board', 'southern-log') AND created BETWEEN 1704067200 AND 1767225600")
     return m.select("id", "kind", "trust", "actor", "source", "created")
 
 
@@ -243,13 +243,6 @@ def agg_a1_stats(spark, d):
     return sets.groupingSets([["scope_id"], ["scope_id", "kind"], ["scope_id", "status"]], "scope_id", "kind", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@C.query(f"WITH {M} SELECT coalesce(source, '?') AS source, count(*) AS n, max(created) AS newest, arg_max(id, (created, id)) AS newest_id FROM m WHERE status = 'active' GROUP BY 1")
-def agg_a11_freshness(spark, d):
-    """The newest active memory of each source."""
-    m = memories(spark, d, "status = 'active'")
-    return m.groupBy(F.coalesce("source", F.lit("?")).alias("source")).agg(F.count(F.lit(1)).alias("n"), F.max("created").alias("newest"), F.max(F.struct("created", "id"))["id"].alias("newest_id"))
-
-
 _RANK = "CASE trust WHEN 'evidence' THEN 0 WHEN 'assertion' THEN 1 ELSE 2 END"
 
 
@@ -283,20 +276,13 @@ def join_j6_chain_head(spark, d):
     return hierarchy.resolve(spark, links).select("id", F.col("root_id").alias("head"), F.col("depth").alias("steps"))
 
 
-@C.query(f"WITH {M}, {E} SELECT id, step, count(*) AS n FROM (SELECT a.memory_id AS id, 1 AS step, a.parent_id AS other FROM e a UNION SELECT a.memory_id, 2, b.parent_id FROM e a JOIN e b ON b.memory_id = a.parent_id) GROUP BY 1, 2")
-def join_j9_walk(spark, d):
-    """Memories within two steps of derivation."""
-    e = edges(spark, d).select("memory_id", "parent_id").distinct()
-    two = e.select(F.col("memory_id").alias("id"), F.col("parent_id").alias("memory_id")).join(e, "memory_id").select("id", F.lit(2).alias("step"), F.col("parent_id").alias("other"))
-    one = e.select(F.col("memory_id").alias("id"), F.lit(1).alias("step"), F.col("parent_id").alias("other"))
-    return one.unionByName(two.distinct()).groupBy("id", "step").agg(F.count(F.lit(1)).alias("n"))
-
-
-@C.query(f"WITH {M}, p AS (SELECT source, updated AS moment, count(*) AS here FROM m WHERE status IN ('superseded', 'expired', 'erased') GROUP BY 1, 2) SELECT source, moment, here, (sum(here) OVER (PARTITION BY source ORDER BY moment RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW))::BIGINT AS within, within <= 100 AS allowed FROM p")
+@C.query(f"WITH {M}, p AS (SELECT source, updated AS moment, count(*) AS here FROM m WHERE status IN ('superseded', 'expired', 'erased') GROUP BY 1, 2) SELECT source, moment, here, (sum(here) OVER (PARTITION BY source ORDER BY moment RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW))::BIGINT AS within, within <= 100 AND (t.total <= 25 OR within <= 0.2 * t.total) AS allowed FROM p JOIN (SELECT source, count(*) AS total FROM m GROUP BY 1) t USING (source)")
 def window_w4_valve(spark, d):
-    """Retirements of each source within 24 hours against the valve."""
+    """Retirements of each source within 24 hours against the valve: at most 100, and a fifth of its records where it has more than 25."""
     gone = memories(spark, d, "status IN ('superseded', 'expired', 'erased')").select("source", F.col("updated").alias("moment"))
-    return records.rolling_valve(gone, ["source"], "moment", 86400, 100)
+    total = memories(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("_total"))
+    held = records.rolling_valve(gone, ["source"], "moment", 86400, 100).join(total, "source")
+    return held.withColumn("allowed", F.col("allowed") & ((F.col("_total") <= 25) | (F.col("within") <= 0.2 * F.col("_total")))).drop("_total")
 
 
 @C.query(f"WITH {M}, f AS (SELECT id, scope_id, sha256(scope_id || chr(31) || kind || chr(31) || {_normal_sql('text')}) AS fingerprint, title, created, media FROM m WHERE text IS NOT NULL) SELECT scope_id, fingerprint, min((created, id))[2] AS id, count(*) - 1 AS uses, max(created) AS last_used, max(created) AS updated, arg_min(title, (created, id)) FILTER (title IS NOT NULL) AS title, len(list_distinct(flatten(list(media))))::BIGINT AS media_refs FROM f GROUP BY 1, 2")
@@ -359,13 +345,14 @@ def lifecycle_l14_activation(spark, d):
     return m.select("model_id", "revision", (F.col("active") == 1).alias("active"), F.lit(m.where("active = 1").count() == 1).alias("one_active"))
 
 
-@C.query(f"WITH {M} SELECT 'memory' AS what, id, created AS at FROM m UNION ALL SELECT 'vector', chunk_id, updated FROM (SELECT DISTINCT chunk_id, updated FROM stored_vector) UNION ALL SELECT 'claim', claim_id, floor(epoch(recorded_at))::BIGINT FROM (SELECT claim_id, min(recorded_at) AS recorded_at FROM claim_history GROUP BY 1)")
+@C.query(f"WITH {M}, a AS (SELECT scope_id, id AS memory_id, 'captured' AS what, created AS moment, '' AS ref FROM m UNION ALL SELECT scope_id, id, 'updated', updated, '' FROM m WHERE updated > created UNION ALL SELECT scope_id, memory_id, 'embedded', updated, chunk_id FROM (SELECT DISTINCT scope_id, memory_id, updated, chunk_id FROM stored_vector WHERE memory_id IS NOT NULL)) SELECT *, row_number() OVER (PARTITION BY scope_id, memory_id ORDER BY moment, what, ref) AS number FROM a")
 def audit_x21(spark, d):
-    """One history of records, vectors and claims."""
-    m = memories(spark, d).select(F.lit("memory").alias("what"), "id", F.col("created").alias("at"))
-    v = table(spark, d, "stored_vector").select("chunk_id", "updated").distinct().select(F.lit("vector").alias("what"), F.col("chunk_id").alias("id"), F.col("updated").alias("at"))
-    c = table(spark, d, "claim_history").groupBy("claim_id").agg(F.unix_seconds(F.min("recorded_at")).alias("at")).select(F.lit("claim").alias("what"), F.col("claim_id").alias("id"), "at")
-    return m.unionByName(v).unionByName(c)
+    """The history of each record in order: its capture, its last change and the vectors made of it."""
+    m = memories(spark, d).select("scope_id", F.col("id").alias("memory_id"), "created", "updated")
+    parts = [m.select("scope_id", "memory_id", F.lit("captured").alias("what"), F.col("created").alias("moment"), F.lit("").alias("ref")), m.where("updated > created").select("scope_id", "memory_id", F.lit("updated").alias("what"), F.col("updated").alias("moment"), F.lit("").alias("ref"))]
+    v = table(spark, d, "stored_vector").where("memory_id IS NOT NULL").select("scope_id", "memory_id", F.lit("embedded").alias("what"), F.col("updated").alias("moment"), F.col("chunk_id").alias("ref")).distinct()
+    place = F.row_number().over(W.partitionBy("scope_id", "memory_id").orderBy("moment", "what", "ref"))
+    return parts[0].unionByName(parts[1]).unionByName(v).withColumn("number", place.cast("bigint"))
 
 
 QUERIES, ORACLES = C.queries, C.oracles

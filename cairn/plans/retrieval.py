@@ -64,15 +64,6 @@ def vector_a9_pool(spark, d):
     return e.groupBy("label", (F.col("d") + 1).alias("dim")).agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("mean"))
 
 
-@C.query("WITH v AS (SELECT chunk_id, arg_max({'m': memory_id, 'o': chunk_ordinal, 'v': vector}, updated) AS r FROM stored_vector WHERE vector IS NOT NULL AND len(vector) = dims GROUP BY 1), s AS (SELECT chunk_id, r.m AS memory_id, r.o AS chunk_ordinal, round(r.v[1]::DOUBLE, 6) AS score FROM v WHERE NOT isnan(r.v[1]) AND NOT isinf(r.v[1])) SELECT memory_id, arg_max(chunk_id, (score, chunk_id)) AS chunk_id, max(score) AS score FROM s GROUP BY 1")
-def vector_a10_best_chunk(spark, d):
-    """The chunk of each memory that points most along the first axis."""
-    v = table(spark, d, "stored_vector").where((F.size("vector") == F.col("dims")) & F.col("vector").isNotNull())
-    v = v.groupBy("chunk_id").agg(F.max_by(F.struct("memory_id", "vector"), "updated").alias("r"))
-    s = v.select("chunk_id", F.col("r.memory_id").alias("memory_id"), F.col("r.vector")[0].cast("double").alias("x")).where(~F.isnan("x") & (F.abs("x") != float("inf")))
-    return s.groupBy("memory_id").agg(F.max(F.struct(F.round("x", 6).alias("score"), "chunk_id")).alias("b")).select("memory_id", "b.chunk_id", "b.score")
-
-
 def _postings(spark, d, split=X.words):
     words = table(spark, d, "documents").select("doc_id", F.explode(split(F.col("text"))).alias("word"))
     return materialise(spark, words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n")), "postings")
@@ -196,29 +187,34 @@ def text_x4_static_embedding(spark, d):
     return pooled.select(F.col("id").alias("doc_id"), F.posexplode("vector").alias("p", "x")).select("doc_id", (F.col("p") + 1).alias("dim"), F.round("x", 4).alias("part"))
 
 
-@C.query("SELECT d.doc_id, n.name, n.name_kind, instr(lower(d.text), lower(n.name)) AS position FROM (SELECT doc_id, text FROM documents WHERE text IS NOT NULL) d JOIN (SELECT DISTINCT name, name_kind FROM name_list) n ON contains(lower(d.text), lower(n.name))")
-def entity_x12_v12_gazetteer(spark, d):
-    """Names of the gazetteer found in each document, with their first place. The list is a literal array, so texts don't move."""
-    names = table(spark, d, "name_list").distinct().collect()  # a fixed table
-    listed = F.array(*[F.struct(F.lit(r["name"]).alias("name"), F.lit(r["name_kind"]).alias("name_kind")) for r in names])
-    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.lower("text").alias("low"))
-    each = docs.select("doc_id", "low", F.explode(F.filter(listed, lambda n: F.col("low").contains(F.lower(n["name"])))).alias("n"))
-    return each.select("doc_id", "n.name", "n.name_kind", F.instr(F.col("low"), F.lower(F.col("n.name"))).cast("bigint").alias("position"))
+_SCRUBS = ((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[mail]"), (r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", "[card]"), (r"\+[0-9]{1,3}(?:[ .-]?[(]?[0-9]{1,5}[)]?){2,6}|[(][0-9]{3}[)] ?[0-9]{3}-[0-9]{4}|\b0[0-9]{2,4} [0-9]{3,6}(?: [0-9]{3,4})?\b", "[phone]"))
+_SCRUBBED = "text"
+for _pattern, _mark in _SCRUBS:
+    _SCRUBBED = f"regexp_replace({_SCRUBBED}, '{_pattern}', '{_mark}', 'g')"
 
 
-@C.query(r"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[mail]', 'g'), '\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b', '[card]', 'g')) AS scrubbed FROM documents WHERE text IS NOT NULL")
+@C.query(f"WITH {M} SELECT id, sha256({_SCRUBBED}) AS scrubbed, text <> {_SCRUBBED} AS changed FROM m WHERE text IS NOT NULL AND NOT (" + " OR ".join(f"regexp_matches(text, '{p}')" for p in X.DETECTORS.values()) + ")")
 def text_v17_scrub(spark, d):
-    """Query texts scrubbed of mail addresses and card numbers; texts with a credential are dropped."""
-    t = F.regexp_replace("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[mail]")
-    docs = table(spark, d, "documents").where(F.col("text").isNotNull() & X.detected(F.col("text")).isNull())
-    return docs.select("doc_id", F.sha2(F.regexp_replace(t, r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", "[card]"), 256).alias("scrubbed"))
+    """Texts scrubbed of mail addresses, card and phone numbers; texts with a credential are dropped."""
+    m = memories(spark, d, "text IS NOT NULL").where(X.detected(F.col("text")).isNull())
+    t = F.col("text")
+    for pattern, mark in _SCRUBS:
+        t = F.regexp_replace(t, pattern, mark)
+    return m.select("id", F.sha2(t, 256).alias("scrubbed"), (F.col("text") != t).alias("changed"))
+
+
+#: Price of a million tokens in millionths, by model, where it is known; our own example.
+PRICES = {"tern-embed": 20_000}
 
 
-@C.query(f"WITH {M} SELECT source, count(*) AS memories, sum(octet_length(encode(text)))::BIGINT AS bytes, sum(ceil(octet_length(encode(text)) / 3.0))::BIGINT AS tokens FROM m WHERE status = 'active' AND text IS NOT NULL GROUP BY 1")
+@C.query(f"WITH {M}, t AS (SELECT count(*) AS memories, sum(octet_length(encode(text)))::BIGINT AS bytes, sum(ceil(octet_length(encode(text)) / 3.0))::BIGINT AS tokens FROM m WHERE status = 'active' AND text IS NOT NULL) SELECT r.model_id, r.revision, t.memories, t.bytes, t.tokens, CASE WHEN r.model_id = 'tern-embed' THEN ceil(t.tokens * {PRICES['tern-embed']} / 1000000.0)::BIGINT END AS cost, CASE WHEN r.model_id <> 'tern-embed' THEN 'pricing unknown' END AS note FROM model_revision r, t")
 def agg_x18_preview(spark, d):
-    """What a re-embedding would read: memories, bytes and estimated tokens by source."""
+    """What embedding all active records anew would read and cost with each model revision."""
     m = memories(spark, d, "status = 'active' AND text IS NOT NULL")
-    return m.groupBy("source").agg(F.count(F.lit(1)).alias("memories"), F.sum(F.octet_length("text").cast("bigint")).alias("bytes"), F.sum(F.ceil(F.octet_length("text") / 3.0)).alias("tokens"))
+    t = m.agg(F.count(F.lit(1)).alias("memories"), F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.ceil(F.octet_length("text") / 3.0)), F.lit(0)).alias("tokens")).first()
+    price = F.coalesce(*[F.when(F.col("model_id") == k, v) for k, v in PRICES.items()])
+    sums = {k: F.lit(t[k]).cast("bigint") for k in ("memories", "bytes", "tokens")}
+    return table(spark, d, "model_revision").select("model_id", "revision").withColumns({**sums, "cost": F.ceil(F.lit(t["tokens"]).cast("double") * price / 1_000_000), "note": F.when(price.isNull(), "pricing unknown")})
 
 
 @C.query("WITH v AS (SELECT DISTINCT memory_id, chunk_ordinal AS o, model_revision AS r FROM stored_vector), s AS (SELECT memory_id, r, o, CASE WHEN o - lag(o) OVER (PARTITION BY memory_id, r ORDER BY o) <= 2 THEN 0 ELSE 1 END AS start FROM v), g AS (SELECT *, sum(start) OVER (PARTITION BY memory_id, r ORDER BY o) AS run FROM s) SELECT memory_id, r AS model_revision, min(o) AS first_chunk, max(o) AS last_chunk, count(*) AS chunks FROM g GROUP BY memory_id, r, run")
@@ -230,14 +226,6 @@ def window_w3_units(spark, d):
     return s.groupBy("memory_id", "model_revision", "run").agg(F.min("o").alias("first_chunk"), F.max("o").alias("last_chunk"), F.count(F.lit(1)).alias("chunks")).drop("run")
 
 
-@C.query("SELECT n.n_name, count(DISTINCT c.c_custkey) AS customers, count(o.o_orderkey) AS orders, round(sum(o.o_totalprice), 2) AS total, max(o.o_orderdate) AS newest FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY 1")
-def entity_x17_page(spark, d):
-    """Facts of each nation as an entity: its customers and their orders."""
-    c = table(spark, d, "customer").select("c_custkey", "c_nationkey").join(F.broadcast(table(spark, d, "nation").select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))
-    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
-    return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("n_name").agg(F.count_distinct("c_custkey").alias("customers"), F.count("o_orderkey").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.max("o_orderdate").alias("newest"))
-
-
 @C.query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")
 def tpch_q1(spark, d):
     """Summary of line items by flag and status."""
@@ -245,14 +233,4 @@ def tpch_q1(spark, d):
     return l.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("count_order"))
 
 
-@C.query(f"WITH {M}, {E} SELECT m.id, m.kind, m.status, count(DISTINCT e.parent_id) AS sources, count(DISTINCT c.memory_id) AS derived FROM m LEFT JOIN e ON e.memory_id = m.id LEFT JOIN e c ON c.parent_id = m.id GROUP BY 1, 2, 3")
-def entity_v13_neighbours(spark, d):
-    """Each memory with the number of its sources and of what derives from it; aggregated before joining."""
-    e = table(spark, d, "memory_derivation").select("memory_id", "parent_id").distinct()
-    up = e.groupBy(F.col("memory_id").alias("id")).agg(F.count(F.lit(1)).alias("sources"))
-    down = e.groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("derived"))
-    m = memories(spark, d).select("id", "kind", "status").join(up, "id", "left").join(down, "id", "left")
-    return m.select("id", "kind", "status", F.coalesce("sources", F.lit(0)).alias("sources"), F.coalesce("derived", F.lit(0)).alias("derived"))
-
-
 QUERIES, ORACLES = C.queries, C.oracles
