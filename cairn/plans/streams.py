@@ -23,12 +23,14 @@ def stream_r2_once(spark, d):
     return jobs.run(spark, jobs.once(jobs.stream(spark, d, "events"), ["event_id"]), "once").select("event_id", "user_id", "event_type")
 
 
-@C.query("SELECT user_id, count(*) AS claimed, count(*) FILTER (event_type = 'error') AS dead FROM events GROUP BY 1")
+@C.query(f"""WITH d AS (SELECT DISTINCT memory_id, chunk_id, updated, vector IS NULL AS failed FROM stored_vector WHERE memory_id IS NOT NULL AND updated IS NOT NULL), q AS (SELECT memory_id, count(*) FILTER (failed) AS attempts, count(*) FILTER (NOT failed) AS done, max(updated) FILTER (failed) AS last FROM d GROUP BY 1),
+ s AS (SELECT memory_id, attempts, last, CASE WHEN done > 0 THEN 'done' WHEN attempts >= {jobs.ATTEMPTS} THEN 'dead' ELSE 'waiting' END AS state FROM q)
+ SELECT memory_id, attempts, state, CASE WHEN state = 'waiting' THEN last + least({jobs.BACKOFF_MOST}, {jobs.BACKOFF} * pow(2, attempts - 1))::BIGINT END AS next_at, CASE WHEN state = 'waiting' THEN last + {jobs.HOLD} END AS held_until FROM s""")
 def stream_r1_outbox(spark, d):
-    """An outbox drained in micro-batches: work claimed and dead-lettered by user."""
-    dead = (F.col("event_type") == "error").cast("bigint")
-    parts = jobs.run_batches(spark, jobs.stream(spark, d, "events"), "outbox", lambda b, _: b.groupBy("user_id").agg(F.count(F.lit(1)).alias("claimed"), F.sum(dead).alias("dead")))
-    return parts.groupBy("user_id").agg(F.sum("claimed").alias("claimed"), F.sum("dead").alias("dead"))
+    """The work of embedding as a queue: a row without a vector is a failed attempt, one with a vector ends the work; what failed waits ever longer and dies after some attempts."""
+    rows = jobs.stream(spark, d, "stored_vector").where("memory_id IS NOT NULL AND updated IS NOT NULL")
+    tries = jobs.run_batches(spark, rows, "outbox", lambda b, _: b.select("memory_id", "chunk_id", "updated", F.col("vector").isNull().alias("failed")).distinct())
+    return jobs.queue_states(tries.distinct(), "memory_id", "updated", "failed")
 
 
 QUERIES, ORACLES = C.queries, C.oracles

@@ -10,6 +10,22 @@ from pyspark.sql import functions as F
 from cairn.session import fresh_path
 
 
+#: Of a work queue: attempts until work is dead, seconds that claimed work is held, and seconds of waiting after the first failure and at most.
+ATTEMPTS, HOLD, BACKOFF, BACKOFF_MOST = 5, 60, 2, 300
+
+
+def queue_states(tries: DataFrame, key: str, at: str, failed: str) -> DataFrame:
+    """(key, attempts, state, next_at, held_until) from attempts (key, at, failed), each once: done after a success, dead after ATTEMPTS failures, else waiting.
+
+    Waiting work may be tried again after a time that doubles with each failure, and whoever claims it holds it HOLD seconds.
+    """
+    q = tries.groupBy(key).agg(F.count(F.when(F.col(failed), 1)).alias("attempts"), F.count(F.when(~F.col(failed), 1)).alias("_done"), F.max(F.when(F.col(failed), F.col(at))).alias("_last"))
+    state = F.when(F.col("_done") > 0, "done").when(F.col("attempts") >= ATTEMPTS, "dead").otherwise("waiting")
+    wait = F.least(F.lit(BACKOFF_MOST), BACKOFF * F.pow(F.lit(2.0), F.col("attempts") - 1)).cast("bigint")
+    waiting = state == "waiting"
+    return q.select(key, "attempts", state.alias("state"), F.when(waiting, F.col("_last") + wait).alias("next_at"), F.when(waiting, F.col("_last") + HOLD).alias("held_until"))
+
+
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as a stream of its files."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
