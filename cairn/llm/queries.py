@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.functions import text as X
 from cairn.llm import mixing, pieces, privacy, sentences, tokens, vectors
 from cairn.session import materialise, table
 
@@ -60,6 +61,40 @@ def p3_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.neighbours(spark, rows, given=given, queries=F.coalesce(number % 20 == 0, F.lit(False)))
 
 
+#: Words of a shingle, and the share of shingles in common from which texts confirm that records are near duplicates.
+SHINGLE, ALIKE = 5, 0.8
+
+
+def _shingles(words: Column) -> Column:
+    """The distinct runs of SHINGLE words; of fewer words all of them as one run, of none none."""
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(words, i, SHINGLE)))
+    return F.when(F.size(words) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def confirmed(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """(memory_a, memory_b, alike) of the pairs whose records have one scope and kind and whose texts have at least ALIKE of their shingles in common.
+
+    pairs: (memory_a, memory_b), once each; records: id, scope_id, kind, text. Null and empty texts confirm nothing.
+    """
+    held = records.select("id", "scope_id", "kind", "text")
+    asked = pairs.select(F.explode(F.array("memory_a", "memory_b")).alias("id")).distinct()
+    worded = held.join(asked, "id", "left_semi").select("id", F.struct("scope_id", "kind").alias("place"), X.words(F.coalesce("text", F.lit(""))).alias("words"))
+    cut = worded.select("id", "place", _shingles(F.col("words")).alias("runs"))
+    both = pairs.join(cut.select(F.col("id").alias("memory_a"), F.col("place").alias("pa"), F.col("runs").alias("ra")), "memory_a").join(cut.select(F.col("id").alias("memory_b"), F.col("place").alias("pb"), F.col("runs").alias("rb")), "memory_b")
+    alike = F.size(F.array_intersect("ra", "rb")) / F.nullif(F.size(F.array_union("ra", "rb")), F.lit(0))
+    return both.where(F.col("pa") == F.col("pb")).select("memory_a", "memory_b", F.round(alike, 6).alias("alike")).where(F.col("alike") >= ALIKE)
+
+
+def join_j10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active records of one scope and kind that are near duplicates by a chunk's vectors, confirmed by their texts."""
+    chunks = p3_found(spark, sf_dir)
+    of = table(spark, sf_dir, "stored_vector").where("memory_id IS NOT NULL").groupBy("chunk_id").agg(F.max_by("memory_id", F.struct("updated", "memory_id")).alias("memory_id"))
+    side = lambda name: of.select(F.col("chunk_id").alias(f"chunk_id_{name}"), F.col("memory_id").alias(f"m{name}"))
+    pairs = chunks.join(side("a"), "chunk_id_a").join(side("b"), "chunk_id_b").where("ma <> mb").select(F.least("ma", "mb").alias("memory_a"), F.greatest("ma", "mb").alias("memory_b")).distinct()
+    m = table(spark, sf_dir, "memory_record").where("status.state = 'active'").select("id", "scope_id", "kind", F.col("body.text").alias("text")).dropDuplicates(["id"])
+    return confirmed(materialise(spark, pairs, "pairs"), m)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """memory_id, kind and start of each piece of personal data, once per id."""
     found = privacy.spans(spark, _bodies(spark, sf_dir), table(spark, sf_dir, "name_list"))
@@ -105,7 +140,7 @@ def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_classes, p3_top10, p5_found, p5_redacted, p8_ids, p9_mix, p9_shares, p10_found, p10_sentences)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_classes, p3_top10, join_j10_near_duplicates, p5_found, p5_redacted, p8_ids, p9_mix, p9_shares, p10_found, p10_sentences)}
 
 ORACLES = {
     "p2_found": "SELECT DISTINCT id AS memory_id FROM memory_record WHERE octet_length(encode(body.text)) > 2048",

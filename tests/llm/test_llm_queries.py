@@ -3,8 +3,7 @@ from cairn.llm import queries
 
 def test_all_run(spark, data):
     for name, query in queries.QUERIES.items():
-        df = query(spark, data)
-        assert df.count() >= 0 and df.columns, name
+        assert query(spark, data).count() > 0 or name == "join_j10_near_duplicates", name  # the small data hold no near duplicates
 
 
 def test_columns(spark, data):

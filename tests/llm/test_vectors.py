@@ -123,3 +123,13 @@ def test_encoding_reduces_error():
     assert len(books[1]) == 1 and not books[1].any()
     first = ((x[:200, None] - books[0][None]) ** 2).sum(2).min(1)
     assert ((x[:200] - sums) ** 2).sum(1).mean() < 0.5 * first.mean()
+
+
+def test_near_duplicates_are_confirmed_by_texts(spark):
+    from cairn.llm import queries
+
+    long = " ".join(f"w{i}" for i in range(60))
+    records = [("a", "s", "fact", long), ("b", "s", "fact", long + " more"), ("c", "s", "task", long), ("d", "t", "fact", long), ("e", "s", "fact", "other words entirely here now"), ("f", "s", "fact", None), ("g", "s", "fact", "Two words"), ("h", "s", "fact", "two, words!"), ("i", "s", "fact", "")]
+    pairs = [("a", "b"), ("a", "c"), ("a", "d"), ("a", "e"), ("a", "f"), ("g", "h"), ("f", "i"), ("a", "zz")]
+    got = queries.confirmed(spark.createDataFrame(pairs, "memory_a STRING, memory_b STRING"), spark.createDataFrame(records, "id STRING, scope_id STRING, kind STRING, text STRING"))
+    assert {(r["memory_a"], r["memory_b"], r["alike"]) for r in got.collect()} == {("a", "b", round(56 / 57, 6)), ("g", "h", 1.0)}
