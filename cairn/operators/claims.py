@@ -160,18 +160,6 @@ def digest(view: DataFrame) -> DataFrame:
     return view.agg(F.count(F.lit(1)).alias("slots"), F.sum(part(1)).cast("string").alias("low"), F.sum(part(11)).cast("string").alias("high"))
 
 
-def evidence_problem(evidence: Column, sources_missing: Column, seeded: Column, floor: int) -> Column:
-    """The first check that a proposal's evidence (kind, level, score) fails, or null.
-
-    In order: no evidence, a source that is not available, a seed that claims to be a user's statement, a
-    score below the floor, a user's statement below a user's level.
-    """
-    said = lambda e: e["kind"] == "user_statement"
-    problem = F.when(F.coalesce(F.size(evidence), F.lit(0)) <= 0, "no_evidence").when(sources_missing, "source_unavailable")
-    problem = problem.when(seeded & F.exists(evidence, said), "seed_as_user").when(F.exists(evidence, lambda e: F.coalesce(e["score"] < floor, F.lit(False))), "below_floor")
-    return problem.when(F.exists(evidence, lambda e: said(e) & (rank(e["level"]) < LEVELS.index("user_asserted"))), "below_user_level")
-
-
 def evolution_problems(registry: DataFrame) -> DataFrame:
     """(namespace, version, lost_kinds, lost_values): what a version of a registry drops of the one before it.
 

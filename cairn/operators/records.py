@@ -90,3 +90,12 @@ def filtered(df: DataFrame, statuses: set[str] | None = None, kinds: set[str] |
     filter_text(statuses, kinds)
     out = df.where(F.col("status").isin(*sorted({"active"} if statuses is None else statuses)))
     return out.where(F.col("kind").isin(*sorted(kinds))) if kinds else out
+
+
+def scope_key(owner: str, kind: str = "personal", key: str = "") -> tuple[str, str, str]:
+    """(owner, kind, key) of the scope that a request names: personal without a key unless it names a project or a share by its key."""
+    if kind not in ("personal", "project", "shared"):
+        raise ValueError(f"no such kind of scope: {kind}")
+    if not owner or (kind == "personal") == bool(key):
+        raise ValueError("a scope has an owner, and a key unless it is personal")
+    return owner, kind, key

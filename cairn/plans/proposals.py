@@ -11,23 +11,6 @@ from cairn.plans.registry import Catalog
 from cairn.session import table
 
 C = Catalog()
-FLOOR = 2500
-_K = "CASE sourcing WHEN 'user' THEN 'user_statement' WHEN 'seed' THEN 'seed' ELSE 'source_span' END"
-_MISSING = "claim_id IN (SELECT from_claim_id FROM claim_relation WHERE relation_kind = 'derived_from' AND to_id NOT IN (SELECT claim_id FROM claim_history))"
-
-
-@C.query(f"WITH {H}, e AS (SELECT *, {_K} AS kind, (tx_seq * 37) % 10000 AS score, {_MISSING} AS missing FROM h) SELECT claim_id, tx_seq, CASE WHEN claim IS NULL THEN 'no_evidence' WHEN missing THEN 'source_unavailable' WHEN sourcing <> 'user' AND score < {FLOOR} THEN 'below_floor' WHEN kind = 'user_statement' AND authority IN ('inferred', 'extracted', 'verified') THEN 'below_user_level' END AS problem FROM e")
-def gate_c3_c7_evidence(spark, d):
-    """The first check that each claim's evidence fails; erased claims have none, and only machines score."""
-    kind = F.when(F.col("sourcing") == "user", "user_statement").when(F.col("sourcing") == "seed", "seed").otherwise("source_span")
-    score = F.when(F.col("sourcing") != "user", (F.col("tx_seq") * 37) % 10000)
-    known = table(spark, d, "claim_history").select(F.col("claim_id").alias("to_id")).distinct()
-    missing = table(spark, d, "claim_relation").where("relation_kind = 'derived_from'").select(F.col("from_claim_id").alias("claim_id"), "to_id").join(known, "to_id", "left_anti").select("claim_id").distinct().withColumn("_m", F.lit(True))
-    h = history(spark, d).join(missing, "claim_id", "left")
-    evidence = F.when(F.col("claim").isNotNull(), F.array(F.struct(kind.alias("kind"), F.col("authority").alias("level"), score.alias("score")))).otherwise(F.array().cast("array<struct<kind: string, level: string, score: bigint>>"))
-    problem = claims.evidence_problem(evidence, F.coalesce("_m", F.lit(False)), F.col("sourcing") == "seed", FLOOR)
-    return h.select("claim_id", "tx_seq", problem.alias("problem"))
-
 
 _R = f"{H}, r AS (SELECT predicate_namespace AS namespace, (year(recorded_at) * 4 + quarter(recorded_at))::INT AS version, list_distinct(list(predicate_name || '/' || slot)) AS kinds, list_distinct(list(vt)) AS vals FROM (SELECT *, coalesce(slot_key, '') AS slot, json_extract_string(claim, '$.value.type') AS vt FROM h WHERE claim IS NOT NULL) GROUP BY 1, 2)"
 

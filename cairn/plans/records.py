@@ -320,13 +320,27 @@ def lifecycle_l3_l4_checks(spark, d):
     return memories(spark, d).select("id", "kind", broken.alias("broken"), ((F.col("kind") == "correction") & (F.size("derived_from") == 0)).alias("unfounded"), (s == F.col("id")).alias("own"))
 
 
-@C.query(f"WITH {M}, {E}, d AS (SELECT id AS memory_id, unnest(derived_from) AS parent_id FROM m) SELECT coalesce(a.memory_id, b.memory_id) AS memory_id, coalesce(a.parent_id, b.parent_id) AS parent_id, CASE WHEN b.memory_id IS NULL THEN 'record only' ELSE 'table only' END AS side FROM (SELECT DISTINCT * FROM d) a FULL JOIN (SELECT DISTINCT memory_id, parent_id FROM e) b ON a.memory_id = b.memory_id AND a.parent_id = b.parent_id WHERE a.memory_id IS NULL OR b.memory_id IS NULL")
+#: The instant of the earlier look at a vault.
+SEEN = 1735689600
+
+
+@C.query(f"WITH {M}, v AS (SELECT source, external_id, arg_max(sha256(coalesce(text, '')), (created, id)) FILTER (created <= {SEEN}) AS was, arg_max(sha256(coalesce(text, '')), (created, id)) FILTER (status <> 'erased') AS now FROM m WHERE external_id IS NOT NULL GROUP BY 1, 2) SELECT source, external_id, CASE WHEN was IS NULL THEN 'capture' WHEN now IS NULL THEN 'expire' WHEN was <> now THEN 'supersede' ELSE 'keep' END AS action FROM v WHERE was IS NOT NULL OR now IS NOT NULL")
 def set_o9_u2_reconcile(spark, d):
-    """Derivations that only the records or only the table hold."""
-    a = memories(spark, d).select(F.col("id").alias("memory_id"), F.explode("derived_from").alias("parent_id")).distinct().withColumn("a", F.lit(1))
-    b = edges(spark, d).select("memory_id", "parent_id").distinct().withColumn("b", F.lit(1))
-    both = a.join(b, ["memory_id", "parent_id"], "full")
-    return both.where("a IS NULL OR b IS NULL").select("memory_id", "parent_id", F.when(F.col("b").isNull(), "record only").otherwise("table only").alias("side"))
+    """A vault as it was seen and as it is: what is new is captured, what changed is superseded, what is gone expires."""
+    m = memories(spark, d, "external_id IS NOT NULL").select("source", "external_id", "created", "id", "status", F.sha2(F.coalesce("text", F.lit("")), 256).alias("body"))
+    last = lambda rows, name: rows.groupBy("source", "external_id").agg(F.max_by("body", F.struct("created", "id")).alias(name))
+    both = last(m.where(F.col("created") <= SEEN), "was").join(last(m.where("status <> 'erased'"), "now"), ["source", "external_id"], "full")
+    action = F.when(F.col("was").isNull(), "capture").when(F.col("now").isNull(), "expire").when(F.col("was") != F.col("now"), "supersede").otherwise("keep")
+    return both.select("source", "external_id", action.alias("action"))
+
+
+@C.query(f"WITH {M}, {E}, k AS (SELECT memory_id, list(DISTINCT parent_id ORDER BY parent_id) AS linked FROM e GROUP BY 1) SELECT m.id AS memory_id, array_to_string(list_sort(list_distinct(m.derived_from)), ',') AS listed, coalesce(array_to_string(k.linked, ','), '') AS linked, listed = coalesce(array_to_string(k.linked, ','), '') AS same FROM m LEFT JOIN k ON k.memory_id = m.id WHERE len(m.derived_from) > 0")
+def check_derivations_agree(spark, d):
+    """Each derived record's own list of origins beside the table's, and whether they name the same."""
+    m = memories(spark, d).where(F.size("derived_from") > 0).select(F.col("id").alias("memory_id"), F.array_join(F.array_sort(F.array_distinct("derived_from")), ",").alias("listed"))
+    e = edges(spark, d).groupBy("memory_id").agg(F.array_join(F.array_sort(F.collect_set("parent_id")), ",").alias("linked"))  # the parents of one record
+    out = m.join(e, "memory_id", "left").withColumn("linked", F.coalesce("linked", F.lit("")))
+    return out.withColumn("same", F.col("listed") == F.col("linked"))
 
 
 @C.query(f"WITH {M} SELECT id FROM m WHERE status = 'active' AND kind IN ('fact', 'decision') UNION SELECT memory_id FROM stored_vector INTERSECT SELECT id FROM m WHERE trust = 'evidence'")

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.functions import text as X
-from cairn.operators import claims, counters
+from cairn.operators import counters
 from cairn.plans.claims import H, history
 from cairn.plans.records import M, NOW, memories
 from cairn.plans.registry import Catalog
@@ -86,7 +86,7 @@ def filter_x20_stale(spark, d):
     return m.where("overdue OR stale").select("id", "status", "overdue", "stale", "unused")
 
 
-@C.query(f"WITH {H} SELECT claim_id, tx_seq, CASE " + " ".join(f"WHEN regexp_matches(claim, '{p}') THEN '{n}'" for n, p in X.DETECTORS.items()) + f" END AS detector FROM h WHERE claim IS NOT NULL")
+@C.query(f"WITH {H} SELECT claim_id, tx_seq, CASE " + " ".join(f"WHEN regexp_matches(claim, '{p}') THEN '{n}'" for n, p in X.DETECTORS.items()) + f" ELSE coalesce(" + ", ".join("CASE " + " ".join(f"WHEN regexp_matches({c}, '{p}') THEN '{n}'" for n, p in X.DETECTORS.items()) + " END" for c in ("slot_key", "subject_key")) + ") END AS detector FROM h WHERE claim IS NOT NULL")
 def gate_c2_secrets(spark, d):
     """The first detector that finds a credential in each claim, its slot or its subject key."""
     found = F.coalesce(*[X.detected(F.col(c)) for c in ("claim", "slot_key", "subject_key")])
@@ -100,11 +100,4 @@ def gate_c11_v14_review(spark, d):
     return h.select("scope_id", "subject_key", "predicate_name", "slot_key", F.when(F.col("u"), "user").when(F.col("s"), "seed").otherwise("supplier").alias("sourcing"), (F.col("sides") > 1).alias("review"))
 
 
-@C.query(f"WITH {H} SELECT scope_id, authority, count(*) AS claims, sum((CASE sourcing WHEN 'user' THEN 4 ELSE 1 END >= CASE authority WHEN 'inferred' THEN 0 WHEN 'extracted' THEN 1 WHEN 'verified' THEN 2 WHEN 'user_asserted' THEN 3 ELSE 4 END)::INT)::BIGINT AS covered FROM h GROUP BY 1, 2")
-def gate_c7_c10_ground(spark, d):
-    """Claims whose stated authority their kind of evidence can earn, by scope and level."""
-    ceiling = F.when(F.col("sourcing") == "user", 4).otherwise(1)
-    return history(spark, d).groupBy("scope_id", "authority").agg(F.count(F.lit(1)).alias("claims"), F.sum((ceiling >= claims.rank(F.col("authority"))).cast("bigint")).alias("covered"))
-
-
 QUERIES, ORACLES = C.queries, C.oracles

@@ -84,3 +84,10 @@ def test_freshest_says_if_more(spark):
     df = spark.createDataFrame([("a", 3), ("b", 5), ("c", 5), ("d", 1)], "s STRING, t INT")
     assert [tuple(r) for r in retrieval.freshest(df, "t", "s", 2).orderBy("s").collect()] == [("b", 5, True), ("c", 5, True)]
     assert not any(r["truncated"] for r in retrieval.freshest(df, "t", "s", 4).collect())
+
+
+def test_scopes_of_requests():
+    assert records.scope_key("ann") == ("ann", "personal", "") and records.scope_key("ann", "project", "p") == ("ann", "project", "p")
+    for wrong in (("",), ("ann", "personal", "x"), ("ann", "shared"), ("ann", "team", "x")):
+        with pytest.raises(ValueError):
+            records.scope_key(*wrong)

@@ -131,16 +131,6 @@ def test_turns_of_all_conversations(spark, data):
     assert every.where("turn BETWEEN 2 AND 4").exceptAll(few).count() == 0 and every.count() > few.count()
 
 
-def test_evidence_and_evolution(spark):
-    rows = spark.sql("""SELECT 1 AS id, array() AS e, false AS m, false AS s UNION ALL SELECT 2, array(named_struct('kind', 'seed', 'level', 'extracted', 'score', 1)), true, true
-        UNION ALL SELECT 3, array(named_struct('kind', 'user_statement', 'level', 'user_asserted', 'score', NULL)), false, true UNION ALL SELECT 4, array(named_struct('kind', 'model_score', 'level', 'inferred', 'score', 10)), false, false
-        UNION ALL SELECT 5, array(named_struct('kind', 'user_statement', 'level', 'verified', 'score', NULL)), false, false UNION ALL SELECT 6, array(named_struct('kind', 'rule', 'level', 'extracted', 'score', 9000)), false, false UNION ALL SELECT 7, NULL, false, false""")
-    got = {r[0]: r[1] for r in rows.select("id", claims.evidence_problem(rows["e"], rows["m"], rows["s"], 2500)).collect()}
-    assert got == {1: "no_evidence", 2: "source_unavailable", 3: "seed_as_user", 4: "below_floor", 5: "below_user_level", 6: None, 7: "no_evidence"}
-    registry = spark.createDataFrame([("n", 1, ["a", "b"], ["x"]), ("n", 2, ["a"], ["x", "y"]), ("n", 4, [], [])], "namespace STRING, version INT, kinds ARRAY<STRING>, values ARRAY<STRING>")
-    assert [tuple(r) for r in claims.evolution_problems(registry).collect()] == [("n", 2, ["b"], [])]
-
-
 def test_counters_stay_at_zero(spark):
     import random
 
