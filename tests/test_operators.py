@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,8 +116,15 @@ def test_captures_and_turns(spark):
 def test_credentials_beside_the_text(spark, data, tmp_path):
     rows = spark.sql("SELECT 1 AS id, 'fine' AS text, 'password=hunter2hunter2' AS title, 'authenticated' AS origin, 's' AS source, array(named_struct('media_type', 'image/png')) AS media UNION ALL SELECT 2, 'fine', NULL, 'authenticated', 's', array()")
     assert {r["id"]: r["code"] for r in records.verdicts(rows, []).collect()} == {1: "secret", 2: None}
-    spark.createDataFrame([(1, "token: abcdefghij"), (2, "plain")], "doc_id INT, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
-    assert [r["doc_id"] for r in catalog.QUERIES["text_v17_scrub"](spark, str(tmp_path)).collect()] == [2]
+    fonts = spark.sql("SELECT 1 AS id, 'fine' AS text, NULL AS title, 'authenticated' AS origin, 's' AS source, array(named_struct('media_type', 'font/woff2')) AS media UNION ALL SELECT 2, 'fine', NULL, 'authenticated', 's', array(named_struct('media_type', 'model/gltf'))")
+    assert {r["id"]: r["code"] for r in records.verdicts(fonts, []).collect()} == {1: None, 2: "unsupported_media"}
+    some = spark.read.parquet(f"{data}/memory_record.parquet").limit(1)
+    texts = spark.createDataFrame([("1", "token: abcdefghij"), ("2", "plain"), ("3", "Call +44 20 7946 0011 or a@b.example, card 1234 5678 1234 5678")], "key STRING, said STRING")
+    changed = some.join(texts).withColumn("id", F.col("key")).withColumn("body", F.col("body").withField("text", F.col("said"))).select(some.columns)
+    changed.write.parquet(f"{tmp_path}/memory_record.parquet")
+    scrubbed = {r["id"]: (r["scrubbed"], r["changed"]) for r in catalog.QUERIES["text_v17_scrub"](spark, str(tmp_path)).collect()}
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert scrubbed == {"2": (digest("plain"), False), "3": (digest("Call [phone] or [mail], card [card]"), True)}
     spark.read.parquet(f"{data}/claim_history.parquet").limit(20).withColumn("slot_key", F.lit("secret=abcdefghij")).write.parquet(f"{tmp_path}/claim_history.parquet")
     found = catalog.QUERIES["gate_c2_secrets"](spark, str(tmp_path)).collect()
     assert found and {r["detector"] for r in found} == {"assignment"}
@@ -145,3 +154,8 @@ def test_counters_stay_at_zero(spark):
         for _, _, d in (r for r in rows if r[0] == k):
             held = max(0, held + d)
         assert got[k] == held
+
+
+def test_what_a_registry_version_drops(spark):
+    registry = spark.createDataFrame([("n", 1, ["a", "b"], ["x"]), ("n", 2, ["a"], ["x", "y"]), ("n", 4, [], [])], "namespace STRING, version INT, kinds ARRAY<STRING>, values ARRAY<STRING>")
+    assert [tuple(r) for r in claims.evolution_problems(registry).collect()] == [("n", 2, ["b"], [])]
