@@ -40,6 +40,24 @@ def bm25(postings: DataFrame, terms: list[str]) -> DataFrame:
     return hit.join(lengths, "doc_id").groupBy("doc_id").agg(F.round(F.sum(weight * grown), 6).alias("score"))
 
 
+def bm25_each(postings: DataFrame, terms: list[str]) -> DataFrame:
+    """(query, doc_id, score) for each term as a query of its own. Counts are over all documents that have words."""
+    lengths = postings.groupBy("doc_id").agg(F.sum("n").alias("len"))
+    size = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean")).first()
+    hit = postings.where(F.col("word").isin(terms))
+    df = F.broadcast(hit.groupBy("word").agg(F.count(F.lit(1)).alias("df")))  # one row a term
+    idf = F.log(1 + (F.lit(size["docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    grown = F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("len") / float(size["mean"] or 1)))
+    return hit.join(lengths, "doc_id").join(df, "word").select(F.col("word").alias("query"), "doc_id", F.round(idf * grown, 6).alias("score"))
+
+
+def answered(scores: DataFrame, queries: int, most: int = DEEPEST) -> DataFrame:
+    """One row (no_answer, truncated): the share of all queries that find nothing, and of those that find more than ``most``."""
+    per = scores.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
+    share = lambda c: F.round(c / F.lit(float(queries)), 6)
+    return per.agg(share(F.lit(queries) - F.count(F.lit(1))).alias("no_answer"), share(F.count(F.when(F.col("n") > most, 1))).alias("truncated"))
+
+
 def _idf(docs: int, df: int) -> float:
     import math
 

@@ -76,6 +76,12 @@ def lifecycle_l8_receipts(spark, d):
     return lifecycle.receipts(memories(spark, d).select("scope_id", "id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("bytes")), SCOPE_BATCH)
 
 
+@C.query(f"WITH {M}, r AS (SELECT scope_id, octet_length(encode(coalesce(text, '')))::BIGINT AS bytes, row_number() OVER (PARTITION BY scope_id ORDER BY id) AS number FROM m) SELECT scope_id, (max(number) - 1) // {SCOPE_BATCH} + 1 AS batches, count(*) AS records, sum(bytes)::BIGINT AS bytes FROM r GROUP BY 1")
+def agg_a6_journal(spark, d):
+    """The totals of the journal that erasing every scope would write."""
+    return lifecycle_l8_receipts(spark, d).groupBy("scope_id").agg(F.count(F.lit(1)).alias("batches"), F.sum("records").alias("records"), F.sum("bytes").alias("bytes"))
+
+
 @C.query(f"WITH {M}, {E}, u AS (SELECT e.parent_id AS id, c.created AS moment FROM (SELECT DISTINCT memory_id, parent_id FROM e) e JOIN m c ON c.id = e.memory_id), n AS (SELECT id, count(*) AS n, max(moment) AS moment FROM u GROUP BY 1) SELECT m.id, m.uses + coalesce(n.n, 0) AS uses, coalesce(n.moment, m.last_used) AS last_used FROM m LEFT JOIN n USING (id)")
 def lifecycle_l11_use(spark, d):
     """Use counters after each derivation counts as a use of its parents, at the time of the derived record."""

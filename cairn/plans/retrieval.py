@@ -17,6 +17,9 @@ from cairn.session import materialise, table
 C = Catalog()
 TERMS = ["claims", "vectors", "evidence", "receipts"]
 K = 20
+#: Words that the lexical index leaves out, and the longest it keeps; our own values.
+STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "with")
+LONGEST = 64
 #: Dimensions of the token vectors.
 DIMS = 8
 
@@ -65,7 +68,7 @@ def vector_a9_pool(spark, d):
 
 
 def _postings(spark, d, split=X.words):
-    words = table(spark, d, "documents").select("doc_id", F.explode(split(F.col("text"))).alias("word"))
+    words = table(spark, d, "documents").select("doc_id", F.explode(split(F.col("text"))).alias("word")).where(~F.col("word").isin(*STOP_WORDS) & (F.length("word") <= LONGEST))
     return materialise(spark, words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n")), "postings")
 
 
@@ -73,20 +76,13 @@ def _recent(spark, d):
     return table(spark, d, "documents").where("captured_at IS NOT NULL").select("doc_id", F.unix_seconds("captured_at").alias("score"))
 
 
-def _evaluation(spark, d, split):
-    scores = R.bm25(_postings(spark, d, split), TERMS)
-    best = scores.orderBy(F.desc("score"), "doc_id").limit(R.DEEPEST)  # no measure looks further, so no task ranks more
-    ranked = best.select(F.lit(1).alias("query"), "doc_id", F.row_number().over(W.orderBy(F.desc("score"), "doc_id")).alias("rank"))
-    truth = table(spark, d, "documents").where("source = 'glossary' AND text IS NOT NULL").select(F.lit(1).alias("query"), "doc_id")
-    return R.evaluated(ranked, truth)
-
-
 #: The words of a text as X.words gives them.
 _WORDS = (
     "flatten(list_transform(regexp_extract_all(lower(nfc_normalize(regexp_replace(text, '[" + X.DROPPED + "]', '', 'g'))), '" + X.WORD + "'), "
     "lambda w: CASE WHEN regexp_matches(w, '^[" + X.DENSE + "]{2}') THEN list_transform(range(1, length(w)), lambda i: substr(w, i, 2)) ELSE [w] END))"
 )
-_P = f"w AS (SELECT doc_id, unnest({_WORDS}) AS word FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY 1, 2), l AS (SELECT doc_id, sum(n) AS len FROM p GROUP BY 1), s AS (SELECT count(*) AS docs, avg(len) AS mean FROM l), f AS (SELECT word, count(*) AS df FROM p GROUP BY 1)"
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_P = f"w0 AS (SELECT doc_id, unnest({_WORDS}) AS word FROM documents WHERE text IS NOT NULL), w AS (SELECT * FROM w0 WHERE word NOT IN ({_STOP}) AND length(word) <= {LONGEST}), p AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY 1, 2), l AS (SELECT doc_id, sum(n) AS len FROM p GROUP BY 1), s AS (SELECT count(*) AS docs, avg(len) AS mean FROM l), f AS (SELECT word, count(*) AS df FROM p GROUP BY 1)"
 _T = ", ".join(f"'{t}'" for t in TERMS)
 _BM25 = f"SELECT p.doc_id, round(sum(ln(1 + (s.docs - f.df + 0.5) / (f.df + 0.5)) * p.n * 2.2 / (p.n + 1.2 * (0.25 + 0.75 * l.len / s.mean))), 6) AS score FROM p JOIN l USING (doc_id) JOIN f USING (word), s WHERE p.word IN ({_T}) GROUP BY 1"
 
@@ -116,10 +112,26 @@ def text_x11_budget(spark, d):
     return R.packed(m, ["scope_id"], "place", F.ceil(F.octet_length("text") / 3.0), 4000).select("scope_id", "id", "size", "total", F.col("rank").cast("bigint").alias("rank"))
 
 
-@C.query(f"WITH {_P}, a AS ({_BM25}), r AS (SELECT 1 AS query, doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM a QUALIFY rank <= 20), t AS (SELECT 1 AS query, doc_id FROM documents WHERE source = 'glossary' AND text IS NOT NULL), h AS (SELECT r.* FROM r JOIN t USING (doc_id)), n AS (SELECT count(DISTINCT doc_id) AS n FROM t) SELECT coalesce(round(sum((rank <= 5)::INT) / any_value(n), 6), 0) AS recall_5, coalesce(round(sum((rank <= 10)::INT) / any_value(n), 6), 0) AS recall_10, coalesce(round(sum((rank <= 20)::INT) / any_value(n), 6), 0) AS recall_20, coalesce(round(sum((rank <= 5)::INT) / 5, 6), 0) AS precision_5, coalesce(round(1.0 / min(rank), 6), 0) AS mrr, round(sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1.0) ELSE 0 END) / (SELECT sum(1 / log2(i + 1.0)) FROM range(1, least((SELECT n FROM n), 10) + 1) x(i)), 6) AS ndcg_10 FROM n LEFT JOIN h ON TRUE")
+#: The queries of the evaluation, one word each; the last finds nothing.
+ASKED = [*TERMS, "zzqx"]
+_A = ", ".join(f"'{t}'" for t in ASKED)
+
+
+@C.query(f"""WITH {_P}, b AS (SELECT p.word AS query, p.doc_id, round(ln(1 + (s.docs - f.df + 0.5) / (f.df + 0.5)) * (p.n * 2.2 / (p.n + 1.2 * (0.25 + 0.75 * l.len / s.mean))), 6) AS score FROM p JOIN l USING (doc_id) JOIN f USING (word), s WHERE p.word IN ({_A})),
+ r AS (SELECT query, doc_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM b QUALIFY rank <= {R.DEEPEST}), t AS (SELECT p.word AS query, p.doc_id FROM p JOIN documents d USING (doc_id) WHERE d.source = 'glossary' AND p.word IN ({_A})), n AS (SELECT query, count(*) AS n FROM t GROUP BY 1), h AS (SELECT r.* FROM r JOIN t USING (query, doc_id)),
+ q AS (SELECT n.query, n.n, count(*) FILTER (rank <= 5) AS h5, count(*) FILTER (rank <= 10) AS h10, count(*) FILTER (rank <= 20) AS h20, min(rank) AS first, coalesce(sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1.0) END), 0) AS dcg FROM n LEFT JOIN h USING (query) GROUP BY 1, 2), c AS (SELECT query, count(*) AS n FROM b GROUP BY 1)
+ SELECT round(avg(h5 / n), 6) AS recall_5, round(avg(h10 / n), 6) AS recall_10, round(avg(h20 / n), 6) AS recall_20, round(avg(h5 / 5), 6) AS precision_5, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(dcg / (SELECT sum(1 / log2(i + 1.0)) FROM range(1, 11) x(i) WHERE i <= n)), 6) AS ndcg_10,
+ (SELECT round(({len(ASKED)} - count(*)) / {len(ASKED)}.0, 6) FROM c) AS no_answer, (SELECT round(count(*) FILTER (n > {R.DEEPEST}) / {len(ASKED)}.0, 6) FROM c) AS truncated FROM q""")
 def text_x15_evaluation(spark, d):
-    """Quality of the BM25 ranking if documents of one source were the relevant ones."""
-    return _evaluation(spark, d, X.words)
+    """Quality of the BM25 ranking for a few queries if the glossary's documents with the word were the relevant ones, with the rates of no answer and of longer answers."""
+    postings = _postings(spark, d)
+    scores = materialise(spark, R.bm25_each(postings, ASKED), "scores")
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "doc_id"))
+    ranked = scores.withColumn("rank", place).where(F.col("rank") <= R.DEEPEST)  # the rank is limited before the shuffle
+    glossary = table(spark, d, "documents").where("source = 'glossary'").select("doc_id")
+    truth = postings.where(F.col("word").isin(ASKED)).join(glossary, "doc_id", "left_semi").select(F.col("word").alias("query"), "doc_id")
+    quality, rates = R.evaluated(ranked, truth), R.answered(scores, len(ASKED)).first()
+    return quality.withColumns({c: F.lit(rates[c]) for c in ("no_answer", "truncated")})
 
 
 @C.query("WITH n AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS c FROM events WHERE value IS NOT NULL) SELECT event_type, min(value) FILTER (r >= ceil(c * 0.50)) AS p50, min(value) FILTER (r >= ceil(c * 0.95)) AS p95, min(value) FILTER (r >= ceil(c * 0.99)) AS p99 FROM n GROUP BY 1")
@@ -161,15 +173,19 @@ def _piece_vocabulary(spark, d):
 
 @C.query()
 def text_x3_pieces(spark, d):
-    """Word pieces of every document by a vocabulary of the corpus' most frequent words and all its characters."""
+    """Word pieces of every document and their ids, by a vocabulary of the corpus' most frequent words and all its characters; what is unknown has the id after the last."""
     vocabulary = _piece_vocabulary(spark, d)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def split(texts):
         return texts.map(lambda t: chunks.word_pieces(t, vocabulary), na_action="ignore")
 
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def numbered(pieces):
+        return pieces.map(lambda p: [vocabulary.get(x, len(vocabulary)) for x in p], na_action="ignore")
+
     docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", split("text").alias("p"))
-    return docs.select("doc_id", F.size("p").alias("pieces"), F.size(F.filter("p", lambda x: x == "[UNK]")).alias("unknown"))
+    return docs.select("doc_id", F.size("p").alias("pieces"), F.size(F.filter("p", lambda x: x == "[UNK]")).alias("unknown"), numbered("p").alias("ids"))
 
 
 @C.query(f"WITH w0 AS (SELECT doc_id, {_WORDS}[1:512] AS ws FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, unnest(ws) AS token FROM w0), e AS (SELECT vec_id, unnest(embedding[1:{DIMS}])::DOUBLE AS x, generate_subscripts(embedding[1:{DIMS}], 1) AS d FROM embeddings), t AS (SELECT token, d, avg(x) AS x FROM (SELECT DISTINCT doc_id, token FROM w) u JOIN e ON e.vec_id = u.doc_id GROUP BY 1, 2), m AS (SELECT doc_id, d, avg(x) AS x FROM w JOIN t USING (token) GROUP BY 1, 2), n AS (SELECT doc_id, sqrt(sum(x * x)) AS s FROM m GROUP BY 1) SELECT doc_id, d::INT AS dim, round(x / s, 4) AS part FROM m JOIN n USING (doc_id) WHERE s > 0")
@@ -217,13 +233,14 @@ def agg_x18_preview(spark, d):
     return table(spark, d, "model_revision").select("model_id", "revision").withColumns({**sums, "cost": F.ceil(F.lit(t["tokens"]).cast("double") * price / 1_000_000), "note": F.when(price.isNull(), "pricing unknown")})
 
 
-@C.query("WITH v AS (SELECT DISTINCT memory_id, chunk_ordinal AS o, model_revision AS r FROM stored_vector), s AS (SELECT memory_id, r, o, CASE WHEN o - lag(o) OVER (PARTITION BY memory_id, r ORDER BY o) <= 2 THEN 0 ELSE 1 END AS start FROM v), g AS (SELECT *, sum(start) OVER (PARTITION BY memory_id, r ORDER BY o) AS run FROM s) SELECT memory_id, r AS model_revision, min(o) AS first_chunk, max(o) AS last_chunk, count(*) AS chunks FROM g GROUP BY memory_id, r, run")
+@C.query("WITH v AS (SELECT DISTINCT memory_id, chunk_ordinal AS o, model_revision AS r FROM stored_vector), s AS (SELECT memory_id, r, o, d AS radius, CASE WHEN o - lag(o) OVER (PARTITION BY memory_id, r, d ORDER BY o) <= 2 * d THEN 0 ELSE 1 END AS start FROM v, range(1, 4) x(d)), g AS (SELECT *, sum(start) OVER (PARTITION BY memory_id, r, radius ORDER BY o) AS run FROM s) SELECT memory_id, r AS model_revision, radius::INT AS radius, min(o) AS first_chunk, max(o) AS last_chunk, count(*) AS chunks FROM g GROUP BY memory_id, r, radius, run")
 def window_w3_units(spark, d):
-    """Chunks of a memory joined to units where their windows of radius 1 meet."""
-    v = table(spark, d, "stored_vector").select("memory_id", F.col("chunk_ordinal").alias("o"), "model_revision").distinct()
-    w = W.partitionBy("memory_id", "model_revision").orderBy("o")
-    s = v.withColumn("start", F.when(F.col("o") - F.lag("o").over(w) <= 2, 0).otherwise(1)).withColumn("run", F.sum("start").over(w))
-    return s.groupBy("memory_id", "model_revision", "run").agg(F.min("o").alias("first_chunk"), F.max("o").alias("last_chunk"), F.count(F.lit(1)).alias("chunks")).drop("run")
+    """Chunks of a memory joined to units where their windows meet, for the radii 1 to 3."""
+    v = table(spark, d, "stored_vector").select("memory_id", F.col("chunk_ordinal").alias("o"), "model_revision").distinct().withColumn("radius", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    key = ["memory_id", "model_revision", "radius"]
+    w = W.partitionBy(*key).orderBy("o")
+    s = v.withColumn("start", F.when(F.col("o") - F.lag("o").over(w) <= 2 * F.col("radius"), 0).otherwise(1)).withColumn("run", F.sum("start").over(w))
+    return s.groupBy(*key, "run").agg(F.min("o").alias("first_chunk"), F.max("o").alias("last_chunk"), F.count(F.lit(1)).alias("chunks")).drop("run")
 
 
 @C.query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")
