@@ -196,9 +196,10 @@ def _parsed(spark: SparkSession, df: DataFrame, value: str, system: str, systems
     df = df.join(short, F.col("_t_token") == F.col("_t_abbrev"), "left")
     df = df.withColumn("_t_offset", F.coalesce("_t_offset", F.when(~F.col("_t_stated"), F.col("_t_short"))))
     needs = F.col("_t_local").isNotNull() & F.col("_t_offset").isNull() & ~F.col("_t_stated") & ~F.col("_t_floating")
-    df = df.withColumn("_t_ask", F.when(needs, F.coalesce("_t_token", "_t_home"))).withColumn("_t_year", F.year(F.timestamp_seconds("_t_local")))
+    df = df.withColumn("_t_ask", F.when(needs, F.coalesce("_t_token", "_t_home"))).withColumn("_t_year", F.when(needs, f[0].try_cast("int")))
     df = df.withColumn("_t_at", F.when(needs, _looked_up(F.col("_t_local"), F.col("_t_year"))))
-    df = df.withColumn("_t_y", F.greatest((F.year(F.timestamp_seconds("_t_at")) / SPAN).cast("int"), F.lit(YEARS[0] // SPAN)))
+    looked = F.when(F.col("_t_year") < YEARS[1], F.col("_t_year")).when(F.col("_t_at").isNotNull(), F.year(F.timestamp_seconds("_t_at")))
+    df = df.withColumn("_t_y", F.greatest((looked / SPAN).cast("int"), F.lit(YEARS[0] // SPAN)))
     df = df.join(zones, (F.col("_t_ask") == F.col("_t_zone")) & (F.col("_t_y") == F.col("_t_span")), "left")
     return df
 
