@@ -252,9 +252,11 @@ def _scored(spark: SparkSession, coded: DataFrame, books: dict[int, list[np.ndar
         ids = np.asarray(group.column("chunk_id").to_pylist(), dtype=object)
         x = _unpacked(group.column("vector"), np.float32, len(ids))
         base, asked = np.flatnonzero(is_member), np.flatnonzero(is_query)
+        by_id = np.argsort(ids[base].astype(str), kind="stable")  # places then follow ids, which settles ties
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if base.size and asked.size:
-            codes = _unpacked(group.filter(pa.array(is_member)).column("codes"), np.uint16, base.size).astype(np.int64)
+            codes = _unpacked(group.filter(pa.array(is_member)).column("codes"), np.uint16, base.size).astype(np.int64)[by_id]
+            base = base[by_id]
             norms, kept = (np.asarray(group.column(c).to_numpy(zero_copy_only=False)[base], dtype=np.float32) for c in ("norm", "kept"))
             scale = 1 / np.sqrt(np.maximum(norms, 1e-12))
             vectors = x[base]
@@ -271,21 +273,20 @@ def _scored(spark: SparkSession, coded: DataFrame, books: dict[int, list[np.ndar
                 score *= scale
                 if least is not None:
                     r, c = np.nonzero(score >= bound)
-                else:
-                    best = np.argpartition(-score, keep - 1, axis=1)[:, :keep] if keep < base.size else np.tile(np.arange(base.size), (q.size, 1))
-                    r, c = np.repeat(np.arange(q.size), best.shape[1]), best.ravel()
-                other = q[r] != base[c]
-                other[other] = ids[q[r[other]]] != ids[base[c[other]]]
-                r, c = r[other], c[other]
-                exact = np.concatenate([np.einsum("id,id->i", x[q[r[i : i + 65536]]], vectors[c[i : i + 65536]], dtype=np.float64, casting="unsafe") for i in range(0, r.size, 65536)] or [np.zeros(0)])
-                if least is not None:
+                    other = q[r] != base[c]
+                    other[other] = ids[q[r[other]]] != ids[base[c[other]]]
+                    r, c = r[other], c[other]
+                    exact = np.concatenate([np.einsum("id,id->i", x[q[r[i : i + 65536]]], vectors[c[i : i + 65536]], dtype=np.float64, casting="unsafe") for i in range(0, r.size, 65536)] or [np.zeros(0)])
                     fine = exact >= least
                     r, c, exact = r[fine], c[fine], exact[fine]
                 else:
-                    order = np.lexsort((ids[base[c]].astype(str), -exact, r))
-                    rank = np.arange(r.size) - np.searchsorted(r[order], r[order])
-                    chosen = order[rank < k]
-                    r, c, exact = r[chosen], c[chosen], exact[chosen]
+                    best = np.sort(np.argpartition(-score, keep - 1, axis=1)[:, :keep], axis=1) if keep < base.size else np.tile(np.arange(base.size), (q.size, 1))
+                    value = np.einsum("qd,qkd->qk", x[q], vectors[best], dtype=np.float64, casting="unsafe")
+                    value[ids[base][best] == ids[q][:, None]] = -9
+                    top = np.argsort(-value, axis=1, kind="stable")[:, :k]
+                    value = np.take_along_axis(value, top, 1)
+                    r, at = np.nonzero(value >= -1.5)
+                    c, exact = best[r, top[r, at]], value[r, at]
                 found.append((ids[q[r]], ids[base[c]], exact))
         one = [np.concatenate(f) for f in zip(*found)] if found else [np.zeros(0, object), np.zeros(0, object), np.zeros(0)]
         return pa.table({"model_revision": pa.array([revision] * len(one[0]), pa.int32()), "chunk_id": pa.array(list(one[0]), pa.string()), "other_id": pa.array(list(one[1]), pa.string()), "cosine": pa.array(one[2], pa.float64())})
